@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from proseline.llm.op1_language import op1_language
 from proseline.llm.op3_bpe import op3_bpe
+from proseline.llm.op4_quality import op4_quality
+from proseline.llm.op5_pii import op5_pii
 from proseline.llm.op6_token_counts import op6_token_counts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op3_bpe, op6_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op3_bpe, op4_quality, op5_pii, op6_token_counts)}
 ORACLES: dict[str, str] = {}
