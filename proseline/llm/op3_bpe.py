@@ -4,8 +4,8 @@ Tier 1 is a minimal perfect hash over the byte strings of the vocabulary: a
 pre-token that is in it costs one hash, one displacement and one comparison.
 Tier 2 takes the misses: their bytes form a doubly linked list, a heap holds
 the mergeable neighbours by (rank, place), and the lowest pair is joined until
-none is left. Both tiers ask the same hash for ranks. A worker keeps the
-results of recent pre-tokens in a table of bounded size.
+none is left; which ids join to which is a table made from the vocabulary. A
+worker keeps the results of recent pre-tokens in a table of bounded size.
 
 Null text counts as empty: no tokens. Texts of any length are encoded whole.
 Repeated rows give repeated results. Invalid ids raise KeyError on decoding.
@@ -29,7 +29,7 @@ from proseline.llm.common import slices, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 100_000
+REMEMBERED = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -101,6 +101,9 @@ class Codec:
         self.hash = PerfectHash(ranks)
         self.rank_of_slot = [ranks.get(key, -1) for key in self.hash.slots]
         self.bytes_of_id = {rank: key for key, rank in ranks.items()}
+        #: Ids of neighbours, packed in one number, to the id of what they join to.
+        self.joined = {ranks[key[:i]] << 20 | ranks[key[i:]]: rank for key, rank in ranks.items() for i in range(1, len(key)) if key[:i] in ranks and key[i:] in ranks}
+        self.byte_id = [ranks[bytes([b])] for b in range(256)]
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("split", "memory")}
@@ -110,37 +113,43 @@ class Codec:
         return -1 if slot < 0 else self.rank_of_slot[slot]
 
     def merge(self, piece: bytes) -> list[int]:
-        """Tier 2: join the lowest-ranked neighbours, leftmost first, through a heap over linked bytes."""
-        n, rank = len(piece), self.rank
-        end = list(range(1, n + 1))  # a part starts at its index and ends here
-        before = list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            r = rank(piece[i : i + 2])
-            if r >= 0:
-                heap.append((r, i, i + 1, i + 2))
+        """Tier 2: join the lowest-ranked neighbours, leftmost first, through a heap over linked bytes.
+
+        A part is known by its first byte's index; ids, after and before hold
+        its id and its neighbours. A heap entry is rank and index in one
+        number, out of date unless the pair that starts there has that rank.
+        """
+        n, joined = len(piece), self.joined
+        ids = [self.byte_id[b] for b in piece]
+        pair = [joined.get(a << 20 | b, -1) for a, b in zip(ids, ids[1:])]  # noqa: B905
+        pair.append(-1)
+        heap = [r << 40 | i for i, r in enumerate(pair) if r >= 0]
+        if not heap:
+            return ids
         heapq.heapify(heap)
-        alive = [True] * n
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pop, push, get, low = heapq.heappop, heapq.heappush, joined.get, (1 << 40) - 1
         while heap:
-            _, i, j, stop = heapq.heappop(heap)
-            if not alive[i] or end[i] != j or not alive[j] or end[j] != stop:
+            entry = pop(heap)
+            i, r = entry & low, entry >> 40
+            if pair[i] != r:
                 continue
-            end[i], alive[j] = stop, False
-            if stop < n:
-                before[stop] = i
-                r = rank(piece[i : end[stop]])
-                if r >= 0:
-                    heapq.heappush(heap, (r, i, stop, end[stop]))
-            p = before[i]
-            if p >= 0:
-                r = rank(piece[p:stop])
-                if r >= 0:
-                    heapq.heappush(heap, (r, p, i, stop))
-        out, i = [], 0
-        while i < n:
-            out.append(rank(piece[i : end[i]]))
-            i = end[i]
-        return out
+            j = after[i]
+            after[i] = k = after[j]
+            ids[i], pair[j], ids[j] = r, -1, -1
+            if k < n:
+                before[k] = i
+                pair[i] = new = get(r << 20 | ids[k], -1)
+                if new >= 0:
+                    push(heap, new << 40 | i)
+            else:
+                pair[i] = -1
+            h = before[i]
+            if h >= 0:
+                pair[h] = new = get(ids[h] << 20 | r, -1)
+                if new >= 0:
+                    push(heap, new << 40 | h)
+        return [x for x in ids if x >= 0]
 
     def encode_piece(self, piece: bytes) -> list[int]:
         r = self.rank(piece)
