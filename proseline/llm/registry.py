@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from proseline.llm.op1_language import op1_language
+from proseline.llm.op7_decontaminate import op7_decontaminate
 from proseline.llm.op8_embeddings import op8_embeddings
 from proseline.llm.op10_near_dups import op10_near_dups
 from proseline.llm.op3_bpe import op3_bpe
@@ -14,5 +15,5 @@ from proseline.llm.op4_quality import op4_quality
 from proseline.llm.op5_pii import op5_pii
 from proseline.llm.op6_token_counts import op6_token_counts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op3_bpe, op4_quality, op5_pii, op6_token_counts, op8_embeddings, op10_near_dups)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op3_bpe, op4_quality, op5_pii, op6_token_counts, op7_decontaminate, op8_embeddings, op10_near_dups)}
 ORACLES: dict[str, str] = {}
