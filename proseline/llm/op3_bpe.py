@@ -256,3 +256,22 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coder = codec()
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return digest_documents(encode_documents(docs, coder=coder), coder=coder)
+
+
+def with_tokens(docs: DataFrame, text: str = "text", coder: Codec | None = None) -> DataFrame:
+    """docs with token_ids array<int> and n_tokens long; columns of these names give way."""
+    docs = docs.select([c for c in docs.columns if c.lower() not in ("token_ids", "n_tokens")])
+    names, field = docs.columns, docs.columns.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(coder or codec())
+
+    def run(batches):
+        own = shared.value
+        for part in slices(batches, field):
+            lists = [own.encode(t) for t in part.column(field).to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+            values = np.fromiter((i for x in lists for i in x), dtype=np.int32, count=int(offsets[-1]))
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array([len(x) for x in lists], pa.int64())], names=[*names, "token_ids", "n_tokens"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{fields}, token_ids array<int>, n_tokens long")

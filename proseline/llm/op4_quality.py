@@ -156,3 +156,17 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
     held_out = F.coalesce(F.expr("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"), F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_documents(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of docs that score the threshold or more, all columns as they are."""
+    names, field = docs.columns, docs.columns.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        features, w = Features(), shared.value
+        for part in slices(batches, field):
+            dots = [w[index] @ x for index, x in map(features, part.column(field).to_pylist())]
+            yield pa.RecordBatch.from_arrays(part.filter(pa.array([1 / (1 + np.exp(-np.clip(d, -35, 35))) >= threshold for d in dots], pa.bool_())).columns, names=names)
+
+    return docs.mapInArrow(run, docs.schema)
