@@ -312,7 +312,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     sizes = groups.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     members = groups.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
     members = members.select("id", "g", "blocks", "block")
-    texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(members, "id").select("id", "t", "g", "blocks", "block")
+    # a sorted join at every size: a group's ids may be many, so they are never broadcast
+    texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(members.hint("merge"), "id").select("id", "t", "g", "blocks", "block")
 
     def sets_of(batches):
         shingles = Shingles(width)
