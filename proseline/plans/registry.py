@@ -5,10 +5,215 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from proseline.functions import kernel as K
+from proseline.functions.lexicon import Entry, Lexicon
+from proseline.functions.shipped import ENGLISH, SERBIAN, SHIPPED
+from proseline.operators import calibrate, check, costs, spans, trace
+from proseline.operators.language import detect, detect_label_language
+from proseline.operators.rules import RULES, declared_constants, rules_for
+from proseline.plans import oracles
+from proseline.sources import documents as sources
+
+#: Lexicons of words that the test tables are full of, so that matching, stems, exceptions and double counting are put to use.
+_DENSE = {"weasel-words": (Entry("the"), Entry("of the"), Entry("an*")), "inflated-vocabulary": (Entry("the", unless=("of the",)), Entry("de"))}
+CUSTOM = {x.language: Lexicon(x.language, "custom", {**x.entries, **_DENSE}, x.exceptions) for x in (ENGLISH, SERBIAN)}
+_DENSITIES = ("per_thousand", "score")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in columns})
+
+
+def results(spark: SparkSession, sf_dir: str, rules: tuple[str, ...] | None = None, lexicons: dict[str, Lexicon] | None = None) -> DataFrame:
+    chosen = RULES if rules is None else tuple(r for r in RULES if r.name in rules)
+    rows = check.rule_results(check.checked(docs(spark, sf_dir), lexicons, chosen))
+    return rounded(rows.select("doc_id", "language", "rule", "kind", "outcome", "n_findings", *_DENSITIES, "passed", "min_words"), *_DENSITIES)
+
+
+def of_rules(*rules: str, lexicons: dict[str, Lexicon] | None = None) -> tuple[Callable, str]:
+    return (lambda spark, sf_dir: results(spark, sf_dir, rules, lexicons)), oracles.rule_results_sql(lexicons, list(rules))
+
+
+def word_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return docs(spark, sf_dir).select("doc_id", K.count_words(t).cast("long").alias("words"), K.utf16(t).cast("long").alias("n_utf16"), F.regexp_count(t, F.lit("\n")).cast("long").alias("newlines"))
+
+
+def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = docs(spark, sf_dir).select("doc_id", K.sentence_lengths(F.col("text")).alias("x"))
+    mean = F.aggregate("x", F.lit(0.0), lambda a, n: a + n) / F.greatest(F.size("x"), F.lit(1))
+    return rounded(rows.select("doc_id", F.size("x").cast("long").alias("n_sentences"), mean.alias("mean_words"), K.deviation(F.col("x")).alias("sd")), "mean_words", "sd")
+
+
+def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(K.sentences(F.col("text"))).alias("i", "s"))
+    return rows.select("doc_id", (F.col("i") + 1).alias("idx"), "s.offset", "s.words", F.md5(F.col("s.text").cast("binary")).alias("text_md5"))
+
+
+def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect(docs(spark, sf_dir)).select("doc_id", "language", F.col("sr_votes").cast("long").alias("sr_votes"), F.col("en_votes").cast("long").alias("en_votes"), "basis")
+
+
+def label_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return rows.select("conv_id", "turn", detect_label_language(F.col("text")).alias("language"))
+
+
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = check.reports(check.checked(docs(spark, sf_dir)))
+    rows = rows.select("doc_id", "language", F.col("word_count").cast("long").alias("word_count"), "score", F.size("hard_failures").cast("long").alias("n_hard_failures"), F.size("abstentions").cast("long").alias("n_abstentions"), F.col("n_findings").cast("long").alias("n_findings"))
+    return rounded(rows, "score")
+
+
+def hard_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = tuple(r for r in RULES if r.kind == "hard")
+    rows = check.rule_results(check.checked(docs(spark, sf_dir), rules=hard))
+    return rows.where("kind = 'hard' and not passed").select("doc_id", "rule")
+
+
+def abstentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results(spark, sf_dir).where("outcome = 'abstained'").select("doc_id", "rule", "min_words")
+
+
+def findings_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check.findings(check.checked(docs(spark, sf_dir)))
+
+
+def topk_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check.top_findings(check.checked(docs(spark, sf_dir)))
+
+
+def span_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.merged_spans(check.findings(check.checked(docs(spark, sf_dir), CUSTOM)))
+
+
+def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = docs(spark, sf_dir)
+    return spans.highlight(rows, spans.merged_spans(check.findings(check.checked(rows))))
+
+
+def _graded_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = calibrate.labelled_corpus(docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    done = check.checked(rows.select("doc_id", "text", "provenance"))
+    return check.rule_results(done.withColumn("doc_id", F.struct("doc_id", "provenance"))).withColumn("provenance", F.col("doc_id.provenance"))
+
+
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibrate.observations(_graded_corpus(spark, sf_dir))
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_observed(spark, sf_dir), "least", "most", "p10", "median", "p90")
+
+
+def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = calibrate.bands(_observed(spark, sf_dir)).select("language", "rule", "accepted_n", "generated_n", "accepted_excluded", "generated_excluded", "accepted_p90", "generated_p10")
+    return rounded(rows, "accepted_p90", "generated_p10")
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(calibrate.verdicts(calibrate.bands(_observed(spark, sf_dir))), "floor", "ceiling", "margin")
+
+
+def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = calibrate.labelled_corpus(docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return calibrate.corpus_totals(detect(rows), K.count_words(F.col("text"))).withColumn("words", F.col("words").cast("long"))
+
+
+def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "text")
+
+
+def frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    head = F.when(F.col("doc_id") % 3 == 0, "---\nprovenance: generated\nwords: 3\n---\n").when(F.col("doc_id") % 3 == 1, "---\nsubject: s\n---\n").otherwise("")
+    rows = sources.strip_frontmatter(docs(spark, sf_dir).withColumn("text", F.concat(head, t)))
+    return rows.select("doc_id", "provenance", F.length("text").alias("n"))
+
+
+def _quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    piece = F.substring("text", 21, 60)
+    kinds = {"as is": piece, "spaced": F.lower(F.replace(piece, F.lit(" "), F.lit("   "))), "turned": F.concat(F.lit("zzqq "), F.reverse(piece))}
+    quotes = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), v.alias("quote")) for k, v in kinds.items())))
+    rows = docs(spark, sf_dir).select("doc_id", F.col("text").alias("source"), quotes.alias("q"))
+    return trace.check_quotes(rows.select("doc_id", "source", "q.field", "q.quote", F.lit("en").alias("language")))
+
+
+def quote_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quoted(spark, sf_dir).select("doc_id", "field", "match", F.when(F.col("match") == "exact", F.col("start")).alias("exact_start"))
+
+
+def match_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trace.match_table(_quoted(spark, sf_dir))
+
+
+def quote_sentence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trace.quote_sentences(_quoted(spark, sf_dir), trace.labelled_sentences(docs(spark, sf_dir)))
+
+
+def evidence_recall_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sentences = trace.labelled_sentences(docs(spark, sf_dir))
+    located = trace.quote_sentences(_quoted(spark, sf_dir), sentences)
+    return trace.recall_precision(located, sentences.where("idx % 2 = 1 and idx < 6"))
+
+
+def pricing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    user = F.col("role") == "user"
+    model = F.when(F.col("conv_id") % 3 == 0, "large").when(F.col("conv_id") % 3 == 1, "small").otherwise("unlisted")
+    usage = rows.groupBy("conv_id").agg(F.sum(F.when(user, F.length("text")).otherwise(0)).alias("input_tokens"), F.sum(F.when(user, 0).otherwise(F.length("text"))).alias("output_tokens"), F.count(F.lit(1)).alias("cache_write"))
+    rates = spark.createDataFrame([("large", 5.0, 25.0), ("small", 1.0, 5.0)], "model string, input_per_mtok double, output_per_mtok double")
+    out = costs.priced(usage.withColumn("model", model).withColumn("cache_read", F.lit(0)), F.broadcast(rates))
+    return rounded(out.select("conv_id", "model", "input_tokens", "output_tokens", "cost", "unknown_reason"), "cost")
+
+
+def rate_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("now_ms"))
+    return costs.limited(hits, 2, 3_600_000, "user_id", order="event_id").select("event_id", "user_id", "allowed")
+
+
+def engine_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(x, SHIPPED[x].identity(), len(rules_for(x)), len(declared_constants(rules_for(x)))) for x in ("en", "sr")]
+    return spark.createDataFrame(rows, "language string, lexicon string, rules int, constants int")
+
+
+_PAIRS = {
+    "em_dash": of_rules("em-dash-density"),
+    "bold_ratio": of_rules("bold-ratio"),
+    "bullet_bold": of_rules("bullet-bold-shape"),
+    "rule_of_three": of_rules("rule-of-three"),
+    "participial_close": of_rules("participial-close"),
+    "verbal_adverb_close": of_rules("verbal-adverb-close"),
+    "negative_parallelism": of_rules("negative-parallelism"),
+    "formal_address": of_rules("formal-address"),
+    "diacritics_hard": of_rules("diacritics"),
+    "sentence_uniformity": of_rules("sentence-uniformity"),
+    "phrase_rule_custom_lexicon": of_rules("weasel-words", lexicons=CUSTOM),
+    "except_suppression": of_rules("inflated-vocabulary", lexicons=CUSTOM),
+    "rule_results": ((lambda spark, sf_dir: results(spark, sf_dir)), oracles.rule_results_sql()),
+}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, (f, _) in _PAIRS.items()} | {
+    f.__name__: f
+    for f in (
+        word_stats, sentence_stats, sentence_rows, detect_language, label_language, report, hard_failures, abstentions, findings_positions, topk_findings, span_merge, highlighted, observations, bands, verdicts,
+        corpus_totals, html_extract, frontmatter, quote_checks, match_pivot, quote_sentence_join, evidence_recall_precision, pricing, rate_limiter, engine_info,
+    )
+}
+_INFO = [(x, SHIPPED[x].identity(), len(rules_for(x)), len(declared_constants(rules_for(x)))) for x in ("en", "sr")]
+ORACLES: dict[str, str] = {k: sql for k, (_, sql) in _PAIRS.items()} | {
+    "word_stats": oracles.WORDS, "sentence_stats": oracles.SENTENCES, "detect_language": oracles.DETECT, "label_language": oracles.LABEL_DETECT, "report": oracles.REPORT, "hard_failures": oracles.HARD, "abstentions": oracles.ABSTENTIONS,
+    "observations": oracles.OBSERVATIONS, "bands": oracles.BANDS, "verdicts": oracles.VERDICTS, "corpus_totals": oracles.TOTALS, "html_extract": oracles.HTML, "frontmatter": oracles.FRONT, "quote_checks": oracles.QUOTES,
+    "match_pivot": oracles.PIVOT, "pricing": oracles.PRICING,
+    "engine_info": " UNION ALL ".join(f"SELECT '{a}' AS language, '{b}' AS lexicon, CAST({c} AS INTEGER) AS rules, CAST({d} AS INTEGER) AS constants" for a, b, c, d in _INFO),
+}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["report"](spark, sf_dir)
+    """Reports of all documents."""
+    return report(spark, sf_dir)
