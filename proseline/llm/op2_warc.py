@@ -55,16 +55,16 @@ def record(df: DataFrame) -> Column:
     return F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Date", F.col("date")), line("WARC-Target-URI", F.col("uri")),
         F.when(revisit, to).otherwise(F.lit("")), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))), line("X-Page-Id", F.col("page_id")),
-        F.lit("Content-Type: application/http;msgtype=response\r\n"), line("Content-Length", F.octet_length(block)), F.lit("\r\n"), block,
+        F.lit("Content-Type: application/http;msgtype=response\r\n"), line("Content-Length", F.octet_length(http) + F.when(revisit, 0).otherwise(F.octet_length("payload"))), F.lit("\r\n"), block,
     )
 
 
-def write_records(df: DataFrame, path: str) -> None:
-    df.select(record(df).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def write_records(df: DataFrame, path: str, level: str = "DEFAULT_COMPRESSION") -> None:
+    df.select(record(df).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", level).option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-def write_pages(pages: DataFrame, path: str) -> None:
-    """A response record for every row of pages(page_id, url, html)."""
+def write_pages(pages: DataFrame, path: str, level: str = "BEST_SPEED") -> None:
+    """A response record for every row of pages(page_id, url, html); packed quickly, as it is to be written again."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("payload")).withColumn("payload_digest", F.sha2(F.col("payload").cast("binary"), 256))
     none = F.lit(None).cast("string")
@@ -74,7 +74,7 @@ def write_pages(pages: DataFrame, path: str) -> None:
         urn(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("payload_digest"), F.monotonically_increasing_id().cast("string"))).alias("record_id"),
         none.alias("refers_to_record"), none.alias("refers_to_uri"), none.alias("refers_to_date"),
     )
-    write_records(rows, path)
+    write_records(rows, path, level)
 
 
 def unzipped(data: bytes) -> bytes:
