@@ -47,6 +47,8 @@ PARTS = tuple(range(0, SPAN - GRAM, STEP))
 PIECE, SPARSE = 1 << 20, 32
 #: Contexts of an array; a larger group of one anchor has an array of its own.
 ARRAY_CONTEXTS = 1500
+#: Windows that are compared at once.
+WINDOWS_AT_ONCE = 400_000
 
 _RANDOM = np.random.default_rng(20240917)
 _TABLE = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -218,11 +220,12 @@ def common(a: bytes, b: bytes) -> int:
     return n - (x.bit_length() + 7) // 8
 
 
-def repeated_windows(parts: list[bytes], span: int = SPAN, sparse: int = SPARSE, ids: np.ndarray | None = None, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(part, offset) of the windows of `span` bytes that occur at another place too.
+def windows_of(parts: list[bytes], span: int, sparse: int, first_cut: int):
+    """Cuts and windows of some parts, in small types.
 
-    ids and at say which document a part is of, and where it starts there:
-    parts may overlap, and a window that two of them hold is one place.
+    Cuts: (part, offset). Windows: (part, offset, number of the first cut at
+    or after it that lies in it whole or -1, bytes from there on, hash of the
+    bytes before).
     """
     data = b"".join(parts)
     sizes = np.array([len(p) for p in parts], np.int64)
@@ -230,76 +233,114 @@ def repeated_windows(parts: list[bytes], span: int = SPAN, sparse: int = SPARSE,
     starts = ends - sizes
     b = np.frombuffer(data, np.uint8)
     owner = np.repeat(np.arange(len(parts)), sizes)
+    offset = np.arange(len(b)) - starts[owner]
     # cuts: where the four bytes from q on have a hash of one in `sparse`
-    x = b.astype(np.uint64)
-    four = np.zeros(len(b), bool)
+    q = np.zeros(0, np.int64)
     if len(b) >= 4:
+        x = b.astype(np.uint64)
         v = (x[:-3] | x[1:-2] << _U(8) | x[2:-1] << _U(16) | x[3:] << _U(24)) * _FACTOR[3]
-        four[:-3] = ((v >> _U(40)) % _U(sparse)) == 0
-    q = np.nonzero(four)[0]
-    q = q[q + 4 <= ends[owner[q]]]
-    # windows: start, and first cut at or after it that lies in the window whole
-    w = np.concatenate([np.arange(s, e - span + 1) for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if e - s >= span] or [np.zeros(0, np.int64)])
-    if not len(w):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        q = np.nonzero(((v >> _U(40)) % _U(sparse)) == 0)[0]
+        q = q[q + 4 <= ends[owner[q]]]
+    w = np.nonzero(offset + span <= sizes[owner])[0]
     nth = np.searchsorted(q, w)
     to = np.append(q, len(b) + span)[nth]
     cut = to + 4 <= w + span
     to = np.where(cut, to, w + span)
     # hashes of the bytes before the cut: sums of powers, shifted back
-    power = np.multiply.accumulate(np.full(len(b) + 1, _FACTOR[4]))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[b] * power[:-1])])
-    inverse = np.multiply.accumulate(np.full(len(b) + 1, _U(pow(int(_FACTOR[4]), -1, 1 << 64))))
-    head = (total[to] - total[w]) * inverse[w] + (to - w).astype(np.uint64) * _FACTOR[5]
-    rank = np.zeros(len(q) + 1, np.int64)
-    shared = np.zeros(len(q) + 1, np.int64)
-    if len(q):
-        # pieces from one cut through the next one's four bytes, numbered in byte order; 0 ends a part
-        of = owner[q]
-        limit = ends[of]
-        last = np.append(of[1:] != of[:-1], True)
-        stop = np.where(last, limit, np.append(q[1:], 0) + 4)
-        pieces = [data[i:j] for i, j in zip(q.tolist(), stop.tolist(), strict=True)]
-        number = {p: k + 1 for k, p in enumerate(sorted(set(pieces)))}
-        symbols, which = [], {}
-        for k, (piece, end) in enumerate(zip(pieces, last.tolist(), strict=True)):
-            which[len(symbols)] = k
-            symbols.append(number[piece])
-            if end:
-                symbols.append(0)
-        order = [which[s] for s in suffix_array(symbols) if s in which]
-        rank[order] = np.arange(len(order))
-        begin, to_end = q.tolist(), limit.tolist()
-        texts = [data[begin[k] : min(begin[k] + span, to_end[k])] for k in order]
-        shared[1 : len(order)] = [common(x, y) for x, y in zip(texts, texts[1:], strict=False)]
-    # equal heads side by side, by rank; neighbours are equal if all that lies between has enough in common
-    r = np.where(cut, rank[np.minimum(nth, len(q))], -1)
-    need = span - (to - w)
+    longest = int(sizes.max(initial=0)) + 1
+    power = np.multiply.accumulate(np.full(longest, _FACTOR[4]))
+    inverse = np.multiply.accumulate(np.full(longest, _U(pow(int(_FACTOR[4]), -1, 1 << 64))))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[b] * power[offset])])
+    head = (total[to] - total[w]) * inverse[offset[w]] + (to - w).astype(np.uint64) * _FACTOR[5]
+    cuts = (owner[q].astype(np.int32), offset[q].astype(np.int32))
+    return cuts, (owner[w].astype(np.int32), offset[w].astype(np.int32), np.where(cut, nth + first_cut, -1).astype(np.int64), (span - (to - w)).astype(np.int16), head)
+
+
+def cut_order(parts: list[bytes], part: np.ndarray, offset: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of the suffix of each cut among all cuts, and how many bytes each rank's suffix shares with the one before."""
+    n = len(part)
+    rank, shared = np.zeros(n, np.int64), np.zeros(n + 1, np.int64)
+    if not n:
+        return rank, shared
+    # pieces from one cut through the next one's four bytes, numbered in byte order; 0 ends a part
+    last = np.append(part[1:] != part[:-1], True).tolist()
+    owners, begin = part.tolist(), offset.tolist()
+    pieces = [parts[k][i:] if end else parts[k][i : j + 4] for k, i, j, end in zip(owners, begin, begin[1:] + [0], last, strict=True)]
+    number = {p: k + 1 for k, p in enumerate(sorted(set(pieces)))}
+    symbols, which = [], {}
+    for k, (piece, end) in enumerate(zip(pieces, last, strict=True)):
+        which[len(symbols)] = k
+        symbols.append(number[piece])
+        if end:
+            symbols.append(0)
+    order = [which[s] for s in suffix_array(symbols) if s in which]
+    rank[order] = np.arange(n)
+    before = b""
+    for r, k in enumerate(order):
+        text = parts[owners[k]][begin[k] : begin[k] + span]
+        if r:
+            shared[r] = common(before, text)
+        before = text
+    return rank, shared
+
+
+def repeated_windows(parts: list[bytes], span: int = SPAN, sparse: int = SPARSE, ids: np.ndarray | None = None, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(part, offset) of the windows of `span` bytes that occur at another place too.
+
+    ids and at say which document a part is of, and where it starts there:
+    parts may overlap, and a window that two of them hold is one place.
+    Windows are made for some parts and compared for some hashes at a time.
+    """
+    cuts, found, n = [], [], 0
+    for k in range(0, len(parts), ARRAY_CONTEXTS):
+        c, w = windows_of(parts[k : k + ARRAY_CONTEXTS], span, sparse, n)
+        cuts.append((c[0] + np.int32(k), c[1]))
+        found.append((w[0] + np.int32(k), *w[1:]))
+        n += len(c[0])
+    part, offset, nth, need, head = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found
+    if not len(part):
+        return part.astype(np.int64), offset.astype(np.int64)
+    rank, shared = cut_order(parts, *(np.concatenate(x) for x in zip(*cuts, strict=True)), span)
+    levels = [shared]
+    while (1 << len(levels)) <= len(shared):
+        half = 1 << (len(levels) - 1)
+        levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
+    document = np.arange(len(parts)) if ids is None else np.unique(ids, return_inverse=True)[1]
+    begins = np.zeros(len(parts), np.int64) if at is None else np.asarray(at, np.int64)
+    twice = np.zeros(len(part), bool)
+    passes = len(part) // WINDOWS_AT_ONCE + 1
+    mine = (head >> _U(20)) % _U(passes) if passes > 1 else None
+    for k in range(passes):
+        some = np.nonzero(mine == _U(k))[0] if passes > 1 else np.arange(len(part))
+        if len(some):
+            place = (document[part[some]].astype(np.int64) << 40) + begins[part[some]] + offset[some]
+            r = np.where(nth[some] >= 0, rank[np.maximum(nth[some], 0)] if len(rank) else 0, -1)
+            twice[some] = in_several_places(head[some], need[some], r, place, levels)
+    return part[twice].astype(np.int64), offset[twice].astype(np.int64)
+
+
+def in_several_places(head: np.ndarray, need: np.ndarray, r: np.ndarray, place: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+    """Which windows equal one at another place: equal heads, and suffixes whose neighbours in rank share enough all the way."""
     order = np.lexsort((r, head, need))
     h0, n0, r0 = head[order], need[order], r[order]
     same = (h0[1:] == h0[:-1]) & (n0[1:] == n0[:-1])
-    spots = np.nonzero(same & (n0[1:] > 0))[0]
+    spots = np.nonzero(same & (r0[1:] >= 0))[0]
     if len(spots):
-        levels = [shared]
-        while (1 << len(levels)) <= len(shared):
-            half = 1 << (len(levels) - 1)
-            levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
-        lo, hi = r0[spots] + 1, r0[spots + 1] + 1  # least of shared[lo:hi]
-        size = np.maximum(hi - lo, 1)
-        level = np.floor(np.log2(size)).astype(np.int64)
-        least = np.empty(len(spots), np.int64)
+        lo, hi = r0[spots] + 1, r0[spots + 1] + 1  # least of shared[lo:hi]; the same rank shares all
+        size = hi - lo
+        level = np.floor(np.log2(np.maximum(size, 1))).astype(np.int64)
+        least = np.full(len(spots), 1 << 30, np.int64)
         for k in np.unique(level):
-            m = level == k
+            m = (level == k) & (size > 0)
             least[m] = np.minimum(levels[k][lo[m]], levels[k][hi[m] - (1 << int(k))])
         same[spots] = least >= n0[spots + 1]
-    place = w if ids is None else (np.unique(ids, return_inverse=True)[1][owner[w]].astype(np.int64) << 40) + at[owner[w]] + w - starts[owner[w]]
     firsts = np.nonzero(np.concatenate([[True], ~same]))[0]
     places = place[order]
     several = np.minimum.reduceat(places, firsts) != np.maximum.reduceat(places, firsts)
-    twice = np.zeros(len(w), bool)
-    twice[order] = np.repeat(several, np.diff(np.append(firsts, len(w))))
-    found = w[twice]
-    return owner[found], found - starts[owner[found]]
+    out = np.zeros(len(head), bool)
+    out[order] = np.repeat(several, np.diff(np.append(firsts, len(head))))
+    return out
 
 
 def runs_of(part: np.ndarray, offset: np.ndarray, span: int = SPAN):

@@ -27,8 +27,11 @@ def test_windows(parts, span):
         for i in range(len(p) - span + 1):
             count[p[i : i + span]] = count.get(p[i : i + span], 0) + 1
     want = [(k, i) for k, p in enumerate(parts) for i in range(len(p) - span + 1) if count[p[i : i + span]] > 1]
-    for sparse in (1, 2, 4):
-        k, i = op.repeated_windows(parts, span, sparse)
+    for sparse, contexts, windows in ((1, 1500, 400_000), (2, 2, 400_000), (4, 1500, 5), (2, 1, 3)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(op, "ARRAY_CONTEXTS", contexts)
+            m.setattr(op, "WINDOWS_AT_ONCE", windows)
+            k, i = op.repeated_windows(parts, span, sparse)
         assert list(zip(k.tolist(), i.tolist())) == want
 
 
