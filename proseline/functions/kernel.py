@@ -47,8 +47,13 @@ def column_of(text: Column, offset: Column) -> Column:
     return utf16(F.substring_index(F.left(text, offset), "\n", -1)) + 1
 
 
-def find(text: Column, pattern: str, hit: bool = False) -> Column:
-    """Non-overlapping matches from the left, as FINDING.
+def folded(text: Column) -> Column:
+    """The text as a case-insensitive pattern sees its letters, for a plain search before the pattern's."""
+    return F.lower(F.translate(text, "ſıİ", "sii"))
+
+
+def find(text: Column, pattern: str, hit: bool = False, needs: Column | None = None) -> Column:
+    """Non-overlapping matches from the left, as FINDING. Where `needs` is false there is none, and no pattern runs.
 
     What lies between matches gives their places, so no UDF is needed. With
     hit, group 1 is what precedes the reported group 2 inside a match.
@@ -67,7 +72,8 @@ def find(text: Column, pattern: str, hit: bool = False) -> Column:
         return F.struct((start + F.length(row["whole"])).alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), none_found().alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(F.arrays_zip(*columns), start, step, lambda acc: acc["out"])).otherwise(none_found())
+    some = text.rlike(pattern) if needs is None else F.when(needs, text.rlike(pattern)).otherwise(F.lit(False))
+    return F.when(some, F.aggregate(F.arrays_zip(*columns), start, step, lambda acc: acc["out"])).otherwise(none_found())
 
 
 def without_contained(hits: Column, spans: Column) -> Column:

@@ -22,11 +22,22 @@ def phrase_pattern(phrase: str) -> str:
 
 @dataclass(frozen=True)
 class Entry:
-    """A phrase or a pattern; hits that overlap one of `unless` wholly don't count."""
+    """A phrase or a pattern; hits that overlap one of `unless` wholly don't count.
+
+    needs are lower-case strings without which a pattern can't match; they
+    save time only, and are no part of a lexicon's identity.
+    """
 
     source: str
     kind: str = "phrase"
     unless: tuple[str, ...] = ()
+    needs: tuple[str, ...] = ()
+
+    @property
+    def literals(self) -> tuple[str, ...]:
+        if self.kind == "pattern":
+            return self.needs
+        return (max(re.split(r"[\s'’*]+", self.source.lower()), key=len),)
 
     @property
     def pattern(self) -> str:

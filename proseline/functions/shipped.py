@@ -25,10 +25,10 @@ ENGLISH = Lexicon(
         "summary-close": _phrases("in conclusion, all in all, to summarize"),
         "transition-density": _phrases("moreover, furthermore, additionally, however, on the other hand"),
         "negative-parallelism": (
-            Entry(r"(?<![\p{L}])not\s+just(?![\p{L}])[^.!?\n]{0,80}?(?<![\p{L}])but(?![\p{L}])", "pattern"),
-            Entry(r"(?<![\p{L}])it[’']?s\s+not(?![\p{L}])[^.!?\n]{0,60}?,\s*it[’']?s(?![\p{L}])", "pattern"),
+            Entry(r"(?<![\p{L}])not\s+just(?![\p{L}])[^.!?\n]{0,80}?(?<![\p{L}])but(?![\p{L}])", "pattern", needs=("not", "just", "but")),
+            Entry(r"(?<![\p{L}])it[’']?s\s+not(?![\p{L}])[^.!?\n]{0,60}?,\s*it[’']?s(?![\p{L}])", "pattern", needs=("not", ",")),
         ),
-        "rule-of-three": (Entry(r"(?<![\p{L}])\p{L}{3,}(?:[ \t]+\p{L}+){0,2},\s+\p{L}{3,}(?:[ \t]+\p{L}+){0,2},?\s+and\s+\p{L}{3,}(?![\p{L}])", "pattern"),),
+        "rule-of-three": (Entry(r"(?<![\p{L}])\p{L}{3,}(?:[ \t]+\p{L}+){0,2},\s+\p{L}{3,}(?:[ \t]+\p{L}+){0,2},?\s+and\s+\p{L}{3,}(?![\p{L}])", "pattern", needs=(",", "and")),),
     },
     {"participial-close": ("nothing", "something", "anything", "everything", "during", "morning", "evening")},
 )
@@ -47,10 +47,10 @@ SERBIAN = Lexicon(
         "summary-close": _phrases("sve u svemu, u zaključku, da rezimiramo"),
         "transition-density": _phrases("sa druge strane, štaviše, pored toga, dodatno, međutim, nasuprot tome"),
         "negative-parallelism": (
-            Entry(r"(?<![\p{L}])nije(?![\p{L}])[^.!?\n]{0,80}?(?<![\p{L}])(već|nego)(?![\p{L}])", "pattern"),
-            Entry(r"(?<![\p{L}])ne\s+samo(?![\p{L}])[^.!?\n]{0,80}?(?<![\p{L}])(već|nego)(?![\p{L}])", "pattern"),
+            Entry(r"(?<![\p{L}])nije(?![\p{L}])[^.!?\n]{0,80}?(?<![\p{L}])(već|nego)(?![\p{L}])", "pattern", needs=("nije",)),
+            Entry(r"(?<![\p{L}])ne\s+samo(?![\p{L}])[^.!?\n]{0,80}?(?<![\p{L}])(već|nego)(?![\p{L}])", "pattern", needs=("samo",)),
         ),
-        "rule-of-three": (Entry(r"(?<![\p{L}])\p{L}{3,}(?:[ \t]+\p{L}+){0,2},\s+\p{L}{3,}(?:[ \t]+\p{L}+){0,2}\s+i\s+\p{L}{3,}(?![\p{L}])", "pattern"),),
+        "rule-of-three": (Entry(r"(?<![\p{L}])\p{L}{3,}(?:[ \t]+\p{L}+){0,2},\s+\p{L}{3,}(?:[ \t]+\p{L}+){0,2}\s+i\s+\p{L}{3,}(?![\p{L}])", "pattern", needs=(",", "i")),),
     },
     {
         "verbal-adverb-close": tuple(

@@ -9,7 +9,7 @@ from proseline.functions import kernel as K
 from proseline.functions.lexicon import Lexicon
 from proseline.functions.shipped import SHIPPED
 from proseline.operators.language import detect
-from proseline.operators.rules import ORDER, RULES, Row, Rule, rules_for
+from proseline.operators.rules import ORDER, RULES, Row, Rule, Source, rules_for
 
 
 def checked(df: DataFrame, lexicons: dict[str, Lexicon] | None = None, rules: tuple[Rule, ...] = RULES, language: str | None = None, text: str = "text") -> DataFrame:
@@ -25,11 +25,13 @@ def checked(df: DataFrame, lexicons: dict[str, Lexicon] | None = None, rules: tu
     df = df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
     df = detect(df, text).drop("sr_votes", "en_votes", "basis") if language is None else df.withColumn("language", F.col(language))
     t = F.col(text)
+    df = df.withColumn("_low", K.folded(t))
+    source = Source(t, F.col("_low"))
     # step 1: what needs the text's regular expressions; step 2: structs from these columns
     found, graded = {}, {}
     for x in ("sr", "en"):
         for r in rules_for(x, rules):
-            found.setdefault(r.name, []).append((x, r.find(t, lexicons[x])))
+            found.setdefault(r.name, []).append((x, r.find(source, lexicons[x])))
     hits = {}
     for name, options in found.items():
         column = None
@@ -41,7 +43,7 @@ def checked(df: DataFrame, lexicons: dict[str, Lexicon] | None = None, rules: tu
     for x in ("sr", "en"):
         graded[x] = F.array(*(r.grade(F.col(f"`_f_{r.name}`"), row) for r in rules_for(x, rules)))
     df = df.withColumn("rules", F.when(F.col("language") == "sr", graded["sr"]).when(F.col("language") == "en", graded["en"]))
-    return df.drop("_lengths", *(f"_f_{k}" for k in hits))
+    return df.drop("_low", "_lengths", *(f"_f_{k}" for k in hits))
 
 
 def rule_results(done: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -22,7 +22,7 @@ def priced(usage: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def format_cost(value: Column) -> Column:
-    return F.coalesce(F.concat(F.lit("$"), F.format_string("%.4f", value)), F.lit("unpriced"))
+    return F.when(value.isNull(), "unpriced").otherwise(F.concat(F.lit("$"), F.format_string("%.4f", value)))
 
 
 def limited(hits: DataFrame, limit: int, window_ms: int, key: str = "key", at: str = "now_ms", order: str | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ def gate_words(ceiling: float) -> int:
 class Rule:
     """A rule in two steps, so that the plan stays linear in the number of rules.
 
-    find(text, lexicon) gives the findings of a text; grade(findings, row)
+    find(text, lexicon) gives the findings of a Source; grade(findings, row)
     gives the rule's struct from them and from the columns text, word_count
     and sentence_lengths.
     """
@@ -35,12 +35,26 @@ class Rule:
     name: str
     kind: str
     languages: tuple[str, ...]
-    find: Callable[[Column, Lexicon], Column]
+    find: Callable[[Source, Lexicon], Column]
     grade: Callable[[Column, Row], Column]
     constants: tuple[tuple[str, float], ...] = ()
     weight: float = 1.0
 
 
+@dataclass(frozen=True)
+class Source:
+    """A text, and its folded form for plain searches."""
+
+    text: Column
+    low: Column
+
+    def has(self, *strings: str) -> Column:
+        out = F.lit(True)
+        for x in strings:
+            out = out & F.contains(self.low, F.lit(x))
+        return out
+
+
 @dataclass(frozen=True)
 class Row:
     text: Column
@@ -68,34 +82,34 @@ def density(rule: str, findings: Column, words: Column, floor: float, ceiling: f
     return result(rule, "density", findings, measure.cast("double"), K.band_score(measure, floor, ceiling), abstains, F.lit(gate), reason)
 
 
-def entry_findings(text: Column, lexicon: Lexicon, rule: str) -> Column:
+def entry_findings(text: Source, lexicon: Lexicon, rule: str) -> Column:
     """Hits of all entries, each counted for itself, without those that exceptions suppress, by offset."""
     found = []
     for e in lexicon.of(rule):
-        hits = K.find(text, e.pattern)
+        hits = K.find(text.text, e.pattern, needs=text.has(*e.literals) if e.literals else None)
         if e.unless:
-            hits = K.without_contained(hits, F.concat(*(K.find(text, p) for p in e.unless_pattern)))
+            hits = K.without_contained(hits, F.concat(*(K.find(text.text, p) for p in e.unless_pattern)))
         found.append(hits)
     if not found:
         raise ValueError(f"lexicon {lexicon.language} has no entry for {rule}")
     return K.by_offset(rule_exceptions(F.concat(*found), text, lexicon, rule))
 
 
-def rule_exceptions(findings: Column, text: Column, lexicon: Lexicon, rule: str) -> Column:
+def rule_exceptions(findings: Column, text: Source, lexicon: Lexicon, rule: str) -> Column:
     phrases = lexicon.exceptions.get(rule, ())
     if not phrases:
         return findings
-    return K.without_contained(findings, K.find(text, f"(?iu)(?:{'|'.join(phrase_pattern(p) for p in phrases)})"))
+    return K.without_contained(findings, K.find(text.text, f"(?iu)(?:{'|'.join(phrase_pattern(p) for p in phrases)})"))
 
 
 def lexicon_rule(name: str, floor: float, ceiling: float, constants: tuple = ()) -> Rule:
     return Rule(name, "density", ("sr", "en"), lambda t, lex: entry_findings(t, lex, name), lambda f, row: density(name, f, row.words, floor, ceiling), constants)
 
 
-def pattern_rule(name: str, languages: tuple[str, ...], pattern: str, floor: float, ceiling: float) -> Rule:
+def pattern_rule(name: str, languages: tuple[str, ...], pattern: str, floor: float, ceiling: float, needs: str) -> Rule:
     """A pattern of two groups, what precedes the finding and the finding; rule exceptions of the lexicon apply."""
     constants = ((f"{name}.floor", floor), (f"{name}.ceiling", ceiling))
-    return Rule(name, "density", languages, lambda t, lex: rule_exceptions(K.find(t, pattern, True), t, lex, name), lambda f, row: density(name, f, row.words, floor, ceiling), constants)
+    return Rule(name, "density", languages, lambda t, lex: rule_exceptions(K.find(t.text, pattern, True, t.has(needs)), t, lex, name), lambda f, row: density(name, f, row.words, floor, ceiling), constants)
 
 
 BLANK, LINE_BLANK = r"\s", r"\x20\t\r\f"
@@ -106,7 +120,7 @@ def mid_sentence(text: Column, offset: Column) -> Column:
     return F.left(text, offset).rlike(rf"[^\n\s.!?…:\"'“„«(\[]{K.WS.replace(BLANK, LINE_BLANK)}*\z")
 
 
-def _none(text: Column, _: Lexicon) -> Column:
+def _none(text: Source, _: Lexicon) -> Column:
     return K.none_found()
 
 
@@ -115,16 +129,16 @@ def _grade_diacritics(f: Column, row: Row) -> Column:
     return result("diacritics", "hard", f, F.lit(None).cast("double"), F.when(has_diacritics(row.text), 1.0).otherwise(0.0), few, F.lit(40), F.when(few, "not measured: needs 40 words").otherwise("letters with diacritics looked for"))
 
 
-def _find_formal(text: Column, _: Lexicon) -> Column:
-    return F.filter(K.find(text, r"(?<![\p{L}])V(?:i|as|am|ama|aš\p{L}{0,4}|aše\p{L}{0,3})(?![\p{L}])"), lambda h: mid_sentence(text, h["offset"]))
+def _find_formal(text: Source, _: Lexicon) -> Column:
+    return F.filter(K.find(text.text, r"(?<![\p{L}])V(?:i|as|am|ama|aš\p{L}{0,4}|aše\p{L}{0,3})(?![\p{L}])", needs=F.contains(text.text, F.lit("V"))), lambda h: mid_sentence(text.text, h["offset"]))
 
 
 def _grade_formal(f: Column, row: Row) -> Column:
     return result("formal-address", "hard", f, F.lit(None).cast("double"), F.when(F.size(f) == 0, 1.0).otherwise(0.0), F.lit(False), F.lit(None), F.concat(F.size(f).cast("string"), F.lit(" capitals in mid-sentence")))
 
 
-def _find_bold(text: Column, _: Lexicon) -> Column:
-    return K.by_offset(F.concat(K.find(text, r"(\*\*)([^*\n]+)\*\*", True), K.find(text, r"(__)([^_\n]+)__", True)))
+def _find_bold(text: Source, _: Lexicon) -> Column:
+    return K.by_offset(F.concat(K.find(text.text, r"(\*\*)([^*\n]+)\*\*", True, text.has("**")), K.find(text.text, r"(__)([^_\n]+)__", True, text.has("__"))))
 
 
 def _grade_bold(f: Column, row: Row) -> Column:
@@ -147,10 +161,10 @@ RULES: tuple[Rule, ...] = (
     *(lexicon_rule(n, 1.0, 6.0, _PHRASE) for n in ("weasel-words", "editorializing", "promotional-tone", "inflated-vocabulary", "summary-close")),
     lexicon_rule("transition-density", 4.0, 20.0, (("transition-density.floor", 4.0), ("transition-density.ceiling", 20.0))),
     lexicon_rule("rule-of-three", 2.0, 12.0, (("rule-of-three.floor", 2.0), ("rule-of-three.ceiling", 12.0))),
-    pattern_rule("bullet-bold-shape", ("sr", "en"), r"((?<![^\n\r  ])[ \t]*[-*+][ \t]+)(\*\*[^*\n]+\*\*:?)[ \t]*\S", 2.0, 20.0),
-    pattern_rule("verbal-adverb-close", ("sr",), rf"(?<![\p{{L}}])()(\p{{L}}{{2,}}(?:jući|ći)){END}", 1.5, 8.0),
-    pattern_rule("participial-close", ("en",), rf"(,[ \t]+)(\p{{L}}{{3,}}ing)(?![\p{{L}}])[^.!?\n]{{0,120}}?{END}", 2.0, 12.0),
-    Rule("em-dash-density", "density", ("sr", "en"), lambda t, _: K.find(t, "—"), lambda f, row: density("em-dash-density", f, row.words, 2.0, 15.0), (("em-dash-density.floor", 2.0), ("em-dash-density.ceiling", 15.0))),
+    pattern_rule("bullet-bold-shape", ("sr", "en"), r"((?<![^\n\r  ])[ \t]*[-*+][ \t]+)(\*\*[^*\n]+\*\*:?)[ \t]*\S", 2.0, 20.0, "**"),
+    pattern_rule("verbal-adverb-close", ("sr",), rf"(?<![\p{{L}}])()(\p{{L}}{{2,}}(?:jući|ći)){END}", 1.5, 8.0, "ći"),
+    pattern_rule("participial-close", ("en",), rf"(,[ \t]+)(\p{{L}}{{3,}}ing)(?![\p{{L}}])[^.!?\n]{{0,120}}?{END}", 2.0, 12.0, "ing"),
+    Rule("em-dash-density", "density", ("sr", "en"), lambda t, _: K.find(t.text, "—", needs=t.has("—")), lambda f, row: density("em-dash-density", f, row.words, 2.0, 15.0), (("em-dash-density.floor", 2.0), ("em-dash-density.ceiling", 15.0))),
     Rule("bold-ratio", "density", ("sr", "en"), _find_bold, _grade_bold, (("bold-ratio.floor", 20.0), ("bold-ratio.ceiling", 120.0))),
     Rule("sentence-uniformity", "density", ("sr", "en"), _none, _grade_uniformity, (("sentence-uniformity.target-sd", 6.0), ("sentence-uniformity.min-sentences", 6.0))),
 )

@@ -22,8 +22,14 @@ CUSTOM = {x.language: Lexicon(x.language, "custom", {**x.entries, **_DENSE}, x.e
 _DENSITIES = ("per_thousand", "score")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files make fewer partitions than there are; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
