@@ -16,10 +16,6 @@ BOUNDARY = r"[.!?…]+|\n[ \t]*\n|\n(?=[ \t]*(?:#{1,6}[ \t]|[-*+][ \t]|>[ \t]|\d
 FINDING = "array<struct<text:string,offset:int,end:int>>"
 
 
-def none_found() -> Column:
-    return F.array().cast(FINDING)
-
-
 def count_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD))
 
@@ -52,40 +48,42 @@ def folded(text: Column) -> Column:
     return F.lower(F.translate(text, "ſıİ", "sii"))
 
 
-def find(text: Column, pattern: str, hit: bool = False, needs: Column | None = None) -> Column:
-    """Non-overlapping matches from the left, as FINDING. Where `needs` is false there is none, and no pattern runs.
+def quoted(text: str) -> str:
+    """A string literal of SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    What lies between matches gives their places, so no UDF is needed. With
-    hit, group 1 is what precedes the reported group 2 inside a match.
-    """
-    p = F.lit(pattern)
-    whole = F.regexp_extract_all(text, p, F.lit(0))
-    columns = [F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole")]
-    if hit:
-        columns += [F.regexp_extract_all(text, p, F.lit(1)).alias("lead"), F.regexp_extract_all(text, p, F.lit(2)).alias("shown")]
 
-    def step(acc: Column, row: Column) -> Column:
-        start = acc["at"] + F.length(row["gap"])
-        shown = row["shown"] if hit else row["whole"]
-        offset = start + F.length(row["lead"]) if hit else start
-        found = F.struct(shown.alias("text"), offset.alias("offset"), (offset + F.length(shown)).alias("end"))
-        return F.struct((start + F.length(row["whole"])).alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
+# The next functions give SQL text: one parse of an expression in the JVM takes
+# the place of hundreds of calls to it.
+NONE_FOUND = f"cast(array() as {FINDING})"
 
-    start = F.struct(F.lit(0).alias("at"), none_found().alias("out"))
-    some = text.rlike(pattern) if needs is None else F.when(needs, text.rlike(pattern)).otherwise(F.lit(False))
-    return F.when(some, F.aggregate(F.arrays_zip(*columns), start, step, lambda acc: acc["out"])).otherwise(none_found())
 
+def find(text: str, pattern: str, hit: bool = False, needs: str | None = None) -> str:
+    """Non-overlapping matches of a column from the left, as FINDING. Where the condition `needs` is false there is none, and no pattern runs.
 
-def without_contained(hits: Column, spans: Column) -> Column:
+    What lies between matches gives their places, so no UDF is needed. With
+    hit, group 1 is what precedes the reported group 2 inside a match.
+    """
+    p = quoted(pattern)
+    group = lambda n: f"regexp_extract_all({text}, {p}, {n})"
+    columns = [f"slice(split({text}, {p}, -1), 1, size({group(0)}))", group(0), *([group(1), group(2)] if hit else [])]
+    shown = "row.`3`" if hit else "row.`1`"
+    offset = "acc.at + length(row.`0`)" + (" + length(row.`2`)" if hit else "")
+    one = f"named_struct('text', {shown}, 'offset', {offset}, 'end', {offset} + length({shown}))"
+    step = f"named_struct('at', acc.at + length(row.`0`) + length(row.`1`), 'out', concat(acc.out, array({one})))"
+    some = f"rlike({text}, {p})" if needs is None else f"CASE WHEN {needs} THEN rlike({text}, {p}) ELSE false END"
+    return f"CASE WHEN {some} THEN aggregate(arrays_zip({', '.join(columns)}), named_struct('at', 0, 'out', {NONE_FOUND}), (acc, row) -> {step}, acc -> acc.out) ELSE {NONE_FOUND} END"
+
+
+def without_contained(hits: str, spans: str) -> str:
     """Hits that neither contain one of the spans nor lie in one."""
-    inside = lambda a, b: (a["offset"] >= b["offset"]) & (a["end"] <= b["end"])
-    return F.filter(hits, lambda h: ~F.exists(spans, lambda s: inside(h, s) | inside(s, h)))
+    inside = lambda a, b: f"({a}.offset >= {b}.offset AND {a}.`end` <= {b}.`end`)"
+    return f"filter({hits}, h -> NOT exists({spans}, s -> {inside('h', 's')} OR {inside('s', 'h')}))"
 
 
-def by_offset(hits: Column) -> Column:
+def by_offset(hits: str) -> str:
     """Stable order by offset: of equal offsets, that of the input stays."""
-    numbered = F.transform(hits, lambda h, i: F.struct(h["offset"].alias("k"), i.alias("i"), h.alias("h")))
-    return F.transform(F.array_sort(numbered), lambda x: x["h"])
+    return f"transform(array_sort(transform({hits}, (h, i) -> named_struct('k', h.offset, 'i', i, 'h', h))), x -> x.h)"
 
 
 def sentence_lengths(text: Column) -> Column:
@@ -109,12 +107,11 @@ def sentences(text: Column) -> Column:
     return F.filter(F.aggregate(pieces, start, step, lambda acc: acc["out"]), lambda s: s["words"] > 0)
 
 
-def deviation(numbers: Column) -> Column:
-    """Population standard deviation of an array, 0 under two elements."""
-    n = F.size(numbers)
-    mean = F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x) / F.greatest(n, F.lit(1))
-    squares = F.aggregate(numbers, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    return F.when(n < 2, F.lit(0.0)).otherwise(F.sqrt(squares / F.greatest(n, F.lit(1))))
+def deviation(numbers: str) -> Column:
+    """Population standard deviation of an array column in one pass, 0 under two elements."""
+    mean = "(a.m + (v - a.m) / (a.n + 1))"
+    step = f"named_struct('n', a.n + 1, 'm', {mean}, 's', a.s + (v - a.m) * (v - {mean}))"
+    return F.expr(f"aggregate({numbers}, named_struct('n', 0D, 'm', 0D, 's', 0D), (a, v) -> {step}, a -> CASE WHEN a.n < 2 THEN 0D ELSE sqrt(a.s / a.n) END)")
 
 
 def per_thousand(n: Column, of: Column) -> Column:

@@ -26,12 +26,12 @@ def checked(df: DataFrame, lexicons: dict[str, Lexicon] | None = None, rules: tu
     df = detect(df, text).drop("sr_votes", "en_votes", "basis") if language is None else df.withColumn("language", F.col(language))
     t = F.col(text)
     df = df.withColumn("_low", K.folded(t))
-    source = Source(t, F.col("_low"))
+    source = Source(f"`{text}`", "_low")
     # step 1: what needs the text's regular expressions; step 2: structs from these columns
     found, graded = {}, {}
     for x in ("sr", "en"):
         for r in rules_for(x, rules):
-            found.setdefault(r.name, []).append((x, r.find(source, lexicons[x])))
+            found.setdefault(r.name, []).append((x, F.expr(r.find(source, lexicons[x]))))
     hits = {}
     for name, options in found.items():
         column = None
@@ -39,11 +39,12 @@ def checked(df: DataFrame, lexicons: dict[str, Lexicon] | None = None, rules: tu
             column = F.when(F.col("language") == x, value) if column is None else column.when(F.col("language") == x, value)
         hits[name] = column
     df = df.select("*", K.count_words(t).alias("word_count"), K.sentence_lengths(t).alias("_lengths"), *(v.alias(f"_f_{k}") for k, v in hits.items()))
-    row = Row(t, F.col("word_count"), F.col("_lengths"))
+    df = df.withColumn("_sd", K.deviation("_lengths"))
+    row = Row(t, F.col("word_count"), F.col("_lengths"), F.col("_sd"))
     for x in ("sr", "en"):
         graded[x] = F.array(*(r.grade(F.col(f"`_f_{r.name}`"), row) for r in rules_for(x, rules)))
     df = df.withColumn("rules", F.when(F.col("language") == "sr", graded["sr"]).when(F.col("language") == "en", graded["en"]))
-    return df.drop("_low", "_lengths", *(f"_f_{k}" for k in hits))
+    return df.drop("_low", "_lengths", "_sd", *(f"_f_{k}" for k in hits))
 
 
 def rule_results(done: DataFrame, key: str = "doc_id") -> DataFrame:

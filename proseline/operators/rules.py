@@ -27,15 +27,14 @@ def gate_words(ceiling: float) -> int:
 class Rule:
     """A rule in two steps, so that the plan stays linear in the number of rules.
 
-    find(text, lexicon) gives the findings of a Source; grade(findings, row)
-    gives the rule's struct from them and from the columns text, word_count
-    and sentence_lengths.
+    find(source, lexicon) gives SQL for the findings; grade(findings, row)
+    gives the rule's struct from them and from what a Row holds.
     """
 
     name: str
     kind: str
     languages: tuple[str, ...]
-    find: Callable[[Source, Lexicon], Column]
+    find: Callable[[Source, Lexicon], str]
     grade: Callable[[Column, Row], Column]
     constants: tuple[tuple[str, float], ...] = ()
     weight: float = 1.0
@@ -43,16 +42,13 @@ class Rule:
 
 @dataclass(frozen=True)
 class Source:
-    """A text, and its folded form for plain searches."""
+    """The names of a text column, and of its folded form for plain searches."""
 
-    text: Column
-    low: Column
+    text: str
+    low: str
 
-    def has(self, *strings: str) -> Column:
-        out = F.lit(True)
-        for x in strings:
-            out = out & F.contains(self.low, F.lit(x))
-        return out
+    def has(self, *strings: str) -> str | None:
+        return " AND ".join(f"contains({self.low}, {K.quoted(x)})" for x in strings) or None
 
 
 @dataclass(frozen=True)
@@ -60,6 +56,7 @@ class Row:
     text: Column
     words: Column
     lengths: Column
+    deviation: Column
 
 
 def result(rule: str, kind: str, findings: Column, measure: Column, score: Column, abstains: Column, min_words: Column, reason: Column) -> Column:
@@ -82,24 +79,24 @@ def density(rule: str, findings: Column, words: Column, floor: float, ceiling: f
     return result(rule, "density", findings, measure.cast("double"), K.band_score(measure, floor, ceiling), abstains, F.lit(gate), reason)
 
 
-def entry_findings(text: Source, lexicon: Lexicon, rule: str) -> Column:
+def entry_findings(source: Source, lexicon: Lexicon, rule: str) -> str:
     """Hits of all entries, each counted for itself, without those that exceptions suppress, by offset."""
     found = []
     for e in lexicon.of(rule):
-        hits = K.find(text.text, e.pattern, needs=text.has(*e.literals) if e.literals else None)
+        hits = K.find(source.text, e.pattern, needs=source.has(*e.literals))
         if e.unless:
-            hits = K.without_contained(hits, F.concat(*(K.find(text.text, p) for p in e.unless_pattern)))
+            hits = K.without_contained(hits, f"concat({', '.join(K.find(source.text, p) for p in e.unless_pattern)})")
         found.append(hits)
     if not found:
         raise ValueError(f"lexicon {lexicon.language} has no entry for {rule}")
-    return K.by_offset(rule_exceptions(F.concat(*found), text, lexicon, rule))
+    return K.by_offset(rule_exceptions(f"concat({', '.join(found)})", source, lexicon, rule))
 
 
-def rule_exceptions(findings: Column, text: Source, lexicon: Lexicon, rule: str) -> Column:
+def rule_exceptions(findings: str, source: Source, lexicon: Lexicon, rule: str) -> str:
     phrases = lexicon.exceptions.get(rule, ())
     if not phrases:
         return findings
-    return K.without_contained(findings, K.find(text.text, f"(?iu)(?:{'|'.join(phrase_pattern(p) for p in phrases)})"))
+    return K.without_contained(findings, K.find(source.text, f"(?iu)(?:{'|'.join(phrase_pattern(p) for p in phrases)})"))
 
 
 def lexicon_rule(name: str, floor: float, ceiling: float, constants: tuple = ()) -> Rule:
@@ -112,16 +109,13 @@ def pattern_rule(name: str, languages: tuple[str, ...], pattern: str, floor: flo
     return Rule(name, "density", languages, lambda t, lex: rule_exceptions(K.find(t.text, pattern, True, t.has(needs)), t, lex, name), lambda f, row: density(name, f, row.words, floor, ceiling), constants)
 
 
-BLANK, LINE_BLANK = r"\s", r"\x20\t\r\f"
-
-
-def mid_sentence(text: Column, offset: Column) -> Column:
-    """What precedes on the line is neither nothing, nor an end of a sentence, nor an opening quote or bracket."""
-    return F.left(text, offset).rlike(rf"[^\n\s.!?…:\"'“„«(\[]{K.WS.replace(BLANK, LINE_BLANK)}*\z")
+LINE_BLANK = K.WS.replace(r"\s", r"\x20\t\r\f")
+#: What may stand before a word in mid-sentence: neither nothing, nor an end of a sentence, nor an opening quote or bracket.
+MID_SENTENCE = rf"[^\n\s.!?…:\"'“„«(\[]{LINE_BLANK}*\z"
 
 
-def _none(text: Source, _: Lexicon) -> Column:
-    return K.none_found()
+def _none(_: Source, __: Lexicon) -> str:
+    return K.NONE_FOUND
 
 
 def _grade_diacritics(f: Column, row: Row) -> Column:
@@ -129,16 +123,18 @@ def _grade_diacritics(f: Column, row: Row) -> Column:
     return result("diacritics", "hard", f, F.lit(None).cast("double"), F.when(has_diacritics(row.text), 1.0).otherwise(0.0), few, F.lit(40), F.when(few, "not measured: needs 40 words").otherwise("letters with diacritics looked for"))
 
 
-def _find_formal(text: Source, _: Lexicon) -> Column:
-    return F.filter(K.find(text.text, r"(?<![\p{L}])V(?:i|as|am|ama|aš\p{L}{0,4}|aše\p{L}{0,3})(?![\p{L}])", needs=F.contains(text.text, F.lit("V"))), lambda h: mid_sentence(text.text, h["offset"]))
+def _find_formal(source: Source, _: Lexicon) -> str:
+    hits = K.find(source.text, r"(?<![\p{L}])V(?:i|as|am|ama|aš\p{L}{0,4}|aše\p{L}{0,3})(?![\p{L}])", needs=f"contains({source.text}, 'V')")
+    return f"filter({hits}, h -> rlike(left({source.text}, h.offset), {K.quoted(MID_SENTENCE)}))"
 
 
 def _grade_formal(f: Column, row: Row) -> Column:
     return result("formal-address", "hard", f, F.lit(None).cast("double"), F.when(F.size(f) == 0, 1.0).otherwise(0.0), F.lit(False), F.lit(None), F.concat(F.size(f).cast("string"), F.lit(" capitals in mid-sentence")))
 
 
-def _find_bold(text: Source, _: Lexicon) -> Column:
-    return K.by_offset(F.concat(K.find(text.text, r"(\*\*)([^*\n]+)\*\*", True, text.has("**")), K.find(text.text, r"(__)([^_\n]+)__", True, text.has("__"))))
+def _find_bold(source: Source, _: Lexicon) -> str:
+    stars, lines = K.find(source.text, r"(\*\*)([^*\n]+)\*\*", True, source.has("**")), K.find(source.text, r"(__)([^_\n]+)__", True, source.has("__"))
+    return K.by_offset(f"concat({stars}, {lines})")
 
 
 def _grade_bold(f: Column, row: Row) -> Column:
@@ -147,7 +143,7 @@ def _grade_bold(f: Column, row: Row) -> Column:
 
 
 def _grade_uniformity(f: Column, row: Row) -> Column:
-    sd, few = K.deviation(row.lengths), F.size(row.lengths) < 6
+    sd, few = row.deviation, F.size(row.lengths) < 6
     return result("sentence-uniformity", "density", f, sd, F.least(F.lit(1.0), sd / 6.0), few, F.lit(None), F.when(few, "not measured: needs 6 sentences").otherwise("deviation of sentence lengths"))
 
 

@@ -54,7 +54,7 @@ def word_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs(spark, sf_dir).select("doc_id", K.sentence_lengths(F.col("text")).alias("x"))
     mean = F.aggregate("x", F.lit(0.0), lambda a, n: a + n) / F.greatest(F.size("x"), F.lit(1))
-    return rounded(rows.select("doc_id", F.size("x").cast("long").alias("n_sentences"), mean.alias("mean_words"), K.deviation(F.col("x")).alias("sd")), "mean_words", "sd")
+    return rounded(rows.select("doc_id", F.size("x").cast("long").alias("n_sentences"), mean.alias("mean_words"), K.deviation("x").alias("sd")), "mean_words", "sd")
 
 
 def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,7 +64,7 @@ def test_findings_slice_back(done):
 
 def test_words_and_sentences(spark):
     texts = ["šećer čaša đak", "- **bold** text", "don’t re-do 3 a1", "", "one\ntwo", "one.\n\ntwo", "- a\n- b\n- c", "3.5 is x", "# h\ntext"]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", K.count_words(F.col("t")).alias("w"), F.size(K.sentence_lengths(F.col("t"))).alias("s"), K.sentences(F.col("t")).alias("x"), K.deviation(F.array(*map(F.lit, [2, 4, 4, 4, 5, 5, 7, 9]))).alias("sd")).orderBy("i").collect()
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", K.count_words(F.col("t")).alias("w"), F.size(K.sentence_lengths(F.col("t"))).alias("s"), K.sentences(F.col("t")).alias("x"), K.deviation("array(2, 4, 4, 4, 5, 5, 7, 9)").alias("sd")).orderBy("i").collect()
     assert [r.w for r in rows] == [3, 2, 3, 0, 2, 2, 3, 2, 2]
     assert [r.s for r in rows][4:7] == [1, 2, 3] and all(r.s == len(r.x) for r in rows) and rows[0].sd == 2
     assert all(texts[r.i][s.offset : s.offset + len(s.text)] == s.text for r in rows for s in r.x)
