@@ -10,13 +10,11 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 def limited_stream(hits: DataFrame, limit: int, window_ms: int) -> DataFrame:
     """(key, now_ms, allowed) of a stream of (key string, now_ms long): per key a count and the end of its window are state.
 
-    A key's state goes when its window has been over for as long again.
+    State is two longs for each key and is kept: a timeout by the clock would
+    make the stream run batches without data for ever.
     """
 
     def update(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
         count, until = state.get if state.exists else (0, 0)
         rows = pd.concat(list(batches)).sort_values("now_ms", kind="stable")
         out = []
@@ -26,7 +24,6 @@ def limited_stream(hits: DataFrame, limit: int, window_ms: int) -> DataFrame:
             count += 1
             out.append(count <= limit)
         state.update((count, until))
-        state.setTimeoutDuration(max(1, 2 * window_ms))
         yield pd.DataFrame({"key": key[0], "now_ms": rows["now_ms"], "allowed": out})
 
-    return hits.groupBy("key").applyInPandasWithState(update, "key string, now_ms long, allowed boolean", "count long, until long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return hits.groupBy("key").applyInPandasWithState(update, "key string, now_ms long, allowed boolean", "count long, until long", "append", GroupStateTimeout.NoTimeout)

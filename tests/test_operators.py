@@ -142,9 +142,9 @@ def test_limiter_on_a_stream(spark, tmp_path):
     for i, rows in enumerate(parts):
         pd.DataFrame(rows, columns=["key", "now_ms"]).to_parquet(tmp_path / f"{i}.parquet")
     stream = spark.readStream.schema("key string, now_ms long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
-    query = limited_stream(stream, 2, 60000).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").start()
+    query = limited_stream(stream, 2, 60000).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     try:
-        query.processAllAvailable()
+        assert query.awaitTermination(45)
         assert sorted(map(tuple, spark.table("limited").collect())) == brute_limit([x for p in parts for x in p], 2, 60000)
     finally:
         query.stop()
