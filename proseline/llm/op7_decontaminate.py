@@ -1,16 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. The n-grams of all test items are counted in the whole corpus.
-2. Seeds: of every WINDOW neighbouring n-grams of an item the rarest is one,
-   so that no stretch of WINDOW + N - 1 unbroken words is without a seed,
-   however common a passage is in the corpus.
-3. A document that has a seed is aligned with the seed's item around it,
-   unless it has too few of the item's words there to reach the threshold.
-4. The alignment is local, over words: +1 for a match, PENALTY for an edit.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+1. Seeds are all pairs of neighbouring words of the test items. An alignment
+   of m words with e edits has m - e - 1 of them at least, so one that reaches
+   THRESHOLD has `least` of its item's seeds within `span` words, whatever was
+   edited. In items so short that none need survive, single words are seeds.
+2. A document is aligned with an item around places that have that many,
+   unless the item's words and pairs there are too few for the threshold.
+3. The alignment is local, over words: +1 for a match, PENALTY for an edit.
    Its score is divided by the item's length; THRESHOLD and above counts.
 
-Items go to the workers in blocks of at most BLOCK_WORDS words, one pass over
-the documents for each block, so what is broadcast has a fixed bound.
+So the result is that of aligning every document with every item. Items go to
+the workers in blocks of at most BLOCK_WORDS words, one pass over the
+documents for each block, so what is broadcast has a fixed bound.
 
 Defined results: null and empty texts match nothing, nor do items of fewer
 than N words. An item's best place in a document is given once. Equal items
@@ -19,6 +20,7 @@ are given each. Texts are read whole. Empty tables give no rows.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from proseline.llm.common import slices, table
 
-N, WINDOW, PENALTY, THRESHOLD = 3, 2, 0.5, 0.6
+N, PENALTY, THRESHOLD = 3, 0.5, 0.6
 BLOCK_WORDS = 1_000_000
 SCHEMA = "doc_id long, item_id long, score double, start long, end long"
 
@@ -40,57 +42,56 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Items:
-    """A block of items as numbers: word ids, and codes of n-grams of word ids."""
+    """A block of items as numbers: word ids, and seeds, which are codes of words or pairs of words."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], threshold: float = THRESHOLD):
+        self.threshold = threshold
         self.vocabulary: dict[str, int] = {}
-        self.words: dict[int, np.ndarray] = {}
+        words: dict[int, np.ndarray] = {}
         for key, text in rows:
             w = words_of(text)
             if len(w) >= N:
-                self.words[key] = np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.int64)
+                words[key] = np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.int64)
+        self.keys, self.words = list(words), list(words.values())
         self.base = len(self.vocabulary) + 1
-        assert self.base**N < 1 << 63, "too many words in a block"
-        self.grams = np.unique(np.concatenate([self.codes(w) for w in self.words.values()])) if self.words else np.zeros(0, np.int64)
-        self.places: dict[int, list[tuple[int, int]]] = {}
-
-    def codes(self, w: np.ndarray) -> np.ndarray:
-        n = max(0, len(w) - N + 1)
-        out = np.zeros(n, np.int64)
-        for k in range(N):
-            out = out * self.base + w[k : k + n]
-        return out
+        size = np.array([len(w) for w in self.words], np.int64)
+        edits = (1 - threshold) / PENALTY * size  # most that an alignment can have
+        pairs = np.ceil(size - edits - 1 - 1e-9).astype(np.int64)
+        self.paired = pairs > 0
+        self.least = np.where(self.paired, pairs, np.maximum(1, np.ceil(threshold * size - 1e-9)).astype(np.int64))
+        self.span = size + np.floor(edits + 1e-9).astype(np.int64)
+        # seeds[i] is in the items owner[first[i]:first[i + 1]]
+        codes = [np.unique(w[:-1] * self.base + w[1:] if paired else w) for w, paired in zip(self.words, self.paired, strict=True)]
+        every = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+        order = np.argsort(every, kind="stable")
+        self.owner = np.repeat(np.arange(len(codes)), [len(c) for c in codes])[order]
+        self.seeds, first = np.unique(every[order], return_index=True)
+        self.first = np.append(first, len(every))
+        self.own = [np.searchsorted(self.seeds, c) for c in codes]
 
     def number(self, text: str | None) -> np.ndarray:
         get = self.vocabulary.get
         w = words_of(text)
         return np.fromiter([get(x, 0) for x in w], np.int64, len(w))
 
-    def hits(self, w: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Places of w where an n-gram in wanted (sorted) starts."""
-        if len(w) < N or not len(wanted):
-            return np.zeros(0, np.int64)
+    def hits(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of w where a seed starts, and which."""
         known = w > 0
-        full = known[: len(w) - N + 1].copy()
-        for k in range(1, N):
-            full &= known[k : len(w) - N + 1 + k]
-        spots = np.nonzero(full)[0]
-        if not len(spots):
-            return spots
-        code = np.zeros(len(spots), np.int64)
-        for k in range(N):
-            code = code * self.base + w[spots + k]
-        at = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
-        return spots[wanted[at] == code]
-
-    def seed(self, counts: dict[int, int]) -> None:
-        """Of every WINDOW neighbouring n-grams of an item take the rarest."""
-        for key, w in self.words.items():
-            codes = self.codes(w).tolist()
-            chosen = {min(range(i, min(i + WINDOW, len(codes))), key=lambda k: (counts.get(codes[k], 0), k)) for i in range(max(1, len(codes) - WINDOW + 1))}  # noqa: B023
-            for k in sorted(chosen):
-                self.places.setdefault(codes[k], []).append((key, k))
-        self.seeds = np.array(sorted(self.places), np.int64)
+        spots = np.nonzero(known[:-1] & known[1:])[0]
+        codes = w[spots] * self.base + w[spots + 1]
+        if not self.paired.all():
+            single = np.nonzero(known)[0]
+            spots, codes = np.concatenate([spots, single]), np.concatenate([codes, w[single]])
+        at = np.minimum(np.searchsorted(self.seeds, codes), len(self.seeds) - 1)
+        right = self.seeds[at] == codes
+        return spots[right], at[right]
+
+    def likely(self, seeds: np.ndarray) -> np.ndarray:
+        """The items of which the seeds found are enough."""
+        found, times = np.unique(seeds, return_counts=True)
+        n = self.first[found + 1] - self.first[found]
+        inside = np.arange(n.sum()) + np.repeat(self.first[found] - (np.cumsum(n) - n), n)
+        return np.nonzero(np.bincount(self.owner[inside], np.repeat(times, n), len(self.words)) >= self.least)[0]
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
@@ -109,64 +110,43 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
-def matches(items: Items, w: np.ndarray, threshold: float) -> list[tuple[int, float, int, int]]:
+def matches(items: Items, w: np.ndarray) -> list[tuple[int, float, int, int]]:
     """(item, score, start, end) of the items that a document's words contain."""
-    diagonals: dict[int, list[int]] = {}
-    for p in items.hits(w, items.seeds).tolist():
-        code = 0
-        for k in range(N):
-            code = code * items.base + int(w[p + k])
-        for key, offset in items.places[code]:
-            diagonals.setdefault(key, []).append(p - offset)
     out = []
-    for key, found in diagonals.items():
-        item = items.words[key]
-        need, slack = threshold * len(item) - 1e-9, len(item) // 2 + 4
+    spots, seeds = items.hits(w)
+    for k in items.likely(seeds).tolist() if len(spots) else []:
+        item, least, span = items.words[k], int(items.least[k]), int(items.span[k])
+        need = items.threshold * len(item) - 1e-9
+        found = np.sort(spots[np.isin(seeds, items.own[k])])
+        dense = np.nonzero(found[least - 1 :] - found[: len(found) - least + 1] < span)[0]
+        if not len(dense):
+            continue
+        starts, ends = np.maximum(found[dense] - span, 0), np.minimum(found[dense + least - 1] + span + 1, len(w))
+        cuts = np.nonzero(starts[1:] > ends[:-1])[0] + 1
         best = None
-        found.sort()
-        at = 0
-        while at < len(found):
-            a, b = found[at] - slack, found[at] + len(item) + slack
-            at += 1
-            while at < len(found) and found[at] - slack <= b:
-                b = found[at] + len(item) + slack
-                at += 1
-            a, b = max(0, a), min(len(w), b)
+        for a, b in zip(starts[np.append(0, cuts)].tolist(), ends[np.append(cuts - 1, len(ends) - 1)].tolist(), strict=True):
             passage = w[a:b]
-            if np.count_nonzero(np.isin(item, passage)) >= need:
+            most = np.count_nonzero(np.isin(item, passage))
+            if items.paired[k]:
+                pairs = np.searchsorted(found, b) - np.searchsorted(found, a)
+                most = min(most, (1 - PENALTY) * most + PENALTY * (pairs + 1))  # words that aren't in pairs stand between edits
+            if most >= need:
                 score, end = align(item, passage)
                 if score >= need and (best is None or score > best[0]):
-                    best = (score, a, a + end)
+                    last = passage[max(0, end - span) : end]
+                    best = (score, a + end - align(item[::-1], last[::-1])[1], a + end)
         if best:
-            out.append((key, best[0] / len(item), best[1], best[2]))
+            out.append((items.keys[k], best[0] / len(item), best[1], best[2]))
     return out
 
 
-def find_block(docs: DataFrame, items: Items, key: str, text: str, threshold: float) -> DataFrame:
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(items)
-
-    def count(batches):
-        own, total = shared.value, None
-        total = np.zeros(len(own.grams), np.int64)
-        for part in slices(batches, 0):
-            for t in part.column(0).to_pylist():
-                w = own.number(t)
-                spots = own.hits(w, own.grams)
-                if len(spots):
-                    total += np.bincount(np.searchsorted(own.grams, own.codes(w)[spots]), minlength=len(total))
-        some = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(own.grams[some]), pa.array(total[some])], names=["gram", "n"])
-
-    # one row for each n-gram of the block at most
-    counts = {r["gram"]: r["n"] for r in docs.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-    items.seed(counts)
-    seeded = context.broadcast(items)
+def find_block(docs: DataFrame, items: Items, key: str, text: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches):
-        own = seeded.value
+        own = shared.value
         for part in slices(batches):
-            rows = [(k, *m) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for m in matches(own, own.number(t), threshold)]
+            rows = [(k, *m) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for m in matches(own, own.number(t))]
             if rows:
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())], names=["doc_id", "item_id", "score", "start", "end"])
@@ -182,9 +162,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     out = None
     for i in range(blocks):
         rows = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).collect()
-        items = Items([(r["item_id"], r["text"]) for r in rows])
+        items = Items([(r["item_id"], r["text"]) for r in rows], threshold)
         if items.words:
-            found = find_block(docs, items, key, text, threshold)
+            found = find_block(docs, items, key, text)
             out = found if out is None else out.union(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 

@@ -50,3 +50,36 @@ def test_whole_passages(spark):
     want = {(d, i) for d, t in docs for i, x in items if f" {x} " in f" {t} "}
     got = {(r.doc_id, r.item_id) for r in op.op7_decontaminate(spark, SF).collect()}
     assert want <= got and len({d for d, _ in got}) <= len({d for d, _ in want}) * 1.1 + 1
+
+
+def test_edits_everywhere_as_all_pairs():
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(400)]
+    items = [(i, " ".join(rng.choice(words, n))) for i, n in enumerate([3, 4, 5, 6, 8, 12, 20, 40, 40, 59])]
+    prose = lambda n: list(rng.choice([*words, *(f"x{k}" for k in range(100))], n))
+    docs = []
+    for _, text in items:
+        for step in (1, 2, 3, 4, 5, 7):
+            for edit in ("insert", "delete", "change", "mixed"):
+                copy = []
+                for k, x in enumerate(text.split(), 1):
+                    how = "keep" if k % step else ("insert", "delete", "change")[k // step % 3] if edit == "mixed" else edit
+                    copy += {"keep": [x], "insert": [x, "new"], "delete": [], "change": ["new"]}[how]
+                docs.append(" ".join(prose(30) + copy + prose(30)))
+        docs.append(docs[-1] + " " + text)  # the whole copy is there too
+    table = op.Items(items)
+    lost = 0
+    for text in docs:
+        w = table.number(text)
+        scores = {key: slow(item, w) for key, item in zip(table.keys, table.words, strict=True)}
+        want = {key: s for key, s in scores.items() if s >= op.THRESHOLD - 1e-9}
+        got = {key: (score, start, end) for key, score, start, end in op.matches(table, w)}
+        assert got.keys() == want.keys()
+        for key, (score, start, end) in got.items():
+            assert abs(score - want[key]) < 1e-9 and abs(slow(table.words[table.keys.index(key)], w[start:end]) - score) < 1e-9
+        lost += len(want)
+    assert lost > 100
+
+
+def slow(item, w):
+    return op.align(item, w)[0] / len(item)
