@@ -7,8 +7,9 @@ out, the span of source characters that it stands for:
 1. homoglyphs: compatibility forms, look-alike letters, foreign digits and
    invisible characters become plain ASCII, or nothing;
 2. spelled digits: runs of three or more digit words become digits;
-3. disguises: (at), [dot] and the like become signs; the bare words only
-   where both stand in one address.
+3. disguises: (at), [dot] and the like become signs; the bare words in what
+   has an address's shape, and dots between digits. Before a plain domain, 'at'
+   after one of the words in PROSE stays a word.
 
 The same detectors run over what comes out, and each hit that no base span of
 its kind overlaps, and that a transducer touched, is mapped back and added.
@@ -122,11 +123,21 @@ SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:{_WORDS}|[0-9])(?:[\x20,-]{{1,2}}(?:{_
 SPELLED_ONE = re.compile(r"(?i)[^\W\d_]+|[0-9]|[^\w]+")
 FIRST = re.compile(r"(?i)zero|one|two|three|four|five|seven|eight|nine|null|eins|zwei|drei|vier|sechs|sieben|acht|neun|zéro|deux|trois|quatre|cinq|sept|huit|neuf|cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve")
 AT, DOT = r"(?:at|arroba|chez|ät)", r"(?:dot|punkt|point|punto)"
-BRACKET_AT = re.compile(rf"(?i)[\x20]?[\[({{<][\x20]?(?:{AT}|@)[\x20]?[\])}}>][\x20]?")
-BRACKET_DOT = re.compile(rf"(?i)[\x20]?[\[({{<][\x20]?(?:{DOT}|\.)[\x20]?[\])}}>][\x20]?")
-BARE = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:\x20{DOT}\x20[A-Za-z0-9_%+-]+|\.[A-Za-z0-9_%+-]+)*(\x20{AT}\x20|@)[A-Za-z0-9-]+(?:(?:\x20{DOT}\x20|\.)[A-Za-z0-9-]+)*\x20{DOT}\x20[A-Za-z0-9-]+")
-BARE_SIGN = re.compile(rf"(?i)\x20({AT}|{DOT})\x20")
-ANY_DOT = re.compile(rf"(?i)\x20{DOT}\x20")
+GAP = r"\s{1,3}"
+BRACKET_AT = re.compile(rf"(?i)\s{{0,3}}[\[({{<]\s?(?:{AT}|@)\s?[\])}}>]\s{{0,3}}")
+BRACKET_DOT = re.compile(rf"(?i)\s{{0,3}}[\[({{<]\s?(?:{DOT}|\.)\s?[\])}}>]\s{{0,3}}")
+BARE = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]++(?:(?:{GAP}{DOT}{GAP}|\.)[A-Za-z0-9_%+-]++)*)(?P<at>{GAP}{AT}{GAP}|@)(?P<domain>[A-Za-z0-9-]++(?:(?:{GAP}{DOT}{GAP}|\.)[A-Za-z0-9-]++)+)")
+BARE_SIGN = re.compile(rf"(?i){GAP}({AT}|{DOT}){GAP}")
+ANY_DOT = re.compile(rf"(?i){GAP}{DOT}{GAP}")
+DIGIT_DOT = re.compile(rf"(?i)(?<=[0-9]){GAP}{DOT}{GAP}(?=[0-9])")
+AT_DOMAIN = re.compile(rf"(?i)(?<![^\W_]){AT}{GAP}[A-Za-z0-9-]++\.[A-Za-z0-9-]")
+# Words that stand before 'at' or 'chez' and a site's name in prose.
+PROSE = frozenset(
+    "look looks looked looking see seen visit visited find finds found read more us me it him her them you is are was were be been here there online site page pages website blog shop store "
+    "available hosted published posted listed sold live based work works worked working buy order ordered register registered sign signed up start started download downloaded "
+    "stay stayed meet met arrive arrived and or but not only also now then today out details information documentation docs "
+    "travaille travaillent travailler achète acheter commande commander commandé est sont ici disponible aller va et ou".split()
+)
 
 
 class Traced:
@@ -179,14 +190,32 @@ def spelled_digits(t: Traced) -> None:
 def disguises(t: Traced) -> None:
     for pattern, sign in ((BRACKET_AT, "@"), (BRACKET_DOT, ".")):
         t.rewrite([(*m.span(), sign) for m in pattern.finditer(t.text)])
-    if ANY_DOT.search(t.text):
+    dots = ANY_DOT.search(t.text)
+    if dots or AT_DOMAIN.search(t.text):
         edits = []
         for m in BARE.finditer(t.text):
-            edits += [(*s.span(), "@" if re.fullmatch(rf"(?i){AT}", s[1]) else ".") for s in BARE_SIGN.finditer(t.text, *m.span())]
+            if addressed(t, m):
+                edits += [(*s.span(), "@" if re.fullmatch(rf"(?i){AT}", s[1]) else ".") for s in BARE_SIGN.finditer(t.text, *m.span())]
         t.rewrite(edits)
+    if dots:
+        t.rewrite([(*m.span(), ".") for m in DIGIT_DOT.finditer(t.text)])
 
 
-HINT = re.compile(r"(?i)[\[({<]\x20?(?:" + AT + "|" + DOT + r"|@|\.)\x20?[\])}>]")
+def addressed(t: Traced, m: re.Match) -> bool:
+    """Whether a match of BARE is an address and no prose."""
+    if ANY_DOT.search(m["domain"]):
+        return True
+    spoken = ANY_DOT.findall(m["local"])
+    if m["at"] == "@":
+        return any(x.strip().lower() == "dot" for x in spoken)
+    if not any(len(x) > 1 and x.isalpha() and (x.islower() or x.isupper()) for x in m["domain"].split(".")[1:]):
+        return False
+    local = m["local"]
+    sure = spoken or any(t.touched[m.start("domain") : m.end("domain")]) or m["at"].strip().lower() in ("arroba", "ät")
+    return bool(sure) or not local.isdigit() and local.lower() not in PROSE
+
+
+HINT = re.compile(r"(?i)[\[({<]\s?(?:" + AT + "|" + DOT + r"|@|\.)\s?[\])}>]")
 #: Characters that a transducer may change; accented letters of prose aren't among them.
 FOREIGN = re.compile("[^\x00-\x7f¡-¬®-ɏ‘-‟…]|ª|º")
 
@@ -195,6 +224,8 @@ def hints(text: str, low: str) -> bool:
     """Whether any transducer could lead to a new hit; cheap, and never false where one could."""
     if FOREIGN.search(text) or (("(" in text or "[" in text or "{" in text or "<" in text) and HINT.search(text)):
         return True
+    if AT_DOMAIN.search(low):
+        return True
     return (("dot" in low or "punkt" in low or "point" in low or "punto" in low) and bool(ANY_DOT.search(text))) or bool(FIRST.search(low) and any(len(DIGIT_NAME.findall(m[0])) > 2 for m in SPELLED.finditer(text)))
 
 

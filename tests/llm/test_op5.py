@@ -62,3 +62,16 @@ def test_digest(spark, tmp_path):
     assert got[1].spans == "email:0:6,ip:7:14" and got[1].n_email == 1 and got[1].n_card == 0
     assert got[1].base_sha256 == hashlib.sha256(b"email:0:6,ip:7:14").hexdigest()
     assert got[2].base_sha256 == hashlib.sha256(b"").hexdigest() and got[2].spans == ""
+
+
+def test_each_mix_of_signs():
+    for at in ("@", " at ", " (at) ", "[at]", "  at ", "\nat "):
+        for dot in (".", " dot ", " [dot] ", "(dot)", "  dot ", " dot\n"):
+            for local in ("jane", f"jane{dot}doe"):
+                address = f"{local}{at}example{dot}com"
+                assert ("email", address) in found(f"write to {address} now") + found(f"write to {address} now", True), address
+    for dot in (" dot ", "[dot]", " (dot) ", "  dot ", "\ndot "):
+        assert found(f"from 192{dot}168{dot}0{dot}1 on") == [("ip", f"192{dot}168{dot}0{dot}1")]
+    assert found("from 192.168 dot 0.1 on") == [("ip", "192.168 dot 0.1")]
+    for t in ("we stayed at home.Then we left", "see it at example.com", "at 10.30 we met at 11.15", "3 dot 5 is less", "available at example.org today"):
+        assert op.find(t) == []
