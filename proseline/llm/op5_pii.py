@@ -6,13 +6,16 @@ out, the span of source characters that it stands for:
 
 1. homoglyphs: compatibility forms, look-alike letters, foreign digits and
    invisible characters become plain ASCII, or nothing;
-2. spelled digits: runs of three or more digit words become digits;
+2. spelled digits: runs of three or more digit words become digits; in a
+   second pass also single ones in a row with digits, dots and other ones,
+   where the row has the dots of an ip or the digits of a phone or card;
 3. disguises: (at), [dot] and the like become signs; the bare words in what
    has an address's shape, and dots between digits. Before a plain domain, 'at'
    after one of the words in PROSE stays a word.
 
-The same detectors run over what comes out, and each hit that no base span of
-its kind overlaps, and that a transducer touched, is mapped back and added.
+The same detectors run over what comes out, and each hit that a transducer
+touched, and that lies in no other span of its kind, is mapped back and added;
+a longer one stands beside the base span that it overlaps.
 
 Defined results: null and empty texts have no spans. Spans count code points,
 the end exclusive; they are sorted by kind as listed in KINDS, then by start.
@@ -139,6 +142,11 @@ PROSE = frozenset(
     "travaille travaillent travailler achète acheter commande commander commandé est sont ici disponible aller va et ou".split()
 )
 
+_SEPARATOR = rf"(?:{GAP}{DOT}{GAP}|\s{{0,3}}[\[({{<]\s?(?:{DOT}|\.)\s?[\])}}>]\s{{0,3}}|[\s,().-]{{1,4}})"
+DIGIT_ROW = re.compile(rf"(?i)(?<![^\W_])(?:{_WORDS}|[0-9]++)(?:{_SEPARATOR}(?:{_WORDS}|[0-9]++))+(?![^\W_])")
+DIGIT_TOKEN = re.compile(rf"(?i)(?<![^\W_])(?:{_WORDS}|[0-9]++)(?![^\W_])")
+ANY_SIGN = re.compile(rf"(?i){DOT}|\.")
+
 
 class Traced:
     """A text and the source span of each of its characters."""
@@ -187,6 +195,32 @@ def spelled_digits(t: Traced) -> None:
     t.rewrite(edits)
 
 
+def number_row(text: str, row: re.Match) -> list[re.Match]:
+    """The digit words and numbers of a row that could be an ip, a phone or a card; else none."""
+    parts = list(DIGIT_TOKEN.finditer(text, *row.span()))
+    spelled = [not m[0].isdigit() for m in parts]
+    digits = sum(1 if own else len(m[0]) for m, own in zip(parts, spelled, strict=True))
+    return parts if any(spelled) and (digits >= 8 or digits >= 4 and len(ANY_SIGN.findall(row[0])) >= 3) else []
+
+
+def rows_of_digits(t: Traced) -> bool:
+    """Each digit word of such rows becomes a digit, next to one-digit neighbours without a gap. Whether any did."""
+    edits = []
+    for row in DIGIT_ROW.finditer(t.text):
+        parts = number_row(t.text, row)
+        for k, m in enumerate(parts):
+            word = m[0].lower()
+            if k and not (parts[k - 1][0].isdigit() and word.isdigit()):
+                a, b = parts[k - 1].end(), m.start()
+                if not t.text[a:b].strip(" \t\r\n,-"):
+                    single = all(not x[0].isdigit() or len(x[0]) == 1 for x in (parts[k - 1], m))
+                    edits.append((a, b, "" if single else " "))
+            if not word.isdigit():
+                edits.append((*m.span(), DIGIT_WORDS[word]))
+    t.rewrite(edits)
+    return bool(edits)
+
+
 def disguises(t: Traced) -> None:
     for pattern, sign in ((BRACKET_AT, "@"), (BRACKET_DOT, ".")):
         t.rewrite([(*m.span(), sign) for m in pattern.finditer(t.text)])
@@ -226,7 +260,7 @@ def hints(text: str, low: str) -> bool:
         return True
     if AT_DOMAIN.search(low):
         return True
-    return (("dot" in low or "punkt" in low or "point" in low or "punto" in low) and bool(ANY_DOT.search(text))) or bool(FIRST.search(low) and any(len(DIGIT_NAME.findall(m[0])) > 2 for m in SPELLED.finditer(text)))
+    return (("dot" in low or "punkt" in low or "point" in low or "punto" in low) and bool(ANY_DOT.search(text))) or bool(FIRST.search(low) and any(len(DIGIT_NAME.findall(m[0])) > 2 for m in SPELLED.finditer(text))) or any(number_row(text, m) for m in DIGIT_ROW.finditer(text))
 
 
 DIGIT_NAME = re.compile(r"[^\W\d_]+")
@@ -239,15 +273,19 @@ def find(text: str | None) -> list[dict]:
     base = detect(text)
     out = [(*x, True) for x in base]
     if hints(text, text.lower()):
-        t = Traced(text)
-        homoglyphs(t)
-        spelled_digits(t)
-        disguises(t)
-        for kind, a, b in detect(t.text):
-            if any(t.touched[a:b]):
-                start, end = t.start[a], t.end[b - 1]
-                if not any(k == kind and s < end and start < e for k, s, e, _ in out):
-                    out.append((kind, start, end, False))
+        added = []
+        for rows in (False, True):
+            t = Traced(text)
+            homoglyphs(t)
+            if rows and not rows_of_digits(t):
+                break
+            spelled_digits(t)
+            disguises(t)
+            added += [(kind, t.start[a], t.end[b - 1], False) for kind, a, b in detect(t.text) if any(t.touched[a:b])]
+        for kind, start, end, _ in sorted(added, key=lambda x: x[1] - x[2]):  # longest first
+            inside = any(k == kind and s <= start and end <= e for k, s, e, _ in out)
+            if not inside and not any(k == kind and s < end and start < e for k, s, e, own in out if not own):
+                out.append((kind, start, end, False))
     out.sort(key=lambda x: (KINDS.index(x[0]), x[1]))
     return [{"kind": k, "start": a, "end": b, "base": own} for k, a, b, own in out]
 

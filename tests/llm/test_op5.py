@@ -75,3 +75,17 @@ def test_each_mix_of_signs():
     assert found("from 192.168 dot 0.1 on") == [("ip", "192.168 dot 0.1")]
     for t in ("we stayed at home.Then we left", "see it at example.com", "at 10.30 we met at 11.15", "3 dot 5 is less", "available at example.org today"):
         assert op.find(t) == []
+
+
+def test_short_runs_of_spelled_digits():
+    for ip in ("one nine two dot one six eight dot zero dot one", "10.zero.zero.one", "10 [dot] zero [dot] zero [dot] one", "10.0.0.one", "192.168.zero.1", "six.six.six.six"):
+        assert found(f"from {ip} on") == [("ip", ip)], ip
+    for phone in ("+49 170 123456 seven eight", "+49 170 1234567 eight", "+49 (170) one two 345678", "+49 170 12345 six seven eight"):
+        assert ("phone", phone) in found(f"call {phone}, please"), phone
+        assert op.masked(f"call {phone}, please") == "call [PHONE], please"
+    for card in ("4111 1111 1111 111 one", "4111 1111 one one 11 1111"):
+        assert found(f"card {card}.") == [("card", card)]
+    assert found("call +49 170 123456 seven eight", True) == [("phone", "+49 170 123456")]
+    assert op.masked("write to j\u0430ne@example.com") == "write to [EMAIL]"
+    for t in ("in 2019, two or three of one", "chapters one, two and 3", "one. Two. Three. Four", "page 12 one"):
+        assert op.find(t) == []
