@@ -7,7 +7,8 @@ values are square roots of shares, so every vector has length 1. The score is
 the logistic function of the sparse dot product with the weights.
 
 Defined results: null and empty texts have no features and score what the
-bias gives. Without a label to learn from every score is 0.5. Texts are read
+bias gives. Without documents of both labels to learn from every weight is 0
+and every score 0.5; keep_documents then rejects nothing. Texts are read
 whole; repeated rows get equal scores. More than one label row for a document
 counts as their largest label; null labels teach nothing.
 """
@@ -23,11 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseline.llm.common import map_texts, slices, table
+from proseline.llm.common import map_texts, slices, smallest, table
 
 #: Number of hashed features, a power of two.
 SIZE = 1 << 18
-#: Bound of the sample that the classifier is fitted on: documents of each label.
+#: Bound of the sample that the classifier is fitted on: documents of each label at most.
 TRAIN_DOCS_PER_LABEL = 3000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.05
@@ -100,18 +101,16 @@ def train(examples: Iterable[tuple[np.ndarray, np.ndarray, int]], weights: dict[
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS_PER_LABEL) -> np.ndarray:
-    """Weights from about per_label documents of each label at most, taken by a hash of the id.
+    """Weights from per_label documents of each label at most, those with the smallest hashes of the id; zeros without both labels.
 
-    The sampled labels are a bounded number of rows, so they are broadcast and
-    no text but the sample's is moved; one task trains on the bounded sample.
+    The sampled labels are a bounded number of rows, so they are broadcast;
+    all tasks that read documents look for them, and their texts alone are
+    moved to the one task that trains on the bounded sample. A document that
+    comes more than once is learnt once.
     """
-    labels = labels.where("quality in (0, 1) and crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    sizes = {r["quality"]: r["count"] for r in labels.groupBy("quality").count().collect()}
-    if not sizes:
-        return np.zeros(SIZE)
-    share = F.create_map(*[x for k, size in sizes.items() for x in (F.lit(k), F.lit(int(1_000_000 * min(1.0, per_label / size))))])
-    sample = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_000)) < share[F.col("quality")])
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality")
+    labels = labels.where("quality in (0, 1) and crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    sample = labels.where(smallest(labels, "quality", "doc_id", per_label, 29))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
 
     def run(batches):
         features, examples = Features(), []
@@ -119,17 +118,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS_PER_LABE
             for key, text, y in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 index, x = features(text)
                 examples.append((xxhash.xxh3_64_intdigest(f"{key}"), index, x.astype(np.float32), y))
-        if not examples:
-            return
         examples.sort(key=lambda e: (e[0], e[3]))
         ones = sum(e[3] for e in examples)
-        balance = {1: len(examples) / (2 * max(1, ones)), 0: len(examples) / (2 * max(1, len(examples) - ones))}
+        if not 0 < ones < len(examples):
+            return
+        balance = {1: len(examples) / (2 * ones), 0: len(examples) / (2 * (len(examples) - ones))}
         w = train((e[1:] for e in examples), balance)
         used = np.nonzero(w)[0]
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(w[used])], names=["i", "w"])
 
     out = np.zeros(SIZE)
-    for r in rows.coalesce(1).mapInArrow(run, "i long, w double").collect():  # at most SIZE rows
+    for r in rows.repartition(1).mapInArrow(run, "i long, w double").collect():  # at most SIZE rows
         out[r["i"]] = r["w"]
     return out
 
@@ -159,7 +158,9 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows of docs that score the threshold or more, all columns as they are."""
+    """The rows of docs that score the threshold or more, all columns as they are; all rows if the weights are those of no training."""
+    if not np.any(weights):
+        return docs
     names, field = docs.columns, docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 

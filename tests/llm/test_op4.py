@@ -21,6 +21,11 @@ def test_cases(spark):
     none = op.fit(docs, labels.limit(0))
     assert not np.any(none) and {r.score for r in op.score_documents(docs, none).collect()} == {0.5}
     assert op.score_documents(docs.limit(0), w).count() == 0
+    # without both labels nothing is learnt and nothing rejected
+    one = op.fit(docs, labels.where("quality = 0"))
+    assert not np.any(one) and op.keep_documents(docs, one).count() == op.keep_documents(docs, none).count() == docs.count()
+    # the smallest sample has a document of each label
+    assert np.any(op.fit(docs, labels, 1))
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
