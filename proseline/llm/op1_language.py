@@ -18,15 +18,16 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proseline.llm.common import map_texts, slices, table
+from proseline.llm.common import map_texts, slices, smallest, table
 
-#: Bounds of the model and of the sample that it is fitted on.
+#: Bounds of the sample that the model is fitted on, and of the words and n-grams that it keeps, each for one language.
 TRAIN_DOCS_PER_LANGUAGE = 4000
-MOST_WORDS = 40_000
-MOST_GRAMS = 20_000
+MOST_WORDS = 20_000
+MOST_GRAMS = 10_000
+#: Occurrences in the sample from which a word or n-gram is known.
 LEAST_COUNT = 3
 GRAM_SIZES = (4, 3, 2, 1)
 #: Unseen words that a worker remembers before it starts anew.
@@ -52,16 +53,14 @@ def train_rows(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, per_language: int = TRAIN_DOCS_PER_LANGUAGE) -> dict:
-    """Fit on about per_language documents of each language at most, taken by a hash of the id.
+    """Fit on per_language documents of each language at most, those with the smallest hashes of the id.
 
-    The words and n-grams are counted by partition and summed by Spark; the
-    MOST_WORDS and MOST_GRAMS commonest come to the driver, a fixed number.
+    The words and n-grams are counted by partition and summed by Spark; those
+    that are among the MOST_WORDS and MOST_GRAMS commonest of any language
+    come to the driver, so that no language crowds out another. The model has
+    a number for each language and word: its size is bounded by the languages.
     """
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
-    if not sizes:
-        return {"langs": [], "words": {}, "grams": {}}
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(1_000_000 * min(1.0, per_language / n))))])
-    sample = docs.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_000)) < share[F.col("lang")])
+    sample = docs.where(smallest(docs, "lang", "doc_id", per_language, 17))
 
     def count(batches):
         words: dict[str, Counter] = {}
@@ -80,14 +79,16 @@ def fit(docs: DataFrame, per_language: int = TRAIN_DOCS_PER_LANGUAGE) -> dict:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array([kind] * len(some)), pa.array([k for k, _ in some]), pa.array([n for _, n in some], pa.int64())], names=["lang", "kind", "gram", "n"])
 
     counts = sample.select("lang", "text").mapInArrow(count, "lang string, kind string, gram string, n long").groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
-    by_gram = counts.groupBy("kind", "gram").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).where(F.col("total") >= LEAST_COUNT)
-    top = lambda kind, most: by_gram.where(F.col("kind") == kind).orderBy(F.desc("total"), "gram").limit(most).collect()
-    langs = sorted(sizes)
+    place = F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "gram"))
+    by_gram = counts.withColumn("place", place).groupBy("kind", "gram").agg(F.sum("n").alias("total"), F.min("place").alias("place"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    common = (F.col("total") >= LEAST_COUNT) & (F.col("place") <= F.when(F.col("kind") == "w", MOST_WORDS).otherwise(MOST_GRAMS))
+    rows = by_gram.where(common).collect()
+    langs = sorted({k for r in rows for k in r["by"]})
     model: dict = {"langs": langs}
-    for name, kind, most in (("words", "w", MOST_WORDS), ("grams", "g", MOST_GRAMS)):
-        rows = top(kind, most)
-        totals = {k: sum(r["by"].get(k, 0) for r in rows) for k in langs}
-        model[name] = {r["gram"]: tuple(math.log((r["by"].get(k, 0) + 0.5) / (totals[k] + 0.5 * len(rows))) for k in langs) for r in rows}
+    for name, kind in (("words", "w"), ("grams", "g")):
+        own = [r for r in rows if r["kind"] == kind]
+        totals = {k: sum(r["by"].get(k, 0) for r in own) for k in langs}
+        model[name] = {r["gram"]: tuple(math.log((r["by"].get(k, 0) + 0.5) / (totals[k] + 0.5 * len(own))) for k in langs) for r in own}
     return model
 
 
