@@ -9,33 +9,45 @@
    Every pair within `errors` symbols shares a filed key.
 3. Classes that share a key are compared by signature and size inside sorted
    runs; what comes out is a spanning set of edges, never all pairs.
-4. Each group that these edges connect gets its full sets once, in blocks of
-   bounded size, and the links are those with enough common shingles. The
-   components of the confirmed links are the result.
+4. Each group that these edges connect gets its full sets, and the links are
+   those with enough common shingles. The components of the confirmed links
+   are the result.
+
+A large group, of a key in step 3 or of texts in step 4, is cut into blocks,
+each compared together with a few leaders of the group; then whatever isn't in
+the group's largest component is compared with all of the group, block by
+block. So a member goes to one block, but for those outside, and no link
+between components is missed.
 
 Defined results: null texts and texts without a word have no shingle and link
 with nothing; texts with fewer words than a shingle are one shingle. Equal
-texts always link. Column names of the input other than the key and the text
-play no part. An empty table gives no rows.
+texts always link. A row without a key counts as a copy of rows with its text
+and has their component; alone it links with nothing, has no component and is
+kept. Texts under one key are one document: a link of any is a link of the
+key. Column names of the input other than the key and the text play no part.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proseline.llm.common import connected_components, map_texts, slices, stored, table
+from proseline.llm.common import connected_components, hot_join, map_texts, slices, stored, table
 
 SYMBOLS, SYMBOL_BITS = 64, 16
 #: Chance that a pair right at the threshold has more symbol errors than the search allows.
 MISS = 1e-5
-#: Members of a group that one task compares at once; larger groups are compared block by block.
-BLOCK = 3000
+#: Members of a group that one task compares at once; larger groups are compared block by block. Leaders of such a group.
+BLOCK, LEADERS = 3000, 32
+#: Classes that share a key and that one task compares at once by their signatures.
+KEY_BLOCK = 20_000
 REMEMBERED = 300_000
 
 _LOWER = bytes(range(256)).lower()
@@ -112,11 +124,11 @@ def chunks(errors: int) -> list[tuple[int, int]]:
 def filed_keys(signatures: np.ndarray, parts: list[tuple[int, int]]) -> np.ndarray:
     """Keys of each signature: for each chunk, one for each symbol left out."""
     s = finish(signatures.astype(np.uint64) + (np.arange(SYMBOLS, dtype=np.uint64) << np.uint64(20)))
-    keys = np.empty((len(s), SYMBOLS), np.uint64)
+    keys, places = np.empty((len(s), SYMBOLS), np.uint64), np.arange(SYMBOLS, dtype=np.uint64) * _MIX[1]
     for a, b in parts:
         whole = s[:, a:b].sum(axis=1, dtype=np.uint64)
         for k in range(a, b):
-            keys[:, k] = finish(whole - s[:, k] + np.uint64(k) * _MIX[1])
+            keys[:, k] = finish(whole - s[:, k] + places[k])
     return keys.view(np.int64)
 
 
@@ -249,8 +261,8 @@ def edge_batches(pairs):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
-def coarse_edges(keys: DataFrame, classes: DataFrame, errors: int, share: float) -> DataFrame:
-    """Spanning edges of the pairs that share a key and are within `errors` symbols."""
+def signature_links(units: DataFrame, classes: DataFrame, errors: int, share: float) -> DataFrame:
+    """Spanning edges (a, b) of the pairs inside each unit of units(u, id) that are within `errors` symbols."""
 
     def run(batches):
         def pairs():
@@ -269,8 +281,24 @@ def coarse_edges(keys: DataFrame, classes: DataFrame, errors: int, share: float)
 
         yield from edge_batches(pairs())
 
-    rows = keys.join(classes, "id").select("k", "id", "n_shingles", "signature")
-    return rows.repartition("k").sortWithinPartitions("k").mapInArrow(run, "a long, b long")
+    rows = units.join(classes, "id").select("u", "id", "n_shingles", "signature")
+    return rows.repartition("u").sortWithinPartitions("u").mapInArrow(run, "a long, b long")
+
+
+def coarse_edges(keys: DataFrame, classes: DataFrame, errors: int, share: float) -> DataFrame:
+    """Spanning edges of the pairs that share a key and are within `errors` symbols. Groups of a key above KEY_BLOCK are cut into blocks."""
+    link = lambda units: signature_links(units, classes, errors, share)
+    sizes = keys.groupBy(F.col("k").alias("g")).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > KEY_BLOCK)
+    if sizes.isEmpty():
+        return link(keys.select(F.col("k").alias("u"), "id"))
+    rows = in_blocks(hot_join(keys.select(F.col("k").alias("g"), "id"), sizes, "g", "id", "members"), KEY_BLOCK)
+    return link(rows.where("blocks is null").select(F.col("g").alias("u"), "id")).union(large_group_links(stored(rows.where("blocks is not null"), "near-large-keys"), link))
+
+
+def in_blocks(rows: DataFrame, size: int) -> DataFrame:
+    """rows(g, id, members) with the number of blocks of the group, and the block of the row."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("members") / F.lit(size)).cast("int"))
+    return rows.select("g", "id", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int").alias("block"))
 
 
 def confirm(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -298,20 +326,54 @@ def confirm(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.n
     return ids[labels[other]], ids[other]
 
 
+def confirmed(units: DataFrame, percent: int) -> DataFrame:
+    """Spanning edges (a, b) of the links inside each unit of units(u, id, shingles)."""
+
+    def run(batches):
+        def pairs():
+            for rows in sorted_runs(batches):
+                if rows.num_rows > 1:
+                    yield confirm(rows.column("id").to_numpy(), [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()], percent)
+
+        yield from edge_batches(pairs())
+
+    return units.select("u", "id", "shingles").repartition("u").sortWithinPartitions("u").mapInArrow(run, "a long, b long")
+
+
+def large_group_links(ids: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges that connect what the links inside each group connect; ids(g, id, blocks, block), link(units(u, id)) gives edges of each unit."""
+    # leaders: the first of each block by a hash, of these the first ones of the group
+    first = ids.groupBy("g", "block").agg(F.min(F.struct(F.xxhash64("id", F.lit(5)).alias("h"), "id")).alias("x"), F.first("blocks").alias("blocks"))
+    leaders = first.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("x"))).where(F.col("place") <= LEADERS)
+    led = leaders.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("`to` <> block")
+    near = stored(link(ids.select(F.xxhash64("g", "block").alias("u"), "id").union(led.select(F.xxhash64("g", "to"), "x.id"))), "near-blocks")
+    # what isn't in a group's largest component is compared with all of the group
+    found = connected_components(near, "near-led")
+    labels = hot_join(ids, found, "id", "g").select("g", "id", "blocks", "block", F.coalesce("component_id", "id").alias("label"))
+    labels = stored(labels, "near-labels")
+    sizes = labels.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("g").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("members"))
+    rest = stored(hot_join(labels, main, "g", "id", "members").where("label <> main").select("g", "id", "blocks", "block"), "near-rest")
+    outside = rest.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("rests"))
+    counts = outside.join(main, "g").select("g", "rests", "members")
+    here = hot_join(ids, counts, "g", "id", "members").where("rests is not null").withColumn("rest", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
+    there = hot_join(rest, counts, "g", "id", "members").withColumn("rest", F.pmod(F.xxhash64("id", F.lit(11)), F.col("rests").cast("long")).cast("int"))
+    there = there.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("`to` <> block")
+    return near.union(link(here.select(F.xxhash64("g", "block", "rest").alias("u"), "id").union(there.select(F.xxhash64("g", "to", "rest"), "id"))))
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id) of every row; links are Jaccard similarities of percent / 100 or more."""
     share = percent / 100
     errors = allowed_errors(share)
     rows = stored(features(df.select(F.col(key).cast("long").alias(key), text), key, text, width), "near-features")
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min(key).alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    classes = rows.where(F.col("digest").isNotNull() & F.col(key).isNotNull()).groupBy("digest").agg(F.min(key).alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = stored(classes, "near-classes")
-    keys = shared_keys(classes, errors)
+    keys = stored(shared_keys(classes, errors), "near-keys")
     coarse = connected_components(coarse_edges(keys, classes.select("id", "n_shingles", "signature"), errors, share), "near-coarse").select("id", F.col("component_id").alias("g"))
     groups = stored(coarse, "near-groups")
-    # blocks of large groups: every pair of blocks is compared once
-    sizes = groups.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = groups.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
-    members = members.select("id", "g", "blocks", "block")
+    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
+    members = in_blocks(hot_join(groups.select("g", "id"), sizes, "g", "id", "members"), BLOCK)
     # a sorted join at every size: a group's ids may be many, so they are never broadcast
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(members.hint("merge"), "id").select("id", "t", "g", "blocks", "block")
 
@@ -321,25 +383,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
             sets = pa.array([shingles(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0), sets, *part.columns[2:]], names=["id", "shingles", "g", "blocks", "block"])
 
-    full = texts.mapInArrow(sets_of, "id long, shingles binary, g long, blocks int, block int").dropDuplicates(["id"])
-    units = full.withColumn("unit", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, F.col("block")) * F.col("blocks") + F.greatest(j, F.col("block")))))
-    units = units.select(F.xxhash64("g", "unit").alias("u"), "id", "shingles")
-
-    def run(batches):
-        def pairs():
-            for rows in sorted_runs(batches):
-                if rows.num_rows > 1:
-                    yield confirm(rows.column("id").to_numpy(), [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()], percent)
-
-        yield from edge_batches(pairs())
-
-    links = units.repartition("u").sortWithinPartitions("u").mapInArrow(run, "a long, b long")
+    full = texts.mapInArrow(sets_of, "id long, shingles binary, g long, blocks int, block int").dropDuplicates(["id", "shingles"])
+    links = confirmed(full.where("blocks = 1").select(F.xxhash64("g").alias("u"), "id", "shingles"), percent)
+    if not sizes.where(F.col("members") > BLOCK).isEmpty():
+        sets = stored(full.where("blocks > 1"), "near-sets")
+        links = links.union(large_group_links(sets.select("g", "id", "blocks", "block").distinct(), lambda units: confirmed(units.join(sets.select("id", "shingles"), "id"), percent)))
     found = connected_components(links, "near-links")
     of_class = classes.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
-    return rows.select(key, "n_shingles", "digest").join(of_class, "digest", "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
+    return hot_join(rows.select(key, "n_shingles", "digest"), of_class, "digest", key).select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
 
 
 def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of all documents: three-word shingles, similarity 0.85."""
     found = near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
-    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))

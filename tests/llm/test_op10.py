@@ -48,6 +48,8 @@ def edited(rng, words, share):
 @pytest.mark.parametrize("block", [3000, 7])
 def test_groups(spark, monkeypatch, block):
     monkeypatch.setattr(op, "BLOCK", block)
+    monkeypatch.setattr(op, "KEY_BLOCK", block)
+    monkeypatch.setattr(op, "LEADERS", min(block, 2))
     rng = np.random.default_rng(5)
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "ONE"), (6, "one two"), (7, "x" * 100_000), (8, "word " * 60_000)]
     base = [f"w{rng.integers(400)}" for _ in range(150)]
@@ -65,6 +67,12 @@ def test_empty_and_repeated(spark):
     assert op.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_without_a_key(spark):
+    rows = [(None, "a b c d e f"), (4, "a b c d e f"), (None, "q r s t u v"), (None, None), (7, "x y z x y w")]
+    got = op.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, 2, 4), (4, 2, 4), (None, 2, None), (None, 0, None), (7, 2, 7)], key=str)
+
+
 def test_pigeonhole():
     errors = op.allowed_errors(0.85)
     parts = op.chunks(errors)
