@@ -13,7 +13,8 @@ a class is at home; of the links a cell passes on only a spanning set.
 Defined results: null labels and vectors that are null, empty, zero, or hold
 null or non-finite components link with nothing: no link, their own component.
 Vectors of different length never link. Rows that repeat a vec_id count as
-vectors of their own. An empty table gives no rows.
+vectors of their own. A row without a vec_id links with nothing, has no
+component and is kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseline.llm.common import connected_components, stored, table
+from proseline.llm.common import connected_components, hot_join, stored, table
 from proseline.llm.op10_near_dups import sorted_runs
 
 #: Vectors that a cell should have, home vectors of a block, and pivots of all labels together at most.
@@ -39,9 +40,9 @@ def normalised(df: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             part, digest, unit = [], [], []
-            for label, vector in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for key, label, vector in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 x = None
-                if label is not None and vector.is_valid and len(vector.values) and not vector.values.null_count:
+                if key.is_valid and label is not None and vector.is_valid and len(vector.values) and not vector.values.null_count:
                     raw = vector.values.to_numpy(zero_copy_only=False)
                     x = raw.astype(np.float64)
                     norm = math.sqrt(x @ x) if np.all(np.isfinite(x)) else 0.0
@@ -53,11 +54,11 @@ def normalised(df: DataFrame) -> DataFrame:
                         norm = math.sqrt(x @ x)
                     x = x / norm if norm else None
                 part.append(None if x is None else f"{label}:{len(x)}")
-                digest.append(None if x is None else xxhash.xxh3_128_digest(raw.tobytes()))
+                digest.append(None if x is None else xxhash.xxh3_128_digest(part[-1].encode() + b"|" + raw.tobytes()))
                 unit.append(None if x is None else x.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part, pa.string()), pa.array(digest, pa.binary()), pa.array(unit, pa.binary())], names=["vec_id", "part", "digest", "unit"])
 
-    return df.select("vec_id", "label", "embedding").mapInArrow(run, "vec_id long, part string, digest binary, unit binary")
+    return df.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding").mapInArrow(run, "vec_id long, part string, digest binary, unit binary")
 
 
 def choose_pivots(classes: DataFrame) -> dict[str, np.ndarray]:
@@ -139,10 +140,10 @@ def near_vectors(df: DataFrame, threshold: float = 0.98) -> DataFrame:
     joined = stored(join_cells(cells, threshold), "vector-links")
     links = joined.where("n_links is not null").groupBy("id").agg(F.max("n_links").alias("n_links"))
     found = connected_components(joined.select(F.col("id").alias("a"), F.col("root").alias("b")), "vector-cc")
-    of_class = classes.select("part", "digest", "id").join(links, "id").join(found, "id", "left").select("part", "digest", "n_links", F.coalesce("component_id", "id").alias("component_id"))
-    out = rows.select("vec_id", "part", "digest").join(of_class, ["part", "digest"], "left")
+    of_class = classes.select("digest", "id").join(links, "id").join(found, "id", "left").select("digest", "n_links", F.coalesce("component_id", "id").alias("component_id"))
+    out = hot_join(rows.select("vec_id", "digest"), of_class, "digest", "vec_id")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

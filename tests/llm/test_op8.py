@@ -42,6 +42,8 @@ def test_as_all_pairs(spark, monkeypatch, cell, block):
     got = {r.vec_id: (r.n_links, r.component_id) for r in op.near_vectors(df).collect()}
     assert got == brute([(i, v, l) for i, v, l in rows])
     assert op.near_vectors(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, [1.0, 2.0], 1), (3, [1.0, 2.0], 1), (None, None, 1), (4, [2.0, 4.0], 1)], "vec_id long, embedding array<float>, label int")
+    assert sorted(map(tuple, op.near_vectors(odd).collect()), key=str) == sorted([(None, 0, None, True)] * 2 + [(3, 1, 3, True), (4, 1, 3, False)], key=str)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
