@@ -2,8 +2,9 @@
 
 Archives are written by Spark's own file writer, record by record as text
 with the record separator as its line end, gzipped, a bounded number of
-records per file: they go to any store that Spark writes to, are committed
-whole, and survive lost executors. They are read as whole files.
+records per file, and few of those with a large payload: they go to any store
+that Spark writes to, are committed whole, and survive lost executors. A file
+is read as a whole and unpacked record by record.
 
 Resolution shuffles headers alone by payload digest, takes the smallest
 page_id of each as the original, joins the others to it, and writes new
@@ -20,16 +21,20 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseline.llm.common import remove, shared_path, stored, table
+from proseline.llm.common import hot_join, remove, shared_path, stored, table
 
-#: Bytes under which equal payloads stay responses; records of a file.
-LEAST_BYTES, FILE_RECORDS = 100, 1000
+#: Bytes under which equal payloads stay responses.
+LEAST_BYTES = 100
+#: Records of a file; bytes from which a payload is large, and records of a file of large ones. No file gets near the 2 GB of a row.
+FILE_RECORDS, LARGE_BYTES, FILE_LARGE_RECORDS = 1000, 1 << 20, 8
+#: Bytes that are unpacked at once.
+CHUNK = 1 << 20
 #: Fixed values of the format.
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -59,8 +64,17 @@ def record(df: DataFrame) -> Column:
     )
 
 
-def write_records(df: DataFrame, path: str, level: str = "DEFAULT_COMPRESSION") -> None:
-    df.select(record(df).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", level).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def write_records(df: DataFrame, path: str, largest: int, level: str = "DEFAULT_COMPRESSION") -> None:
+    """Archives of the records in df; `largest` is the size of the largest payload. Large ones are written by a job of their own, if there are any."""
+
+    def write(rows: DataFrame, most: int, folder: str) -> None:
+        rows.select(record(df).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", level).option("maxRecordsPerFile", most).text(f"{path}/{folder}")
+
+    if largest < LARGE_BYTES:
+        write(df, FILE_RECORDS, "records")
+    else:
+        write(df.where(F.col("payload_bytes") < LARGE_BYTES), FILE_RECORDS, "records")
+        write(df.where(F.col("payload_bytes") >= LARGE_BYTES), FILE_LARGE_RECORDS, "large")
 
 
 def write_pages(pages: DataFrame, path: str, level: str = "BEST_SPEED") -> None:
@@ -74,33 +88,60 @@ def write_pages(pages: DataFrame, path: str, level: str = "BEST_SPEED") -> None:
         urn(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("payload_digest"), F.monotonically_increasing_id().cast("string"))).alias("record_id"),
         none.alias("refers_to_record"), none.alias("refers_to_uri"), none.alias("refers_to_date"),
     )
-    write_records(rows, path, level)
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    write_records(rows, path, largest, level)
 
 
-def unzipped(data: bytes) -> bytes:
-    """Content of a file: plain, or gzip of one or many members."""
+def unzipped(data: bytes) -> Iterator[bytes]:
+    """Content of a file, piece by piece: plain, or gzip of one or many members."""
     if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
+        yield from (data[at : at + CHUNK] for at in range(0, len(data), CHUNK))
+        return
     while data:
         member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
+        piece = member.decompress(data, CHUNK)
+        while piece or not member.eof:
+            yield piece
+            if member.eof:
+                break
+            rest = member.unconsumed_tail
+            piece = member.decompress(rest, CHUNK)
+            if not piece and not rest:
+                raise ValueError("archive ends inside a gzip member")
         data = member.unused_data
-    return b"".join(out)
 
 
-def parsed(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """Header fields, names in lower case, and block of each record."""
-    view, at = memoryview(data), 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
+def parsed(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields, names in lower case, and block of each record; holds one record and one piece."""
+    pieces = iter(pieces)
+    data, at = bytearray(), 0
+
+    def more() -> bool:
+        nonlocal at
+        piece = next(pieces, None)
+        if piece is None:
+            return False
+        del data[:at]
+        at = 0
+        data.extend(piece)
+        return True
+
+    while True:
+        while (end := data.find(b"\r\n\r\n", at)) < 0:
+            if not more():
+                if bytes(data[at:]).strip():
+                    raise ValueError("archive ends inside a record")
+                return
         lines = data[at:end].decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record at {lines[0][:40]!r}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(fields["content-length"])
-        yield fields, view[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        size, at = int(fields["content-length"]), end + 4
+        while len(data) - at < size + 4:
+            if not more():
+                raise ValueError("archive ends inside a record")
+        yield fields, bytes(data[at : at + size])
+        at += size + 4
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool) -> DataFrame:
@@ -115,8 +156,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool) -> DataFrame:
             for i in range(batch.num_rows):
                 rows: list[tuple] = []
                 size = 0
-                for fields, block in parsed(unzipped(batch.column(0)[i].as_py())):
-                    raw = bytes(block)
+                for fields, raw in parsed(unzipped(batch.column(0)[i].as_py())):
                     head, _, body = raw.partition(b"\r\n\r\n")
                     if fields["warc-type"] == "revisit":
                         n = int(next(x.partition(b":")[2] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")))
@@ -148,7 +188,7 @@ def resolve(heads: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """The records that become revisits: (record_id, original) of those whose payload an earlier page has too."""
     full = heads.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= least))
     original = full.groupBy("payload_digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id", "uri", "date")).alias("original"))
-    return full.select("record_id", "payload_digest").join(original, "payload_digest").where("record_id <> original.record_id").select("record_id", "original")
+    return hot_join(full.select("record_id", "payload_digest"), original, "payload_digest", "record_id").where("record_id <> original.record_id").select("record_id", "original")
 
 
 def dedupe_archives(spark: SparkSession, source: str, target: str, least: int = LEAST_BYTES) -> None:
@@ -162,7 +202,8 @@ def dedupe_archives(spark: SparkSession, source: str, target: str, least: int =
         F.when(turned, F.lit("revisit")).otherwise(F.col("record_type")).alias("record_type"), F.when(turned, F.lit("")).otherwise(F.col("payload")).alias("payload"),
         F.when(turned, urn(F.concat(F.col("original.record_id"), F.lit("|deduplicated")))).otherwise(F.col("refers_to_record")).alias("refers_to_record"), F.col("original.uri").alias("refers_to_uri"), F.col("original.date").alias("refers_to_date"),
     )
-    write_records(rows, target)
+    largest = heads.agg(F.max("payload_bytes")).first()[0] or 0
+    write_records(rows, target, largest)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,18 +213,18 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     dedupe_archives(spark, first, second)
     remove(spark, first)
     heads = stored(read_archives(spark, second, False), "warc-read")
+    remove(spark, second)
     responses = heads.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"))
     columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    revisits = heads.where("record_type = 'revisit'").join(responses, "refers_to_record", "left").select(*columns)
+    revisits = hot_join(heads.where("record_type = 'revisit'"), responses, "refers_to_record", "record_id").select(*columns)
     return heads.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).select(*columns).union(revisits)
 
 
 ORACLE = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
-m AS (SELECT h, min(page_id) AS first_id FROM d WHERE n >= 100 GROUP BY h)
-SELECT d.page_id AS page_id, CAST(d.n AS BIGINT) AS payload_bytes, d.h AS payload_digest,
-  CASE WHEN m.first_id < d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN m.first_id < d.page_id THEN m.first_id END AS refers_to
-FROM d LEFT JOIN m ON d.h = m.h
+m AS (SELECT page_id, n, h, row_number() OVER w AS place, first_value(page_id) OVER w AS first_id FROM d WINDOW w AS (PARTITION BY h ORDER BY page_id NULLS LAST))
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest, CASE WHEN n >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND place > 1 THEN first_id END AS refers_to
+FROM m
 """

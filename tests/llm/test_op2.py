@@ -1,3 +1,4 @@
+import glob
 import gzip
 import hashlib
 import os
@@ -29,12 +30,35 @@ def test_files_are_warc(spark, tmp_path):
     path, out = f"{tmp_path}/a", f"{tmp_path}/b"
     op.write_pages(df, path)
     op.dedupe_archives(spark, path, out)
-    found = [r for f in os.listdir(out) if f.startswith("part-") for r in op.parsed(gzip.open(f"{out}/{f}").read())]
+    found = [r for f in glob.glob(f"{out}/*/part-*") for r in op.parsed(op.unzipped(open(f, "rb").read()))]
     assert sorted(f["warc-type"] for f, _ in found) == ["response", "revisit"]
     by = {f["warc-type"]: (f, bytes(b)) for f, b in found}
     assert by["revisit"][0]["warc-refers-to"] == by["response"][0]["warc-record-id"]
     assert by["response"][1].endswith(LONG.encode()) and not by["revisit"][1].endswith(LONG.encode())
-    assert op.unzipped(gzip.compress(b"a") + gzip.compress(b"b")) == b"ab"
+    assert b"".join(op.unzipped(gzip.compress(b"a") + gzip.compress(b"") + gzip.compress(b"b" * 5_000_000))) == b"a" + b"b" * 5_000_000
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 64, 1 << 20])
+def test_records_across_pieces(monkeypatch, chunk):
+    monkeypatch.setattr(op, "CHUNK", chunk)
+    blocks = [b"", b"a\r\n\r\nb", b"x" * 500, b"\r\n\r\n"]
+    data = b"".join(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(x), x) for x in blocks)
+    for raw in (data, gzip.compress(data), gzip.compress(data[:60]) + gzip.compress(data[60:])):
+        assert [x for _, x in op.parsed(op.unzipped(raw))] == blocks
+    for raw in (data[:-30], gzip.compress(data)[:-20]):
+        with pytest.raises(ValueError):
+            list(op.parsed(op.unzipped(raw)))
+
+
+def test_large_pages_have_files_of_their_own(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(op, "LARGE_BYTES", 300)
+    pages = [(i, f"http://{i}", "z" * (100 + i * 30 % 500)) for i in range(40)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.payload_bytes, r.record_type) for r in op.op2_warc(spark, str(tmp_path)).collect()}
+    first = {}
+    for i, _, html in pages:
+        first.setdefault(html, i)
+    assert got == {i: (len(html), "response" if first[html] == i else "revisit") for i, _, html in pages}
 
 
 def test_empty(spark):
