@@ -14,8 +14,9 @@ out, the span of source characters that it stands for:
    after one of the words in PROSE stays a word.
 
 The same detectors run over what comes out, and each hit that a transducer
-touched, and that lies in no other span of its kind, is mapped back and added;
-a longer one stands beside the base span that it overlaps.
+touched, or inside which it took something out, and that lies in no other span
+of its kind, is mapped back and added; a longer one stands beside the base
+span that it overlaps.
 
 Defined results: null and empty texts have no spans. Spans count code points,
 the end exclusive; they are sorted by kind as listed in KINDS, then by start.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseline.llm.common import map_texts, table
+from proseline.llm.common import map_texts, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
@@ -87,7 +88,8 @@ def detect(text: str) -> list[tuple[str, int, int]]:
 
 # Letters of other scripts that look like Latin ones, in order.
 LOOKALIKES = dict(zip("аеорсухіјѕԁһνοαρєАВЕКМНОРСТХІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhvoapeABEKMHOPCTXIJSABEZHIKMNOPTYX", strict=True))
-INVISIBLE = "­​‌‍⁠﻿"
+# Characters without width that aren't format characters: the grapheme joiner, vowel separator, variation selectors.
+INVISIBLE = frozenset("\u034f\u180b\u180c\u180d\u180e\u180f" + "".join(map(chr, range(0xFE00, 0xFE10))))
 SIGNS = {"＠": "@", "﹫": "@", "．": ".", "。": ".", "․": ".", "﹒": ".", "＋": "+", "﹢": "+", "‐": "-", "‑": "-", "‒": "-", "–": "-", "－": "-", " ": " ", " ": " ", " ": " ", "　": " "}
 
 
@@ -95,7 +97,7 @@ def plain(c: str) -> str:
     """What one character becomes: ASCII, nothing, or itself."""
     if c < "\x80":
         return c
-    if c in INVISIBLE:
+    if c in INVISIBLE or unicodedata.category(c) == "Cf":
         return ""
     if c in SIGNS:
         return SIGNS[c]
@@ -154,25 +156,38 @@ class Traced:
     def __init__(self, text: str):
         self.text, self.start, self.end = text, list(range(len(text))), list(range(1, len(text) + 1))
         self.touched = [False] * len(text)
+        #: Whether something before the character is gone, so that it wasn't the neighbour of the one before it.
+        self.joined = [False] * len(text)
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace spans, given in order without overlap; what is put in stands for the whole span."""
         if not edits:
             return
-        text, start, end, touched, at = [], [], [], [], 0
-        for a, b, new in edits:
+        text, start, end, touched, joined, at, gone = [], [], [], [], [], 0, False
+        for a, b, new in [*edits, (len(self.text), len(self.text), "")]:
             text.append(self.text[at:a])
             start += self.start[at:a]
             end += self.end[at:a]
             touched += self.touched[at:a]
-            text.append(new)
+            if at < a:
+                joined.append(gone or self.joined[at])
+                joined += self.joined[at + 1 : a]
+                gone = False
             if a < b:
+                gone = gone or self.joined[a] or not new
+            if new:
+                text.append(new)
                 start += [self.start[a]] * len(new)
                 end += [self.end[b - 1]] * len(new)
                 touched += [True] * len(new)
+                joined += [gone] + [False] * (len(new) - 1)
+                gone = False
             at = b
-        self.text = "".join(text) + self.text[at:]
-        self.start, self.end, self.touched = start + self.start[at:], end + self.end[at:], touched + self.touched[at:]
+        self.text, self.start, self.end, self.touched, self.joined = "".join(text), start, end, touched, joined
+
+    def changed(self, a: int, b: int) -> bool:
+        """Whether a transducer made any of these characters, or made neighbours of them."""
+        return any(self.touched[a:b]) or any(self.joined[a + 1 : b])
 
 
 def homoglyphs(t: Traced) -> None:
@@ -281,7 +296,7 @@ def find(text: str | None) -> list[dict]:
                 break
             spelled_digits(t)
             disguises(t)
-            added += [(kind, t.start[a], t.end[b - 1], False) for kind, a, b in detect(t.text) if any(t.touched[a:b])]
+            added += [(kind, t.start[a], t.end[b - 1], False) for kind, a, b in detect(t.text) if t.changed(a, b)]
         for kind, start, end, _ in sorted(added, key=lambda x: x[1] - x[2]):  # longest first
             inside = any(k == kind and s <= start and end <= e for k, s, e, _ in out)
             if not inside and not any(k == kind and s < end and start < e for k, s, e, own in out if not own):
@@ -316,12 +331,10 @@ def mask_documents(df: DataFrame, text: str = "text") -> DataFrame:
     names, field = df.columns, df.columns.index(text)
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                columns = list(part.columns)
-                columns[field] = pa.array([masked(t) for t in columns[field].to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        for part in slices(batches, field):
+            columns = list(part.columns)
+            columns[field] = pa.array([masked(t) for t in columns[field].to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return df.mapInArrow(run, df.schema)
 
@@ -331,9 +344,9 @@ def _joined(spans):
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of every document; n_<kind> counts all spans of the kind, added ones too."""
+    """Spans of every document; n_<kind> counts all spans of the kind, n_spans those of all kinds, added ones too."""
     found = find_spans(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     counts = [count(kind).alias(f"n_{kind}") for kind in KINDS]
     base = F.sha2(_joined(F.filter("spans", lambda s: s["base"])).cast("binary"), 256).alias("base_sha256")
-    return found.select("doc_id", *counts, base, _joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, base, _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
