@@ -6,8 +6,10 @@ the tokenizer's file, is the key of a stored table of counts. A run joins its
 distinct digests to the table, encodes one text of each digest that misses,
 appends the new counts to the table and joins them back to the documents.
 
-Hot texts: copies are combined before the shuffle, and the join back carries a
-key and two numbers. Empty tables give empty results. Repeated rows repeat.
+Hot texts: copies are combined before the shuffle; the join back carries a key
+and two numbers, and the commonest digests' rows are dealt to all tasks. Empty
+tables give empty results. Repeated rows repeat; rows without a key count as
+others.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseline.llm.common import local_worker_env, map_texts, shared_path, table
+from proseline.llm.common import hot_join, local_worker_env, map_texts, shared_path, stored, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Tokens beyond which a document is over the limit.
@@ -74,6 +76,7 @@ def count_tokens(df: DataFrame, cache: str, tokenizer: str | None = None, key: s
     version = tokenizer_digest(content)
     shared = spark.sparkContext.broadcast(content)
     rows = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("content")).withColumn("digest", content_digest("content"))
+    short = stored(rows.select(key, "digest", F.octet_length("content").cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("_row")), "token-digests")
     known = cached(spark, cache, version)
     missing = rows.select("digest", "content").dropDuplicates(["digest"]).join(known, "digest", "left_anti")
 
@@ -84,8 +87,7 @@ def count_tokens(df: DataFrame, cache: str, tokenizer: str | None = None, key: s
     fresh = map_texts(missing, ["digest", "content"], make, "digest binary, n_tokens long")
     fresh.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     counts = cached(spark, cache, version)
-    short = rows.select(key, "digest", F.octet_length("content").cast("long").alias("n_bytes"))
-    return short.join(counts, "digest").select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return hot_join(short, counts, "digest", "_row").select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
