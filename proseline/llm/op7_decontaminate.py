@@ -14,14 +14,17 @@ the workers in blocks of at most BLOCK_WORDS words, one pass over the
 documents for each block, so what is broadcast has a fixed bound.
 
 Defined results: null and empty texts match nothing, nor do items of fewer
-than N words. An item's best place in a document is given once. Equal items
-are given each. Texts are read whole. Empty tables give no rows.
+than N words. An item's best place in a document is given once. Equal texts
+under several item_ids are given each, and different texts under one item_id
+are searched each; repeated rows are one item. Rows without an item_id are no
+items. Documents without a key are searched as others. Texts are read whole.
+Empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,12 +50,13 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]], threshold: float = THRESHOLD):
         self.threshold = threshold
         self.vocabulary: dict[str, int] = {}
-        words: dict[int, np.ndarray] = {}
+        self.keys: list[int] = []
+        self.words: list[np.ndarray] = []
         for key, text in rows:
             w = words_of(text)
             if len(w) >= N:
-                words[key] = np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.int64)
-        self.keys, self.words = list(words), list(words.values())
+                self.keys.append(key)
+                self.words.append(np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.int64))
         self.base = len(self.vocabulary) + 1
         size = np.array([len(w) for w in self.words], np.int64)
         edits = (1 - threshold) / PENALTY * size  # most that an alignment can have
@@ -154,21 +158,47 @@ def find_block(docs: DataFrame, items: Items, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long"), text).mapInArrow(run, SCHEMA)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, score, start, end) of every document and the test items in it; places count words."""
-    sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
+def blocks_of(benchmark: DataFrame, threshold: float) -> Iterator[Items]:
+    """The test items in blocks of about BLOCK_WORDS words: what is at the driver, and broadcast, at once has that bound."""
+    sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null").distinct()
     total = sized.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0  # no text has more words
     blocks = int(total // BLOCK_WORDS) + 1
-    out = None
     for i in range(blocks):
-        rows = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).collect()
+        rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).orderBy("item_id", "text").collect()
         items = Items([(r["item_id"], r["text"]) for r in rows], threshold)
         if items.words:
-            found = find_block(docs, items, key, text)
-            out = found if out is None else out.union(found)
+            yield items
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, item_id, score, start, end) of every document and the test items in it; places count words."""
+    out = None
+    for items in blocks_of(benchmark, threshold):
+        found = find_block(docs, items, key, text)
+        out = found if out is None else out.union(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that contain no test item, all columns as they are; needs no key and no shuffle."""
+    names, field = docs.columns, docs.columns.index(text)
+
+    def without(docs: DataFrame, items: Items) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches):
+            own = shared.value
+            for part in slices(batches, field):
+                keep = [not matches(own, own.number(t)) for t in part.column(field).to_pylist()]
+                yield pa.RecordBatch.from_arrays(part.filter(pa.array(keep, pa.bool_())).columns, names=names)
+
+        return docs.mapInArrow(run, docs.schema)
+
+    for items in blocks_of(benchmark, threshold):
+        docs = without(docs, items)
+    return docs
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents that contain a copy of a test item, edited or not; clean documents have no row."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
