@@ -42,7 +42,33 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, token_ids string")
     assert pipeline.mask_personal_data(spark, docs, SF).count() == 4
     assert [r.n_tokens for r in pipeline.encode(spark, docs, SF).orderBy("doc_id").collect()][:2] == [0, 0]
-    assert {r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, SF).collect()} == {1, 2, 3}
+    assert sorted(r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, SF).collect()) == [1, 2, 3]
     for _, stage in pipeline.STAGES:
         if os.path.isdir(SF):
             assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(None, a), (5, a), (5, a), (None, a), (3, b), (3, "other words are here under the same key"), (4, b), (None, "alone without a key but with words"), (None, None), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "doc_id long, text string, component_id int")
+    out = pipeline.drop_near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(kept, key=str) == sorted([(5, a), (3, b), (3, rows[5][1]), rows[7], (None, None), (9, ""), (9, "")], key=str)
+
+
+def test_rows_without_a_key_are_searched(spark, tmp_path):
+    item = " ".join(f"w{i}" for i in range(30))
+    spark.createDataFrame([(1, item), (1, "z " * 20), (None, "q " * 20), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(None, f"so {item} it is", 1), (2, "z " * 25, 1), (3, "clean text", 1), (None, "clean too", 1), (None, None, 1)], "doc_id long, text string, item_id int")
+    out = pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and sorted((str(r.text) for r in out.collect())) == ["None", "clean text", "clean too"]
+
+
+def test_nothing_to_learn_rejects_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(5)], "doc_id long, text string")
+    for k, labels in enumerate(([], [(0, 0), (1, 0)], [(90, 1), (91, 0)])):
+        spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        with pytest.warns(UserWarning):
+            assert pipeline.keep_good(spark, docs, f"{tmp_path}/{k}").count() == 5
