@@ -139,7 +139,8 @@ def hot_join(big: DataFrame, small: DataFrame, on: str, salt: str, times: str |
     rows = big.join(F.broadcast(near), F.col(on) == F.col("_hot"), "left")
     done = F.col("_hot").isNotNull() | F.col(on).isNull()
     rows = rows.withColumn("_cold", F.when(~done, F.col(on))).withColumn("_deal", F.when(done, F.xxhash64(salt)).otherwise(F.lit(0).cast("long")))
-    far = small.select(F.col(on).alias("_key"), F.lit(0).cast("long").alias("_zero"), F.struct(*fields).alias("_far"))
+    zero = F.pmod(F.xxhash64(on), F.lit(1).cast("long"))  # no literal: the join would drop it from what rows are dealt by
+    far = small.select(F.col(on).alias("_key"), zero.alias("_zero"), F.struct(*fields).alias("_far"))
     joined = rows.join(far.hint("merge"), (F.col("_cold") == F.col("_key")) & (F.col("_deal") == F.col("_zero")), "left").withColumn("_found", F.coalesce("_near", "_far"))
     return joined.select(*big.columns, *(F.col(f"_found.{c}").alias(c) for c in fields))
 
