@@ -5,23 +5,29 @@
    repeated window shows as a repeated anchor. An anchor's context is all
    bytes that its windows can reach; it is filed with hashes of the context
    and of three long parts, one of which any shared window must contain.
-2. Anchors are shuffled by hash. Those whose context repeats whole are known
-   to be repeated; those that share a part with another need a closer look.
-   Of each such context one copy is fetched from its document.
-3. Contexts are cut where their content says so, every SPARSE bytes or so,
+2. Anchors are shuffled by hash. Anchors with equal hashes and context hashes
+   are a class. Two members of each class are fetched from their documents,
+   and one of each class that shares a part with another class of the anchor.
+   Fetched contexts that lie on one diagonal of two documents are one piece.
+3. What is fetched is cut where its content says so, every SPARSE bytes or so,
    and the pieces, numbered in byte order, make a string of whole numbers.
    Its suffix array, built by Lyndon grouping (suffix_groups), puts suffixes
    that start alike side by side; a window is repeated if another window with
    the same bytes before its first cut has, from there on, enough in common
    by the array's neighbours.
-4. The marks of a document are united and the rest of its bytes kept.
+4. Where the array finds all windows of a class's first member repeated, all
+   members' contexts are marked; else the windows that it finds. The marks of
+   a document are united and the rest of its bytes kept.
 
-Anchors, contexts and marks are rows; no task holds more than the contexts of
-one anchor, and the array is linear in them.
+Anchors, contexts and marks are rows. A task that reads anchors streams them
+and holds HELD rows at most: of an anchor with more classes these go on to a
+shuffle by their parts. An array has ARRAY_BYTES, or the contexts of one anchor
+that share a part.
 
 Defined results: null texts count as empty. Texts shorter than SPAN bytes keep
-all. Repeated doc_ids are rows of their own document each only if their texts
-are equal; the table's key is taken to be unique. Empty tables give no rows.
+all. The table's key is taken to be unique; rows that repeat a key and its
+text are documents of their own. Rows without a key keep all their bytes, and
+nothing is compared with them. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseline.llm.common import slices, stored, table
+from proseline.llm.common import hot_join, slices, stored, table
 from proseline.llm.suffix_groups import suffix_array
 
 SPAN, GRAM = 200, 32
@@ -45,8 +51,10 @@ PART = SPAN - STEP
 PARTS = tuple(range(0, SPAN - GRAM, STEP))
 #: Bytes of a long text that are looked at at once, and mean length of the pieces of a context.
 PIECE, SPARSE = 1 << 20, 32
-#: Contexts of an array; a larger group of one anchor has an array of its own.
-ARRAY_CONTEXTS = 1500
+#: Bytes of an array; a larger group of one anchor has an array of its own. Bytes from which a piece of a diagonal is cut.
+ARRAY_BYTES, DIAGONAL = 1 << 19, 1 << 17
+#: Rows that a task holds while it streams anchors.
+HELD = 100_000
 #: Windows that are compared at once.
 WINDOWS_AT_ONCE = 400_000
 
@@ -133,84 +141,186 @@ def anchor_rows(df: DataFrame, key: str, text: str) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=names)
 
-    return df.select(key, text).mapInArrow(run, "h long, id long, place long, p0 int, p1 int, p2 int, c long")
+    return df.select(F.col(key).cast("long"), text).where(F.col(key).isNotNull()).mapInArrow(run, "h long, id long, place long, p0 int, p1 int, p2 int, c long")
 
 
-def repeated(h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether (h, x) occurs again, and whether it is the first with its values."""
+def repeated(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether (h, x) occurs again."""
     order = np.lexsort((x, h))
     same = (h[order][1:] == h[order][:-1]) & (x[order][1:] == x[order][:-1])
-    again, first = np.zeros(len(h), bool), np.ones(len(h), bool)
+    again = np.zeros(len(h), bool)
     again[order[1:][same]] = True
     again[order[:-1][same]] = True
-    first[order[1:][same]] = False
-    return again, first
-
-
-def judged(h, c, parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the rows of whole groups: which repeat whole, which may share a window, which contexts are to be fetched."""
-    whole, first = repeated(h, c)
-    near = whole.copy()
-    for p in parts:
-        near |= repeated(h, p)[0] & (p != 0)
-    wanted = near & first
-    groups, inverse, size = np.unique(h[wanted], return_inverse=True, return_counts=True)
-    fetch = np.zeros(len(h), bool)
-    fetch[np.nonzero(wanted)[0][size[inverse] > 1]] = True
-    return whole, near, fetch
+    return again
+
+
+#: Kinds of rows that anchors become: a member of a class of several, the pair of such a class that is fetched, a context that shares a part with another, a class of an anchor with very many.
+MEMBER, PAIR, PARTIAL, LATE = range(4)
+_ANCHORS = ["kind", "h", "c", "id", "place", "n", "id2", "place2", "p0", "p1", "p2"]
+_LONGS = {"h", "c", "id", "place", "n", "id2", "place2"}
+
+
+class Streamed:
+    """Turns anchors sorted by (h, c) into rows of the four kinds, in numpy columns h, id, place, p0, p1, p2, c."""
+
+    def __init__(self):
+        self.rows: list[np.ndarray] | None = None  # rows of the last class, which may go on
+        self.gone = 0  # rows of that class that are out already
+        self.classes: list[np.ndarray] | None = None  # classes of the last anchor, which may go on
+        self.late = None  # an anchor whose classes are out already
+
+    @staticmethod
+    def batch(kind: int, **columns) -> pa.RecordBatch:
+        n = len(columns["h"])
+        arrays = [pa.array(np.full(n, kind, np.int32))] + [pa.array(columns[k]) if k in columns else pa.nulls(n, pa.int64() if k in _LONGS else pa.int32()) for k in _ANCHORS[1:]]
+        return pa.RecordBatch.from_arrays(arrays, names=_ANCHORS)
+
+    def add(self, rows: list[np.ndarray]):
+        rows = rows if self.rows is None else [np.concatenate(x) for x in zip(self.rows, rows, strict=True)]
+        h, c = rows[0], rows[6]
+        new = np.nonzero((h[1:] != h[:-1]) | (c[1:] != c[:-1]))[0] + 1
+        if len(new):
+            yield from self.whole_classes([x[: new[-1]] for x in rows])
+            rows = [x[new[-1] :] for x in rows]
+        if len(rows[0]) > HELD:  # a class of very many: two members stay
+            yield self.batch(MEMBER, h=rows[0][2:], c=rows[6][2:], id=rows[1][2:], place=rows[2][2:])
+            self.gone += len(rows[0]) - 2
+            rows = [x[:2] for x in rows]
+        self.rows = rows
+
+    def end(self):
+        if self.rows is not None:
+            yield from self.whole_classes(self.rows)
+            yield from self.whole_anchors(self.classes)
+
+    def whole_classes(self, rows: list[np.ndarray]):
+        """Members and pairs of classes that are whole; all classes go on to their anchors."""
+        h, ids, place, p0, p1, p2, c = rows
+        starts = np.concatenate([[0], np.nonzero((h[1:] != h[:-1]) | (c[1:] != c[:-1]))[0] + 1])
+        held = np.diff(np.append(starts, len(h)))
+        n = held.copy()
+        n[0] += self.gone
+        self.gone = 0
+        several = np.repeat(held > 1, held)
+        if several.any():
+            yield self.batch(MEMBER, h=h[several], c=c[several], id=ids[several], place=place[several])
+            one = starts[held > 1]
+            yield self.batch(PAIR, h=h[one], c=c[one], id=ids[one], place=place[one], n=n[held > 1], id2=ids[one + 1], place2=place[one + 1])
+        classes = [x[starts] for x in rows] + [n]
+        classes = classes if self.classes is None else [np.concatenate(x) for x in zip(self.classes, classes, strict=True)]
+        h = classes[0]
+        cut = int(np.searchsorted(h, h[-1]))
+        if cut:
+            yield from self.whole_anchors([x[:cut] for x in classes])
+            classes = [x[cut:] for x in classes]
+        if len(classes[0]) > HELD or self.late == h[-1]:
+            yield self.batch(LATE, **dict(zip(("h", "id", "place", "p0", "p1", "p2", "c", "n"), classes, strict=True)))
+            self.late, classes = h[-1], None
+        self.classes = classes
+
+    def whole_anchors(self, classes: list[np.ndarray] | None):
+        """The classes that share a part with another of their anchor, unless all of those are of several members."""
+        if classes is None or not len(classes[0]):
+            return
+        if self.late is not None and self.late == classes[0][0]:
+            first = classes[0] == self.late
+            yield self.batch(LATE, **dict(zip(("h", "id", "place", "p0", "p1", "p2", "c", "n"), [x[first] for x in classes], strict=True)))
+            classes = [x[~first] for x in classes]
+        h, ids, place, p0, p1, p2, c, n = classes
+        near = np.zeros(len(h), bool)
+        for p in (p0, p1, p2):
+            near |= repeated(h, p) & (p != 0)
+        near &= np.isin(h, h[near & (n == 1)])
+        if near.any():
+            yield self.batch(PARTIAL, h=h[near], c=c[near], id=ids[near], place=place[near], n=n[near])
 
 
 def shared_anchors(rows: DataFrame) -> DataFrame:
-    """(id, place, h, whole, fetch) of the anchors that share a part of their context with another."""
+    """Rows of the four kinds from all anchors."""
 
     def run(batches):
-        held = None
+        stream = Streamed()
+        for batch in batches:
+            if batch.num_rows:
+                yield from stream.add([x.to_numpy(zero_copy_only=False) for x in batch.columns])
+        yield from stream.end()
+
+    schema = "kind int, " + ", ".join(f"{k} {'long' if k in _LONGS else 'int'}" for k in _ANCHORS[1:])
+    return rows.repartition("h").sortWithinPartitions("h", "c", "id", "place").mapInArrow(run, schema)
+
+
+def asked_for(wanted: DataFrame) -> DataFrame:
+    """(id, key, place, whole, diagonal, h, c, n): contexts to fetch, and the array that they are for; h, c and n where a class is to be checked."""
+    none = F.lit(None).cast("long")
+    pair = wanted.where((F.col("kind") == PAIR) & ((F.col("id") != F.col("id2")) | (F.col("place") != F.col("place2"))))
+    apart = F.col("id") != F.col("id2")
+    array = F.when(apart, F.xxhash64("id", "id2", F.col("place2") - F.col("place"))).otherwise(F.col("h"))
+    ends = F.array(*(F.struct(F.col(i).alias("id"), array.alias("key"), F.col(p).alias("place"), F.lit(True).alias("whole"), apart.alias("diagonal"), h.alias("h"), c.alias("c"), n.alias("n")) for i, p, h, c, n in (("id", "place", F.col("h"), F.col("c"), F.col("n")), ("id2", "place2", none, none, none))))
+    out = pair.select(F.explode(ends).alias("x")).select("x.*")
+    plain = lambda rows, array: rows.select("id", array.alias("key"), "place", (F.col("n") > 1).alias("whole"), F.lit(False).alias("diagonal"), none.alias("h"), none.alias("c"), none.alias("n"))
+    out = out.union(plain(wanted.where(F.col("kind") == PARTIAL), F.col("h")))
+    late = wanted.where(F.col("kind") == LATE)
+    if not late.isEmpty():
+        parts = late.select("id", "place", "n", "h", F.posexplode(F.array("p0", "p1", "p2")).alias("j", "p")).where("p <> 0").withColumn("g", F.xxhash64("h", "j", "p"))
+        again = parts.groupBy("g").agg(F.count(F.lit(1)).alias("times"), F.min("n").alias("least")).where("times > 1 and least = 1")
+        out = out.union(plain(hot_join(parts, again, "g", "id", "times").where("times is not null"), F.col("g")))
+    return out
 
-        def out(t):
-            h, ids, place, p0, p1, p2, c = (x.to_numpy() for x in t.columns)
-            whole, near, fetch = judged(h, c, (p0, p1, p2))
-            keep = near & (whole | fetch)
-            return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(place[keep]), pa.array(h[keep]), pa.array(whole[keep]), pa.array(fetch[keep])], names=["id", "place", "h", "whole", "fetch"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            h = held.column(0).to_numpy()
-            cut = int(np.searchsorted(h, h[-1]))
-            if cut:
-                yield out(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None:
-            yield out(held)
+def pieces_of(size: int, asked: list[dict]):
+    """(key, start, end, whole, checks) of the pieces of a document of `size` bytes that hold the contexts asked for.
 
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "id long, place long, h long, whole boolean, fetch boolean")
+    Contexts of one diagonal that overlap are one piece, cut after DIAGONAL
+    bytes; both documents of a diagonal have the same ones, so the cuts and
+    the numbers that go into the keys are the same too.
+    """
+    asked.sort(key=lambda x: (x["key"], x["place"]))
+    last, number, piece = None, 0, None
+    for x in asked:
+        a, z = max(0, x["place"] - WINDOW + 1), min(size, x["place"] + SPAN)
+        check = [] if x["h"] is None else [x]
+        if piece and x["diagonal"] and x["key"] == last and a <= piece[2] and piece[2] - piece[1] < DIAGONAL:
+            piece[2] = max(piece[2], z)
+            piece[4].extend(check)
+            continue
+        if piece:
+            yield piece
+        number = number + 1 if x["key"] == last else 0
+        last = x["key"]
+        key = (x["key"] + number * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63) if x["diagonal"] else x["key"]
+        piece = [key, a, z, x["whole"], check]
+    if piece:
+        yield piece
+
+
+_CHECK = pa.struct([("place", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
 
 
-def contexts(df: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """(h, id, start, whole, context) of the anchors to be fetched; start is where the context starts in its document."""
-    lists = wanted.where("fetch").groupBy("id").agg(F.collect_list(F.struct("place", "h", "whole")).alias("places"))
-    rows = df.select(F.col(key).alias("id"), F.col(text).alias("t")).join(lists, "id")
+def contexts(df: DataFrame, asked: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, id, start, whole, context, checks): the pieces of the documents that are asked for."""
+    lists = asked.groupBy("id").agg(F.collect_list(F.struct("key", "place", "whole", "diagonal", "h", "c", "n")).alias("asked"))
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(lists, "id")
 
     def run(batches):
         for part in slices(batches):
-            out = []
-            for i, t, places in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            out, size = [], 0
+            for i, t, wanted in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 data = t.encode("utf-8", "surrogatepass")
-                for p in places:
-                    start = max(0, p["place"] - WINDOW + 1)
-                    out.append((p["h"], i, start, p["whole"], data[start : p["place"] + SPAN]))
-                    if len(out) >= 8192:
+                for k, a, z, whole, checks in pieces_of(len(data), wanted):
+                    out.append((k, i, a, whole, data[a:z], checks))
+                    size += z - a + 32 * len(checks)
+                    if size > 4 << 20:
                         yield batch_of(out)
-                        out = []
+                        out, size = [], 0
             if out:
                 yield batch_of(out)
 
     def batch_of(out):
-        h, i, start, whole, c = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(i, pa.int64()), pa.array(start, pa.int64()), pa.array(whole, pa.bool_()), pa.array(c, pa.binary())], names=["h", "id", "start", "whole", "context"])
+        k, i, start, whole, c, checks = zip(*out, strict=True)
+        arrays = [pa.array(k, pa.int64()), pa.array(i, pa.int64()), pa.array(start, pa.int64()), pa.array(whole, pa.bool_()), pa.array(c, pa.binary()), pa.array([[{f.name: x[f.name] for f in _CHECK} for x in own] for own in checks], pa.list_(_CHECK))]
+        return pa.RecordBatch.from_arrays(arrays, names=["key", "id", "start", "whole", "context", "checks"])
 
-    return rows.select("id", "t", "places").mapInArrow(run, "h long, id long, start long, whole boolean, context binary")
+    return rows.select("id", "t", "asked").mapInArrow(run, "key long, id long, start long, whole boolean, context binary, checks array<struct<place:long,h:long,c:long,n:long>>")
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -292,8 +402,10 @@ def repeated_windows(parts: list[bytes], span: int = SPAN, sparse: int = SPARSE,
     Windows are made for some parts and compared for some hashes at a time.
     """
     cuts, found, n = [], [], 0
-    for k in range(0, len(parts), ARRAY_CONTEXTS):
-        c, w = windows_of(parts[k : k + ARRAY_CONTEXTS], span, sparse, n)
+    filled = np.cumsum([len(p) for p in parts]) // ARRAY_BYTES
+    turns = [0, *(np.nonzero(filled[1:] != filled[:-1])[0] + 1).tolist(), len(parts)]
+    for k, to in zip(turns, turns[1:], strict=False):
+        c, w = windows_of(parts[k:to], span, sparse, n)
         cuts.append((c[0] + np.int32(k), c[1]))
         found.append((w[0] + np.int32(k), *w[1:]))
         n += len(c[0])
@@ -354,34 +466,51 @@ def runs_of(part: np.ndarray, offset: np.ndarray, span: int = SPAN):
 
 
 def marks(rows: DataFrame) -> DataFrame:
-    """(id, a, z) byte ranges that repeated windows of the contexts cover."""
+    """(id, a, z): byte ranges that repeated windows cover, of contexts that aren't whole classes'; (h, c, n): classes that are found repeated whole."""
+    names = ["id", "a", "z", "h", "c", "n"]
+
+    def out(tables):
+        t = pa.concat_tables(tables)
+        ids, start, whole, parts = t.column("id").to_numpy(), t.column("start").to_numpy(), t.column("whole").to_pylist(), t.column("context").to_pylist()
+        part, offset = repeated_windows(parts, ids=ids, at=start)
+        found = [(ids[k], start[k] + a, start[k] + z) for k, a, z in runs_of(part, offset) if not whole[k]]
+        checks = t.column("checks").combine_chunks()
+        own = np.repeat(np.arange(len(parts)), np.diff(checks.offsets.to_numpy()))
+        place, h, c, n = (checks.flatten().field(k).to_numpy() for k in range(4))
+        # a class is repeated whole if all windows of its context are
+        size = np.array([len(p) for p in parts], np.int64)[own]
+        first = np.maximum(0, place - WINDOW + 1) - start[own]
+        last = np.minimum(place + SPAN - start[own], size) - SPAN
+        at = part.astype(np.int64) << 40 | offset
+        inside = np.searchsorted(at, own << 40 | last, "right") - np.searchsorted(at, own << 40 | first)
+        good = inside == last - first + 1
+        if found:
+            i, a, z = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(a, pa.int64()), pa.array(z, pa.int64()), *(pa.nulls(len(i), pa.int64()) for _ in range(3))], names=names)
+        if good.any():
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(int(good.sum()), pa.int64()) for _ in range(3)), pa.array(h[good]), pa.array(c[good]), pa.array(n[good])], names=names)
 
     def run(batches):
         held: list[pa.Table] = []
         size, last = 0, None
-
-        def out(tables):
-            t = pa.concat_tables(tables)
-            ids, start, whole = t.column("id").to_numpy(), t.column("start").to_numpy(), t.column("whole").to_pylist()
-            found = [(ids[k], start[k] + a, start[k] + z) for k, a, z in runs_of(*repeated_windows(t.column("context").to_pylist(), ids=ids, at=start)) if not whole[k]]
-            if found:
-                i, a, z = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["id", "a", "z"])
-
         for batch in batches:
-            h = batch.column(0).to_numpy()
-            cuts = [0, *(np.nonzero(h[1:] != h[:-1])[0] + 1).tolist(), len(h)]
+            keys = batch.column(0).to_numpy()
+            cuts = [0, *(np.nonzero(keys[1:] != keys[:-1])[0] + 1).tolist(), len(keys)]
+            bounds = batch.column(4).buffers()[1]
+            ends = np.frombuffer(bounds, np.int32)[batch.column(4).offset :] if len(keys) else None
             for x, y in zip(cuts, cuts[1:], strict=False):
-                if size >= ARRAY_CONTEXTS and h[x] != last:
+                if x == y:
+                    continue
+                if size >= ARRAY_BYTES and keys[x] != last:
                     yield from out(held)
                     held, size = [], 0
                 held.append(pa.Table.from_batches([batch.slice(x, y - x)]))
-                size += y - x
-                last = h[x]
+                size += int(ends[y] - ends[x])
+                last = keys[x]
         if held:
             yield from out(held)
 
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "id long, a long, z long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, ", ".join(f"{k} long" for k in names))
 
 
 def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -397,14 +526,17 @@ def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def repeated_ranges(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, ranges array<struct<a, z>>) of the documents that repeated strings cover in part."""
     wanted = stored(shared_anchors(anchor_rows(df, key, text)), "suffix-anchors")
-    found = marks(contexts(df, wanted, key, text))
-    whole = wanted.where("whole").select("id", F.greatest(F.lit(0).cast("long"), F.col("place") - (WINDOW - 1)).alias("a"), (F.col("place") + SPAN).alias("z"))
-    return found.union(whole).groupBy("id").agg(F.collect_list(F.struct("a", "z")).alias("ranges"))
+    found = stored(marks(contexts(df, asked_for(wanted), key, text)), "suffix-marks")
+    twice = wanted.where((F.col("kind") == PAIR) & (F.col("id") == F.col("id2")) & (F.col("place") == F.col("place2")))  # rows that repeat a key and its text
+    classes = found.where("h is not null").select("h", "c", "n").union(twice.select("h", "c", "n")).select(F.struct("h", "c").alias("class"), "n").dropDuplicates(["class"])
+    members = hot_join(wanted.where(F.col("kind") == MEMBER).select("id", "place", F.struct("h", "c").alias("class")), classes, "class", "id", "n").where("n is not null")
+    whole = members.select("id", F.greatest(F.lit(0).cast("long"), F.col("place") - (WINDOW - 1)).alias("a"), (F.col("place") + SPAN).alias("z"))
+    return found.where("h is null").select("id", "a", "z").union(whole).groupBy("id").agg(F.collect_list(F.struct("a", "z")).alias("ranges"))
 
 
 def cleaned(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept binary's SHA-256) of every row."""
-    rows = df.select(F.col(key).alias("id"), F.col(text).alias("t"))
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     rows = rows.join(repeated_ranges(df, key, text), "id", "left").select("id", "t", "ranges")
 
     def run(batches):
