@@ -144,27 +144,37 @@ def parsed(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         at += size + 4
 
 
-def read_archives(spark: SparkSession, path: str, payload: bool) -> DataFrame:
-    """HEADS of every record of the archives in path, and the payload if asked for.
+def archive_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, content) of the archives in path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    return files.select(F.col("path").alias("file"), "content")
+
+
+def records(files: DataFrame, payload: bool) -> DataFrame:
+    """HEADS of every record of files(file, content), its place in its file, and the payload if asked for.
 
     Bytes and digest of a response are those of its payload as read; those of
-    a revisit, which has none, are what its headers say.
+    a revisit, which has none, are what its headers say. A third column of
+    files lists the originals of records by place: these records come without
+    their payload, and with their original.
     """
+    named = len(files.columns) > 2
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                rows: list[tuple] = []
-                size = 0
-                for fields, raw in parsed(unzipped(batch.column(0)[i].as_py())):
+                file, rows, size = batch.column(0)[i].as_py(), [], 0
+                originals = {x["place"]: x["original"] for x in batch.column(2)[i].as_py() or ()} if named else {}
+                for place, (fields, raw) in enumerate(parsed(unzipped(batch.column(1)[i].as_py()))):
                     head, _, body = raw.partition(b"\r\n\r\n")
                     if fields["warc-type"] == "revisit":
                         n = int(next(x.partition(b":")[2] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")))
                         digest = fields["warc-payload-digest"].removeprefix("sha256:")
                     else:
                         n, digest = len(body), hashlib.sha256(body).hexdigest()
-                    page = fields.get("x-page-id")
-                    rows.append((fields["warc-record-id"], int(page) if page else None, fields.get("warc-target-uri"), fields.get("warc-date"), fields["warc-type"], fields.get("warc-refers-to"), n, digest, *([body] if payload else [])))
+                    page, original = fields.get("x-page-id"), originals.get(place)
+                    row = (fields["warc-record-id"], int(page) if page else None, fields.get("warc-target-uri"), fields.get("warc-date"), fields["warc-type"], fields.get("warc-refers-to"), n, digest, file, place)
+                    rows.append((*row, original, b"" if original else body) if payload else row)
                     size += len(raw) if payload else 500
                     if size > 8 << 20:
                         yield batch_of(rows)
@@ -172,34 +182,39 @@ def read_archives(spark: SparkSession, path: str, payload: bool) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-    names = [x.split()[0] for x in HEADS.split(", ")] + ["payload"]
+    string, long = pa.string(), pa.int64()
+    kinds = {"record_id": string, "page_id": long, "uri": string, "date": string, "record_type": string, "refers_to_record": string, "payload_bytes": long, "payload_digest": string, "file": string, "place": long}
+    kinds |= {"original": pa.struct([("record_id", string), ("uri", string), ("date", string)]), "payload": pa.binary()} if payload else {}
 
     def batch_of(rows):
-        columns = list(zip(*rows, strict=True))
-        arrays = [pa.array(c, k) if n != "payload" else pa.array(c, pa.binary()).cast(pa.string()) for c, k, n in zip(columns, kinds, names, strict=False)]
-        return pa.RecordBatch.from_arrays(arrays, names=names[: len(columns)])
+        arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
+        return pa.RecordBatch.from_arrays([x.cast(string) if pa.types.is_binary(x.type) else x for x in arrays], names=list(kinds))
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(run, HEADS + (", payload string" if payload else ""))
+    return files.mapInArrow(run, HEADS + ", file string, place long" + (", original struct<record_id:string,uri:string,date:string>, payload string" if payload else ""))
 
 
 def resolve(heads: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """The records that become revisits: (record_id, original) of those whose payload an earlier page has too."""
+    """The records that become revisits: (record_id, file, place, original) of those whose payload an earlier page has too."""
     full = heads.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= least))
-    original = full.groupBy("payload_digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id", "uri", "date")).alias("original"))
-    return hot_join(full.select("record_id", "payload_digest"), original, "payload_digest", "record_id").where("record_id <> original.record_id").select("record_id", "original")
+    original = full.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id", "uri", "date")).alias("original")).where("n > 1")
+    found = hot_join(full.select("record_id", "payload_digest", "file", "place"), original, "payload_digest", "record_id", "n").where("record_id <> original.record_id")
+    return found.select("record_id", "file", "place", "original")
 
 
 def dedupe_archives(spark: SparkSession, source: str, target: str, least: int = LEAST_BYTES) -> None:
-    """Write the records of the archives in source to new ones in target, repeated payloads as revisits."""
-    heads = stored(read_archives(spark, source, False), "warc-heads")
-    found = resolve(heads, least)
-    rows = read_archives(spark, source, True).join(found, "record_id", "left")
+    """Write the records of the archives in source to new ones in target, repeated payloads as revisits.
+
+    Originals are joined to packed files, of each of which they are a list of
+    bounded length, so no payload is shuffled.
+    """
+    heads = stored(records(archive_files(spark, source), False), "warc-heads")
+    original = F.struct(*(F.col(f"original.{c}").alias(c) for c in ("record_id", "uri", "date")))
+    lists = resolve(heads, least).groupBy("file").agg(F.collect_list(F.struct("place", original.alias("original"))).alias("originals"))
+    rows = records(archive_files(spark, source).join(lists.hint("merge"), "file", "left").select("file", "content", "originals"), True)
     turned = F.col("original").isNotNull()
     rows = rows.select(
-        urn(F.concat(F.col("record_id"), F.lit("|deduplicated"))).alias("record_id"), "page_id", "uri", "date", "payload_bytes", "payload_digest",
-        F.when(turned, F.lit("revisit")).otherwise(F.col("record_type")).alias("record_type"), F.when(turned, F.lit("")).otherwise(F.col("payload")).alias("payload"),
+        urn(F.concat(F.col("record_id"), F.lit("|deduplicated"))).alias("record_id"), "page_id", "uri", "date", "payload_bytes", "payload_digest", "payload",
+        F.when(turned, F.lit("revisit")).otherwise(F.col("record_type")).alias("record_type"),
         F.when(turned, urn(F.concat(F.col("original.record_id"), F.lit("|deduplicated")))).otherwise(F.col("refers_to_record")).alias("refers_to_record"), F.col("original.uri").alias("refers_to_uri"), F.col("original.date").alias("refers_to_date"),
     )
     largest = heads.agg(F.max("payload_bytes")).first()[0] or 0
@@ -212,7 +227,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_pages(table(spark, sf_dir, "pages"), first)
     dedupe_archives(spark, first, second)
     remove(spark, first)
-    heads = stored(read_archives(spark, second, False), "warc-read")
+    heads = stored(records(archive_files(spark, second), False), "warc-read")
     remove(spark, second)
     responses = heads.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"))
     columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

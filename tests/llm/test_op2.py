@@ -64,7 +64,7 @@ def test_large_pages_have_files_of_their_own(spark, monkeypatch, tmp_path):
 def test_empty(spark):
     path = shared_path(spark, "t")
     op.write_pages(spark.createDataFrame([], "page_id long, url string, html string"), path)
-    assert op.read_archives(spark, path, True).count() == 0
+    assert op.records(op.archive_files(spark, path), True).count() == 0
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
