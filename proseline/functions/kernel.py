@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: White space as ECMAScript has it; Java's own class is narrower.
 WS = r"[\s\x0b   -     　﻿]"
+# The patterns of words and of the ends of sentences.
 WORD = r"\p{L}[\p{L}\p{N}'’-]*"
 #: Ends of a sentence: punctuation, a blank line, or the line before a Markdown block.
 BOUNDARY = r"[.!?…]+|\n[ \t]*\n|\n(?=[ \t]*(?:#{1,6}[ \t]|[-*+][ \t]|>[ \t]|\d+[.)][ \t]))"
@@ -34,13 +35,13 @@ def utf16(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
-def line_of(text: Column, offset: Column) -> Column:
-    return F.regexp_count(F.left(text, offset), F.lit("\n")) + 1
+#: Noncharacters that stand around matches and between their groups; plain() takes them out of texts.
+MARK, PART = "\ufdd0", "\ufdd1"
 
 
-def column_of(text: Column, offset: Column) -> Column:
-    """1-based column in UTF-16 units."""
-    return utf16(F.substring_index(F.left(text, offset), "\n", -1)) + 1
+def plain(text: Column) -> Column:
+    """The text without the noncharacters that find() and sentences() use, of the same length; null counts as empty."""
+    return F.translate(F.coalesce(text, F.lit("")), MARK + PART, "\ufffd\ufffd")
 
 
 def folded(text: Column) -> Column:
@@ -56,23 +57,44 @@ def quoted(text: str) -> str:
 # The next functions give SQL text: one parse of an expression in the JVM takes
 # the place of hundreds of calls to it.
 NONE_FOUND = f"cast(array() as {FINDING})"
+#: Elements that a running sum appends to one array, 2 to the power of 6; sums of such chunks come first, so that the work is linear.
+CHUNK = 64
 
 
-def find(text: str, pattern: str, hit: bool = False, needs: str | None = None) -> str:
-    """Non-overlapping matches of a column from the left, as FINDING. Where the condition `needs` is false there is none, and no pattern runs.
+def let(name: str, value: str, body: str) -> str:
+    """SQL for body with a name for a value that is worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-    What lies between matches gives their places, so no UDF is needed. With
-    hit, group 1 is what precedes the reported group 2 inside a match.
+
+def running(lengths: str) -> str:
+    """SQL for the array of the sums of the elements before each one of an array of whole numbers."""
+    chunks = f"sequence(0, greatest(0, shiftright(size(rl) - 1, 6)))"
+    before = f"aggregate({chunks}, array(0), (ra, rj) -> concat(ra, array(ra[rj] + aggregate(slice(rl, {CHUNK} * rj + 1, {CHUNK}), 0, (rs, rx) -> rs + rx))))"
+    inside = f"aggregate(slice(rl, {CHUNK} * rj + 1, {CHUNK}), named_struct('s', rp[rj], 'o', cast(array() as array<int>)), (rs, rx) -> named_struct('s', rs.s + rx, 'o', concat(rs.o, array(rs.s))), rs -> rs.o)"
+    return let("rl", lengths, let("rp", before, f"flatten(transform({chunks}, rj -> {inside}))"))
+
+
+def find(text: str, pattern: str, hit: bool = False, needs: str | None = None, where: str | None = None) -> str:
+    """Non-overlapping matches of a plain() column from the left, as FINDING. Where the condition `needs` is false there is none, and no pattern runs.
+
+    One pass of the pattern puts marks around its matches; the lengths of what
+    lies between the marks give the places, so no UDF is needed and the work
+    is linear. With hit, a match is made of three groups, of which the second
+    is reported. `where` is a condition on a match, in which ps[fi - 1] is the
+    text since the last match, and ps[fi - 2] that match from the second on.
     """
-    p = quoted(pattern)
-    group = lambda n: f"regexp_extract_all({text}, {p}, {n})"
-    columns = [f"slice(split({text}, {p}, -1), 1, size({group(0)}))", group(0), *([group(1), group(2)] if hit else [])]
-    shown = "row.`3`" if hit else "row.`1`"
-    offset = "acc.at + length(row.`0`)" + (" + length(row.`2`)" if hit else "")
-    one = f"named_struct('text', {shown}, 'offset', {offset}, 'end', {offset} + length({shown}))"
-    step = f"named_struct('at', acc.at + length(row.`0`) + length(row.`1`), 'out', concat(acc.out, array({one})))"
-    some = f"rlike({text}, {p})" if needs is None else f"CASE WHEN {needs} THEN rlike({text}, {p}) ELSE false END"
-    return f"CASE WHEN {some} THEN aggregate(arrays_zip({', '.join(columns)}), named_struct('at', 0, 'out', {NONE_FOUND}), (acc, row) -> {step}, acc -> acc.out) ELSE {NONE_FOUND} END"
+    marked = f"{MARK}$1{PART}$2{PART}$3{MARK}" if hit else f"{MARK}$0{MARK}"
+    length = "length(fx) - CASE WHEN fk % 2 = 1 THEN 2 ELSE 0 END" if hit else "length(fx)"
+    shown = f"split_part(ps[fi], '{PART}', 2)" if hit else "ps[fi]"
+    lead = f" + length(split_part(ps[fi], '{PART}', 1))" if hit else ""
+    places = "sequence(1, size(ps) - 2, 2)"
+    if where:
+        places = f"filter({places}, fi -> {where})"
+    one = f"named_struct('text', {shown}, 'offset', st[fi]{lead}, 'end', st[fi]{lead} + length({shown}))"
+    starts = running(f"transform(ps, (fx, fk) -> {length})")
+    rows = let("ps", f"split(fm, '{MARK}', -1)", let("st", starts, f"transform({places}, fi -> {one})"))
+    found = let("fm", f"regexp_replace({text}, {quoted(pattern)}, '{marked}')", f"CASE WHEN contains(fm, '{MARK}') THEN {rows} ELSE {NONE_FOUND} END")
+    return found if needs is None else f"CASE WHEN {needs} THEN {found} ELSE {NONE_FOUND} END"
 
 
 def without_contained(hits: str, spans: str) -> str:
@@ -91,20 +113,26 @@ def sentence_lengths(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, BOUNDARY, -1), count_words), lambda n: n > 0)
 
 
-def sentences(text: Column) -> Column:
-    """array<struct<text, offset, words>>: punctuation stays with its sentence, pieces without words go."""
-    whole = F.regexp_extract_all(text, F.lit(BOUNDARY), F.lit(0))
-    pieces = F.arrays_zip(F.split(text, BOUNDARY, -1).alias("gap"), F.concat(whole, F.array(F.lit(""))).alias("end"))
+def sentences(text: str) -> Column:
+    """array<struct<text, offset, words>> of a plain() column: punctuation stays with its sentence, pieces without words go."""
+    lead, tail = quoted(rf"\A{WS}+"), quoted(rf"{WS}+\z")
+    end = "CASE WHEN si + 1 < size(ps) AND NOT startswith(ps[si + 1], '\n') THEN ps[si + 1] ELSE '' END"
+    raw = f"concat(ps[si], {end})"
+    body = f"regexp_replace(sl, {tail}, '')"
+    one = let("sr", raw, let("sl", f"regexp_replace(sr, {lead}, '')", f"named_struct('text', {body}, 'offset', st[si] + length(sr) - length(sl), 'words', regexp_count(sl, {quoted(WORD)}))"))
+    rows = let("ps", f"split(regexp_replace({text}, {quoted(BOUNDARY)}, '{MARK}$0{MARK}'), '{MARK}', -1)", let("st", running("transform(ps, sx -> length(sx))"), f"transform(sequence(0, size(ps) - 1, 2), si -> {one})"))
+    return F.expr(f"filter({rows}, ss -> ss.words > 0)")
+
+
+def line_starts(text: str) -> str:
+    """SQL for the offsets at which the lines of a column start."""
+    return running(f"transform(split({text}, '\n', -1), lx -> length(lx) + 1)")
 
-    def step(acc: Column, row: Column) -> Column:
-        raw = F.when(row["end"].startswith("\n"), row["gap"]).otherwise(F.concat(row["gap"], row["end"]))
-        body = trim(raw)
-        lead = F.length(raw) - F.length(F.regexp_replace(raw, rf"\A{WS}+", ""))
-        one = F.struct(body.alias("text"), (acc["at"] + lead).alias("offset"), count_words(body).alias("words"))
-        return F.struct((acc["at"] + F.length(row["gap"]) + F.length(row["end"])).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,offset:int,words:int>>").alias("out"))
-    return F.filter(F.aggregate(pieces, start, step, lambda acc: acc["out"]), lambda s: s["words"] > 0)
+def line_at(starts: str, offset: str) -> str:
+    """SQL for the 1-based line of an offset, by halving the sorted array of line starts."""
+    halve = f"CASE WHEN {starts}[la.lo + shiftright(la.hi - la.lo, 1)] <= {offset} THEN named_struct('lo', la.lo + shiftright(la.hi - la.lo, 1), 'hi', la.hi) ELSE named_struct('lo', la.lo, 'hi', la.lo + shiftright(la.hi - la.lo, 1)) END"
+    return f"aggregate(sequence(1, cast(ceil(log2(size({starts}) + 1)) as int) + 1), named_struct('lo', 0, 'hi', size({starts})), (la, lk) -> {halve}, la -> la.lo + 1)"
 
 
 def deviation(numbers: str) -> Column:

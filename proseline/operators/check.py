@@ -8,25 +8,39 @@ from pyspark.sql import functions as F
 from proseline.functions import kernel as K
 from proseline.functions.lexicon import Lexicon
 from proseline.functions.shipped import SHIPPED
-from proseline.operators.language import detect
+from proseline.operators.language import votes, winner
 from proseline.operators.rules import ORDER, RULES, Row, Rule, Source, rules_for
 
+#: Prefix of the columns that checked() makes for itself.
+OWN = "_proseline_"
+
 
 def checked(df: DataFrame, lexicons: dict[str, Lexicon] | None = None, rules: tuple[Rule, ...] = RULES, language: str | None = None, text: str = "text") -> DataFrame:
     """df with language, word_count and rules, an array with a struct for each rule of the language.
 
     language names the column with `sr` or `en`; without it the language is
-    detected. Null text counts as empty. Works on streams too.
+    detected. Null text counts as empty; the two noncharacters that mark
+    matches count as U+FFFD. All columns of df stay as they are: one that has
+    the name of a column to be added is an error, except a language column
+    that is named. Works on streams too.
     """
     lexicons = lexicons or SHIPPED
     for x in lexicons.values():
         if x.language not in ("sr", "en"):
             raise ValueError(f"unknown language {x.language}")
-    df = df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
-    df = detect(df, text).drop("sr_votes", "en_votes", "basis") if language is None else df.withColumn("language", F.col(language))
-    t = F.col(text)
-    df = df.withColumn("_low", K.folded(t))
-    source = Source(f"`{text}`", "_low")
+    added = {"language", "word_count", "rules"} - ({"language"} if language == "language" else set())
+    clash = [c for c in df.columns if c.lower() in added or c.startswith(OWN)]
+    if clash:
+        raise ValueError(f"columns in the way: {clash}")
+    own = lambda name: F.col(f"`{OWN}{name}`")
+    df = df.withColumn(f"{OWN}text", K.plain(F.col(text)))
+    if language is None:
+        df = df.withColumns({f"{OWN}sr": votes(own("text"), "sr"), f"{OWN}en": votes(own("text"), "en")})
+        df = df.withColumn("language", winner(own("sr"), own("en"), own("text")))
+    elif language != "language":
+        df = df.withColumn("language", F.col(language))
+    df = df.withColumn(f"{OWN}low", K.folded(own("text")))
+    source = Source(f"`{OWN}text`", f"`{OWN}low`")
     # step 1: what needs the text's regular expressions; step 2: structs from these columns
     found, graded = {}, {}
     for x in ("sr", "en"):
@@ -38,13 +52,13 @@ def checked(df: DataFrame, lexicons: dict[str, Lexicon] | None = None, rules: tu
         for x, value in options:
             column = F.when(F.col("language") == x, value) if column is None else column.when(F.col("language") == x, value)
         hits[name] = column
-    df = df.select("*", K.count_words(t).alias("word_count"), K.sentence_lengths(t).alias("_lengths"), *(v.alias(f"_f_{k}") for k, v in hits.items()))
-    df = df.withColumn("_sd", K.deviation("_lengths"))
-    row = Row(t, F.col("word_count"), F.col("_lengths"), F.col("_sd"))
+    df = df.select("*", K.count_words(own("text")).alias("word_count"), K.sentence_lengths(own("text")).alias(f"{OWN}lengths"), *(v.alias(f"{OWN}f_{k}") for k, v in hits.items()))
+    df = df.withColumn(f"{OWN}sd", K.deviation(f"`{OWN}lengths`"))
+    row = Row(own("text"), F.col("word_count"), own("lengths"), own("sd"))
     for x in ("sr", "en"):
-        graded[x] = F.array(*(r.grade(F.col(f"`_f_{r.name}`"), row) for r in rules_for(x, rules)))
+        graded[x] = F.array(*(r.grade(own(f"f_{r.name}"), row) for r in rules_for(x, rules)))
     df = df.withColumn("rules", F.when(F.col("language") == "sr", graded["sr"]).when(F.col("language") == "en", graded["en"]))
-    return df.drop("_low", "_lengths", "_sd", *(f"_f_{k}" for k in hits))
+    return df.drop(*(c for c in df.columns if c.startswith(OWN)))
 
 
 def rule_results(done: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -59,13 +73,20 @@ def rule_results(done: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def findings(done: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each finding, with line, column (UTF-16) and offset; positions are worked out for findings alone."""
-    rows = done.select(key, text, "language", F.explode_outer("rules").alias("r")).where(F.size("r.findings") > 0)
-    rows = rows.select(key, text, "language", F.col("r.rule").alias("rule"), F.col("r.outcome").alias("outcome"), F.posexplode("r.findings").alias("seq", "f"))
-    return rows.select(
-        key, "language", "rule", "outcome", "seq", F.col("f.text").alias("finding"), K.line_of(F.col(text), F.col("f.offset")).alias("line"), K.column_of(F.col(text), F.col("f.offset")).alias("column"),
-        F.col("f.offset").alias("offset"), F.col("f.end").alias("end"),
-    )
+    """A row for each finding, with line, column (UTF-16) and offset.
+
+    The lines of a document are found once, each finding's by halving, and no
+    text is carried beyond its own row. No filter stands on the rules here: one
+    would be pushed below everything that makes them.
+    """
+    lines = done.select(key, "language", "rules", F.when(F.expr("exists(rules, r -> size(r.findings) > 0)"), K.plain(F.col(text))).otherwise("").alias(f"{OWN}text"))
+    lines = lines.withColumn(f"{OWN}starts", F.expr(K.line_starts(f"`{OWN}text`"))).withColumn(f"{OWN}lines", F.split(f"{OWN}text", "\n", -1))
+    line = K.let("fl", K.line_at(f"`{OWN}starts`", "f.offset"), f"named_struct('line', fl, 'head', left(`{OWN}lines`[fl - 1], f.offset - `{OWN}starts`[fl - 1]))")
+    placed = K.let("fp", line, "named_struct('finding', f.text, 'line', fp.line, 'column', cast(octet_length(encode(fp.head, 'UTF-16BE')) / 2 as int) + 1, 'offset', f.offset, 'end', f.`end`)")
+    of_rule = f"transform(rules, r -> named_struct('rule', r.rule, 'outcome', r.outcome, 'found', transform(r.findings, f -> {placed})))"
+    rows = lines.select(key, "language", F.explode_outer(F.expr(of_rule)).alias("r")).where(F.size("r.found") > 0)
+    rows = rows.select(key, "language", "r.rule", "r.outcome", F.posexplode_outer("r.found").alias("seq", "f"))
+    return rows.select(key, "language", "rule", "outcome", "seq", "f.finding", "f.line", "f.column", "f.offset", "f.end")
 
 
 def reports(done: DataFrame, key: str = "doc_id", weights: dict[str, float] | None = None) -> DataFrame:

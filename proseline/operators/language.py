@@ -18,11 +18,16 @@ def has_diacritics(text: Column) -> Column:
     return text.rlike(f"[{DIACRITICS}]")
 
 
+def winner(sr: Column, en: Column, text: Column) -> Column:
+    """More function words win; a tie is Serbian with diacritics, else English."""
+    return F.when(sr > en, "sr").when(sr < en, "en").when(has_diacritics(text), "sr").otherwise("en")
+
+
 def detect(df: DataFrame, text: str = "text") -> DataFrame:
     """df with language and basis: more function words win; a tie is Serbian with diacritics, else English."""
     t = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("sr_votes", votes(t, "sr")).withColumn("en_votes", votes(t, "en"))
-    language = F.when(F.col("sr_votes") > F.col("en_votes"), "sr").when(F.col("sr_votes") < F.col("en_votes"), "en").when(has_diacritics(t), "sr").otherwise("en")
+    language = winner(F.col("sr_votes"), F.col("en_votes"), t)
     basis = F.when(F.col("sr_votes") != F.col("en_votes"), "vote").when(has_diacritics(t), "tie, diacritics").otherwise("tie, default")
     return df.withColumn("language", language).withColumn("basis", basis)
 

@@ -104,11 +104,13 @@ def lexicon_rule(name: str, floor: float, ceiling: float, constants: tuple = ())
 
 
 def pattern_rule(name: str, languages: tuple[str, ...], pattern: str, floor: float, ceiling: float, needs: str) -> Rule:
-    """A pattern of two groups, what precedes the finding and the finding; rule exceptions of the lexicon apply."""
+    """A pattern of three groups, what precedes the finding, the finding and what follows; rule exceptions of the lexicon apply."""
     constants = ((f"{name}.floor", floor), (f"{name}.ceiling", ceiling))
     return Rule(name, "density", languages, lambda t, lex: rule_exceptions(K.find(t.text, pattern, True, t.has(needs)), t, lex, name), lambda f, row: density(name, f, row.words, floor, ceiling), constants)
 
 
+# The patterns of the rules.
+FORMAL = r"(?<![\p{L}])V(?:i|as|am|ama|aš\p{L}{0,4}|aše\p{L}{0,3})(?![\p{L}])"
 LINE_BLANK = K.WS.replace(r"\s", r"\x20\t\r\f")
 #: What may stand before a word in mid-sentence: neither nothing, nor an end of a sentence, nor an opening quote or bracket.
 MID_SENTENCE = rf"[^\n\s.!?…:\"'“„«(\[]{LINE_BLANK}*\z"
@@ -124,8 +126,8 @@ def _grade_diacritics(f: Column, row: Row) -> Column:
 
 
 def _find_formal(source: Source, _: Lexicon) -> str:
-    hits = K.find(source.text, r"(?<![\p{L}])V(?:i|as|am|ama|aš\p{L}{0,4}|aše\p{L}{0,3})(?![\p{L}])", needs=f"contains({source.text}, 'V')")
-    return f"filter({hits}, h -> rlike(left({source.text}, h.offset), {K.quoted(MID_SENTENCE)}))"
+    before = "concat(CASE WHEN fi > 1 THEN right(ps[fi - 2], 1) ELSE '' END, ps[fi - 1])"  # as far back as the last match's end
+    return K.find(source.text, FORMAL, needs=f"contains({source.text}, 'V')", where=f"rlike({before}, {K.quoted(MID_SENTENCE)})")
 
 
 def _grade_formal(f: Column, row: Row) -> Column:
@@ -133,7 +135,7 @@ def _grade_formal(f: Column, row: Row) -> Column:
 
 
 def _find_bold(source: Source, _: Lexicon) -> str:
-    stars, lines = K.find(source.text, r"(\*\*)([^*\n]+)\*\*", True, source.has("**")), K.find(source.text, r"(__)([^_\n]+)__", True, source.has("__"))
+    stars, lines = K.find(source.text, r"(\*\*)([^*\n]+)(\*\*)", True, source.has("**")), K.find(source.text, r"(__)([^_\n]+)(__)", True, source.has("__"))
     return K.by_offset(f"concat({stars}, {lines})")
 
 
@@ -157,9 +159,9 @@ RULES: tuple[Rule, ...] = (
     *(lexicon_rule(n, 1.0, 6.0, _PHRASE) for n in ("weasel-words", "editorializing", "promotional-tone", "inflated-vocabulary", "summary-close")),
     lexicon_rule("transition-density", 4.0, 20.0, (("transition-density.floor", 4.0), ("transition-density.ceiling", 20.0))),
     lexicon_rule("rule-of-three", 2.0, 12.0, (("rule-of-three.floor", 2.0), ("rule-of-three.ceiling", 12.0))),
-    pattern_rule("bullet-bold-shape", ("sr", "en"), r"((?<![^\n\r  ])[ \t]*[-*+][ \t]+)(\*\*[^*\n]+\*\*:?)[ \t]*\S", 2.0, 20.0, "**"),
-    pattern_rule("verbal-adverb-close", ("sr",), rf"(?<![\p{{L}}])()(\p{{L}}{{2,}}(?:jući|ći)){END}", 1.5, 8.0, "ći"),
-    pattern_rule("participial-close", ("en",), rf"(,[ \t]+)(\p{{L}}{{3,}}ing)(?![\p{{L}}])[^.!?\n]{{0,120}}?{END}", 2.0, 12.0, "ing"),
+    pattern_rule("bullet-bold-shape", ("sr", "en"), r"((?<![^\n\r  ])[ \t]*[-*+][ \t]+)(\*\*[^*\n]+\*\*:?)([ \t]*\S)", 2.0, 20.0, "**"),
+    pattern_rule("verbal-adverb-close", ("sr",), rf"(?<![\p{{L}}])()(\p{{L}}{{2,}}(?:jući|ći))({END})", 1.5, 8.0, "ći"),
+    pattern_rule("participial-close", ("en",), rf"(,[ \t]+)(\p{{L}}{{3,}}ing)((?![\p{{L}}])[^.!?\n]{{0,120}}?{END})", 2.0, 12.0, "ing"),
     Rule("em-dash-density", "density", ("sr", "en"), lambda t, _: K.find(t.text, "—", needs=t.has("—")), lambda f, row: density("em-dash-density", f, row.words, 2.0, 15.0), (("em-dash-density.floor", 2.0), ("em-dash-density.ceiling", 15.0))),
     Rule("bold-ratio", "density", ("sr", "en"), _find_bold, _grade_bold, (("bold-ratio.floor", 20.0), ("bold-ratio.ceiling", 120.0))),
     Rule("sentence-uniformity", "density", ("sr", "en"), _none, _grade_uniformity, (("sentence-uniformity.target-sd", 6.0), ("sentence-uniformity.min-sentences", 6.0))),

@@ -23,9 +23,9 @@ _DENSITIES = ("per_thousand", "score")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its files make fewer partitions than there are; large inputs stay as they are."""
+    """df over all cores where it has fewer files than there are: a file of one row group feeds one task. Inputs of many files stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(K.sentences(F.col("text"))).alias("i", "s"))
+    rows = docs(spark, sf_dir).withColumn("_text", K.plain(F.col("text"))).select("doc_id", F.posexplode(K.sentences("_text")).alias("i", "s"))
     return rows.select("doc_id", (F.col("i") + 1).alias("idx"), "s.offset", "s.words", F.md5(F.col("s.text").cast("binary")).alias("text_md5"))
 
 

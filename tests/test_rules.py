@@ -64,7 +64,7 @@ def test_findings_slice_back(done):
 
 def test_words_and_sentences(spark):
     texts = ["šećer čaša đak", "- **bold** text", "don’t re-do 3 a1", "", "one\ntwo", "one.\n\ntwo", "- a\n- b\n- c", "3.5 is x", "# h\ntext"]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", K.count_words(F.col("t")).alias("w"), F.size(K.sentence_lengths(F.col("t"))).alias("s"), K.sentences(F.col("t")).alias("x"), K.deviation("array(2, 4, 4, 4, 5, 5, 7, 9)").alias("sd")).orderBy("i").collect()
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("p", K.plain(F.col("t"))).select("i", K.count_words(F.col("t")).alias("w"), F.size(K.sentence_lengths(F.col("t"))).alias("s"), K.sentences("p").alias("x"), K.deviation("array(2, 4, 4, 4, 5, 5, 7, 9)").alias("sd")).orderBy("i").collect()
     assert [r.w for r in rows] == [3, 2, 3, 0, 2, 2, 3, 2, 2]
     assert [r.s for r in rows][4:7] == [1, 2, 3] and all(r.s == len(r.x) for r in rows) and rows[0].sd == 2
     assert all(texts[r.i][s.offset : s.offset + len(s.text)] == s.text for r in rows for s in r.x)
@@ -105,3 +105,43 @@ def test_lexicons(spark):
     twice = Lexicon("en", "1", ENGLISH.entries | {"weasel-words": (Entry("a b"), Entry("a"))}, {})
     rows = check.rule_results(check.checked(spark.createDataFrame([(1, "a b the")], "doc_id long, text string"), {"en": twice, "sr": SERBIAN}))
     assert rows.where("rule = 'weasel-words'").first().n_findings == 2
+
+
+def test_dense_texts_take_linear_time(spark):
+    """40,000 matches and as many sentences of one text, with all their places."""
+    import time
+
+    n = 40_000
+    df = spark.createDataFrame([("a — word. " * n,)], "t string").withColumn("p", K.plain(F.col("t")))
+    began = time.time()
+    row = df.select(F.expr(K.find("p", "—")).alias("f"), K.sentences("p").alias("s"), F.expr(K.find("p", r"([a-z]+)( — )(word)", True)).alias("g")).select(
+        F.size("f").alias("n"), F.expr("exists(f, x -> (x.offset - 2) % 10 <> 0 or x.`end` <> x.offset + 1)").alias("wrong"), F.col("f")[n - 1]["offset"].alias("last"), F.size("s").alias("m"), F.col("s")[n - 1]["offset"].alias("start"), F.col("g")[n - 1].alias("hit"),
+    ).first()
+    took = time.time() - began
+    assert (row.n, row.wrong, row.last, row.m, row.start) == (n, False, 10 * n - 8, n, 10 * n - 10) and (row.hit.text, row.hit.offset, row.hit.end) == (" — ", 10 * n - 9, 10 * n - 6)
+    assert took < 20, took
+    print(took)
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 63, 64, 65, 128, 1000):
+        got = spark.sql(f"select {K.running(f'transform(sequence(0, {n}), x -> x)')} as x").first().x
+        assert got == [k * (k - 1) // 2 for k in range(n + 1)]
+    starts = [0, 4, 9, 30]
+    df = spark.range(40).withColumn("o", F.col("id").cast("int")).select("o", F.expr(f"array({', '.join(map(str, starts))})").alias("s")).select("o", F.expr(K.line_at("s", "o")).alias("line"))
+    assert {r.o: r.line for r in df.collect()} == {o: sum(x <= o for x in starts) for o in range(40)}
+    assert spark.sql(f"select {K.line_at('array(0)', '7')} as x").first().x == 1
+
+
+def test_marks_in_a_text_play_no_part(spark):
+    df = spark.createDataFrame([("a\ufdd0 — b\ufdd1 — \ufdd0",)], "t string").withColumn("p", K.plain(F.col("t")))
+    assert [(x.text, x.offset, x.end) for x in df.select(F.expr(K.find("p", "—")).alias("f")).first().f] == [("—", 3, 4), ("—", 8, 9)]
+
+
+def test_no_column_is_lost(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, "Some text here.", "b", 2)], "doc_id int, text string, basis string, sr_votes int")
+    assert set(df.columns) | {"language", "word_count", "rules"} == set(check.checked(df).columns)
+    with pytest.raises(ValueError):
+        check.checked(df.withColumnRenamed("basis", "word_count"))
