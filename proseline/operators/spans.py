@@ -12,7 +12,7 @@ def merged_spans(findings: DataFrame, key: str = "doc_id") -> DataFrame:
     Gaps and islands: one sort by document serves the running maximum, the
     islands' numbers and the aggregate, which share its partitioning.
     """
-    w = Window.partitionBy(key).orderBy("offset", F.desc("end"))
+    w = Window.partitionBy(key).orderBy("offset", F.desc("end"), "rule")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     rows = findings.select(key, "rule", "outcome", "offset", "end").withColumn("reach", F.max("end").over(before))
     rows = rows.withColumn("island", F.sum(F.when(F.col("reach").isNull() | (F.col("offset") >= F.col("reach")), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -33,10 +33,8 @@ def highlight(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str
     rows = docs.select(key, text).join(lists, key, "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,rules:array<string>>>")))
     t = F.col(text)
     cut = lambda a, b: escape_html(F.substring(t, a + 1, b - a))
-
-    def step(acc, s):
-        mark = F.concat(F.lit('<mark data-rules="'), F.array_join(s["rules"], " "), F.lit('">'), cut(s["start"], s["end"]), F.lit("</mark>"))
-        return F.struct(s["end"].alias("at"), F.concat(acc["html"], cut(acc["at"], s["start"]), mark).alias("html"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("html"))
-    return rows.select(key, F.aggregate("spans", start, step, lambda acc: F.concat(acc["html"], cut(acc["at"], F.length(t)))).alias("html"))
+    before = lambda i: F.when(i > 0, F.col("spans")[F.greatest(i - 1, F.lit(0))]["end"]).otherwise(0)
+    mark = lambda s: F.concat(F.lit('<mark data-rules="'), F.array_join(s["rules"], " "), F.lit('">'), cut(s["start"], s["end"]), F.lit("</mark>"))
+    marked = F.array_join(F.transform("spans", lambda s, i: F.concat(cut(before(i), s["start"]), mark(s))), "")
+    last = F.when(F.size("spans") > 0, F.element_at("spans", F.greatest(F.size("spans"), F.lit(1)))["end"]).otherwise(0)
+    return rows.select(key, F.concat(marked, cut(last, F.length(t))).alias("html"))

@@ -111,7 +111,7 @@ def quote_sentences(quotes: DataFrame, sentences: DataFrame, key: str = "doc_id"
     """Each located quote with the sentences it overlaps: an equi-join on the document, then the ranges."""
     q, s = quotes.where("start is not null").alias("q"), sentences.alias("s")
     near = (F.col(f"q.{key}") == F.col(f"s.{key}")) & (F.col("q.start") < F.col("s.end")) & (F.col("q.end") > F.col("s.start"))
-    return q.join(s, near).select(F.col(f"q.{key}").alias(key), "q.quote", F.col("q.match").alias("match"), F.col("s.idx").alias("idx"))
+    return q.join(s, near).select("q.*", F.col("s.idx").alias("idx"))
 
 
 def recall_precision(located: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:

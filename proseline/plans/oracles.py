@@ -12,6 +12,7 @@ import re
 from proseline.functions.lexicon import Entry, Lexicon
 from proseline.functions.shipped import DIACRITICS, SHIPPED, STOPWORDS
 from proseline.operators.rules import ORDER, RULES, gate_words
+from proseline.operators.trace import ABBREVIATIONS, ENGLISH
 
 WORD = r"\p{L}[\p{L}\p{N}'’-]*"
 TWICE = r"regexp_replace(text, '([^\p{L}\p{N}_])', '\1\1', 'g')"
@@ -145,7 +146,8 @@ SELECT language, rule, accepted_n, generated_n, round(CASE WHEN coalesce(silent,
 TOTALS = f"""WITH {DOCS}, m AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
 c AS (SELECT language, CASE WHEN quality = 1 THEN 'accepted' ELSE 'generated' END AS provenance, words FROM d JOIN m ON d.doc_id = m.doc_id)
 SELECT language, provenance, count(*) AS docs, CAST(sum(words) AS BIGINT) AS words FROM c GROUP BY ROLLUP(language, provenance)"""
-WORDS = f"SELECT doc_id, CAST({count(WORD)} AS BIGINT) AS words, CAST(length(text) AS BIGINT) AS n_utf16, CAST({count(chr(10))} AS BIGINT) AS newlines FROM documents"
+ASTRAL = "[\\x{10000}-\\x{10ffff}]"
+WORDS = f"SELECT doc_id, CAST({count(WORD)} AS BIGINT) AS words, CAST(length(text) + {count(ASTRAL)} AS BIGINT) AS n_utf16, CAST({count(chr(10))} AS BIGINT) AS newlines FROM documents"
 SENTENCES = f"WITH {DOCS} SELECT doc_id, CAST(len(lens) AS BIGINT) AS n_sentences, round(coalesce(list_avg(lens), 0), 9) AS mean_words, round(CASE WHEN len(lens) < 2 THEN 0.0 ELSE list_stddev_pop(lens) END, 9) AS sd FROM d"
 DETECT = f"WITH {DOCS} SELECT doc_id, language, sr_votes, en_votes, CASE WHEN sr_votes <> en_votes THEN 'vote' WHEN marks THEN 'tie, diacritics' ELSE 'tie, default' END AS basis FROM d"
 LABEL_DETECT = f"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '\\p{{Cyrillic}}|[{DIACRITICS}]') THEN 'sr' ELSE 'en' END AS language FROM conversations"
@@ -153,12 +155,22 @@ PRICING = """WITH u AS (SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN 'large' WHE
   sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END) AS i, sum(CASE WHEN role <> 'user' THEN length(text) ELSE 0 END) AS o, count(*) AS w FROM conversations GROUP BY conv_id)
 SELECT conv_id, model, CAST(i AS BIGINT) AS input_tokens, CAST(o AS BIGINT) AS output_tokens,
   round(CASE model WHEN 'large' THEN ((i + w * 1.25) * 5.0 + o * 25.0) / 1e6 WHEN 'small' THEN ((i + w * 1.25) * 1.0 + o * 5.0) / 1e6 END, 9) AS cost, CASE WHEN model = 'unlisted' THEN 'unpriced' END AS unknown_reason FROM u"""
-_QUOTES = """s AS (SELECT doc_id, text AS source, substring(text, 21, 60) AS piece FROM documents),
-quotes AS (SELECT doc_id, source, 'as is' AS field, piece AS quote FROM s UNION ALL SELECT doc_id, source, 'spaced', lower(replace(piece, ' ', '   ')) FROM s UNION ALL SELECT doc_id, source, 'turned', concat('zzqq ', reverse(piece)) FROM s),
-n AS (SELECT doc_id, source, field, quote, lower(trim(regexp_replace(source, '\\s+', ' ', 'g'))) AS ns, lower(trim(regexp_replace(quote, '\\s+', ' ', 'g'))) AS nq FROM quotes WHERE regexp_matches(quote, '\\S')),
-k AS (SELECT doc_id, field, CASE WHEN strpos(source, quote) > 0 THEN 'exact' WHEN strpos(ns, nq) > 0 THEN 'normalized' ELSE 'absent' END AS match, CASE WHEN strpos(source, quote) > 0 THEN strpos(source, quote) - 1 END AS exact_start FROM n)"""
-QUOTES = f"WITH {_QUOTES} SELECT doc_id, field, match, CAST(exact_start AS INTEGER) AS exact_start FROM k"
-PIVOT = f"WITH {_QUOTES} SELECT doc_id, count(*) FILTER (WHERE match = 'exact') AS exact, count(*) FILTER (WHERE match = 'normalized') AS normalized, CAST(0 AS BIGINT) AS \"foreign\", count(*) FILTER (WHERE match = 'absent') AS absent FROM k GROUP BY doc_id"
+WS = r"[\s\x{0b}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+
+def squeezed(x: str) -> str:
+    return f"lower(trim(regexp_replace({x}, {q(WS + '+')}, ' ', 'g')))"
+
+
+# quotes cut from the start, the middle and the end of a text, and what becomes of them when they are spaced, turned or written in another script
+_QUOTES = f"""s AS (SELECT doc_id, text AS source, language, unnest([substring(text, 21, 60), substring(text, length(text) // 2 + 1, 60), right(text, 60)]) AS piece, unnest(['start', 'middle', 'end']) AS part FROM d),
+kinds AS (SELECT doc_id, source, language, part, unnest(['as is', 'spaced', 'turned', 'script']) AS kind, unnest([piece, lower(replace(piece, ' ', '   ')), concat('zzqq ', reverse(piece)), concat('да ', piece)]) AS quote FROM s),
+n AS (SELECT doc_id, source, language, concat(part, ' ', kind) AS field, quote, {squeezed('source')} AS ns, {squeezed('quote')} AS nq, len(list_filter(regexp_extract_all(lower(quote), '\\p{{L}}+'), lambda w: w IN ({', '.join(map(q, ENGLISH))}))) AS english,
+  len(regexp_extract_all(quote, '\\p{{L}}+')) AS n_words, regexp_matches(quote, '\\p{{Cyrillic}}') AS qc, regexp_matches(source, '\\p{{Cyrillic}}') AS sc, regexp_matches(quote, '[{DIACRITICS}]') AS qd, regexp_matches(source, '[{DIACRITICS}]') AS sd FROM kinds WHERE length(trim(regexp_replace(quote, {q(WS)}, ' ', 'g'))) > 0),
+k AS (SELECT doc_id, field, quote, source, CASE WHEN strpos(source, quote) > 0 THEN 'exact' WHEN strpos(ns, nq) > 0 THEN 'normalized' WHEN qc <> sc OR (language = 'sr' AND sd AND NOT qd AND n_words >= 5 AND english >= 2) THEN 'foreign' ELSE 'absent' END AS match,
+  CASE WHEN strpos(source, quote) > 0 THEN strpos(source, quote) - 1 END AS exact_start FROM n)"""
+QUOTES = f"WITH {DOCS},\n{_QUOTES} SELECT doc_id, field, match, CAST(exact_start AS INTEGER) AS exact_start, match IN ('exact', 'normalized') AS traced FROM k"
+PIVOT = f"WITH {DOCS},\n{_QUOTES} SELECT doc_id, " + ", ".join(f"count(*) FILTER (WHERE match = '{x}') AS \"{x}\"" for x in ("exact", "normalized", "foreign", "absent")) + " FROM k GROUP BY doc_id"
 FRONT = """WITH x AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('---', chr(10), 'provenance: generated', chr(10), 'words: 3', chr(10), '---', chr(10), text) WHEN doc_id % 3 = 1 THEN concat('---', chr(10), 'subject: s', chr(10), '---', chr(10), text) ELSE text END AS raw, text FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'generated' ELSE 'accepted' END AS provenance, CAST(length(text) AS INTEGER) AS n FROM x"""
 
@@ -181,3 +193,126 @@ SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(o, '
 
 
 HTML = _html()
+
+
+# --- places of matches: gaps and groups of each match, summed up in order ---
+
+NOT_WORD = r"[^\p{L}\p{N}_]"
+
+
+def phrase_groups(phrase: str) -> str:
+    stem, star = (phrase[:-1], r"\p{L}{0,4}") if phrase.endswith("*") else (phrase, "")
+    words = ["".join("['’]['’]" if c in "'’" else c if re.match(r"\w", c) else re.escape(c) * 2 for c in w) for w in stem.split()]
+    return rf"(?i)(^|{NOT_WORD})({r'\s+'.join(words)}{star})($|{NOT_WORD})"
+
+
+GROUPS = {
+    ("en", "negative-parallelism"): [r"(?i)(^|[^\p{L}])(not\s+just[^\p{L}.!?\n](?:[^.!?\n]{0,78}?[^\p{L}.!?\n])?but)($|[^\p{L}])", r"(?i)(^|[^\p{L}])(it[’']?s\s+not(?:[^\p{L}.!?\n][^.!?\n]{0,59}?)?,\s*it[’']?s)($|[^\p{L}])"],
+    ("sr", "negative-parallelism"): [r"(?i)(^|[^\p{L}])(nije[^\p{L}.!?\n](?:[^.!?\n]{0,78}?[^\p{L}.!?\n])?(?:već|nego))($|[^\p{L}])", r"(?i)(^|[^\p{L}])(ne\s+samo[^\p{L}.!?\n](?:[^.!?\n]{0,78}?[^\p{L}.!?\n])?(?:već|nego))($|[^\p{L}])"],
+    ("en", "rule-of-three"): [r"(?i)(^|[^\p{L}])(\p{L}{3,}(?:[ \t]+\p{L}+){0,2},\s+\p{L}{3,}(?:[ \t]+\p{L}+){0,2},?\s+and\s+\p{L}{3,})()"],
+    ("sr", "rule-of-three"): [r"(?i)(^|[^\p{L}])(\p{L}{3,}(?:[ \t]+\p{L}+){0,2},\s+\p{L}{3,}(?:[ \t]+\p{L}+){0,2}\s+i\s+\p{L}{3,})()"],
+}
+RULE_GROUPS = {
+    "participial-close": [r"(,[ \t]+)(\p{L}{3,}ing)((?:[^\p{L}.!?\n][^.!?\n]{0,119}?)?[ \t]*(?:[.!?…\n]|$))"],
+    "verbal-adverb-close": [r"(^|[^\p{L}])(\p{L}{2,}(?:jući|ći))([ \t]*(?:[.!?…\n]|$))"],
+    "formal-address": ["([^\\s.!?…:\"'“„«(\\[][ \\t]+|[^\\s\\p{L}.!?…:\"'“„«(\\[])(V(?:i|as|am|ama|aš\\p{L}{0,4}|aše\\p{L}{0,3}))($|[^\\p{L}])"],
+    "em-dash-density": ["()(—)()"],
+    "bold-ratio": [r"(\*\*)([^*\n]+)(\*\*)", r"(__)([^_\n]+)(__)"],
+    "bullet-bold-shape": [r"(?m)(^[ \t]*[-*+][ \t]+)(\*\*[^*\n]+\*\*:?)([ \t]*\S)"],
+}
+
+
+def _places(language: str, rule: str, e: int, pattern: str, doubled: bool, without: tuple[str, ...] = ()) -> str:
+    """Offsets of a pattern's second group; in the doubled text, half of the characters that aren't of words come off."""
+    x, p = ("t2" if doubled else "text"), q(pattern)
+    off = lambda y: f"length({y}) - (length({y}) - length(regexp_replace({y}, {q(NOT_WORD)}, '', 'g'))) // 2" if doubled else f"length({y})"
+    some = f" WHERE lower(b) NOT IN ({', '.join(map(q, without))})" if without else ""
+    whole = "sum(length(g) + length(a) + length(b) + length(c)) OVER w - length(b) - length(c)"
+    odd = f"sum(length(concat(g, a, b, c)) - length(regexp_replace(concat(g, a, b, c), {q(NOT_WORD)}, '', 'g'))) OVER w - (length(concat(b, c)) - length(regexp_replace(concat(b, c), {q(NOT_WORD)}, '', 'g')))"
+    start = f"{whole} - ({odd}) // 2" if doubled else whole
+    return f"""SELECT doc_id, {q(language)} AS language, {q(rule)} AS rule, {e} AS e, CAST(o AS BIGINT) AS o, CAST(o + n AS BIGINT) AS z FROM (SELECT doc_id, b, {off('b')} AS n, {start} AS o FROM (
+  SELECT doc_id, unnest(range(1, len(b) + 1)) AS i, unnest(g[:len(b)]) AS g, unnest(a) AS a, unnest(b) AS b, unnest(c) AS c FROM (SELECT doc_id, regexp_split_to_array({x}, {p}) AS g, regexp_extract_all({x}, {p}, 1) AS a, regexp_extract_all({x}, {p}, 2) AS b, regexp_extract_all({x}, {p}, 3) AS c FROM d WHERE language = {q(language)} AND regexp_matches({x}, {p})))
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)){some}"""
+
+
+def found_cte(lexicons: dict[str, Lexicon] | None = None) -> str:
+    """WITH ... f: a row for each finding."""
+    lexicons = lexicons or SHIPPED
+    hits, spared = [], []
+    for language, lexicon in lexicons.items():
+        for r in RULES:
+            if language not in r.languages:
+                continue
+            for e, pattern in enumerate(RULE_GROUPS.get(r.name, ())):
+                hits.append(_places(language, r.name, e, pattern, False, lexicon.exceptions.get(r.name, ())))
+            for e, entry in enumerate(lexicon.of(r.name)):
+                hits.append(_places(language, r.name, e, phrase_groups(entry.source), True) if entry.kind == "phrase" else _places(language, r.name, e, GROUPS[language, r.name][e], False))
+                spared += [_places(language, r.name, e, phrase_groups(x), True) for x in entry.unless]
+    spared = spared or ["SELECT 0 AS doc_id, '' AS language, '' AS rule, 0 AS e, 0 AS o, 0 AS z WHERE false"]
+    return f"""{results_cte(lexicons)},
+hits AS ({' UNION ALL '.join(hits)}),
+spared AS ({' UNION ALL '.join(spared)}),
+f AS (SELECT h.doc_id AS doc_id, h.language AS language, h.rule AS rule, r.outcome AS outcome, h.e AS e, h.o AS o, h.z AS z, row_number() OVER (PARTITION BY h.doc_id, h.rule ORDER BY h.o, h.e) - 1 AS seq, d.text AS text, substring(d.text, h.o + 1, h.z - h.o) AS finding
+  FROM hits h JOIN d ON h.doc_id = d.doc_id JOIN r ON r.doc_id = h.doc_id AND r.rule = h.rule
+  WHERE NOT EXISTS (SELECT 1 FROM spared u WHERE u.doc_id = h.doc_id AND u.rule = h.rule AND u.e = h.e AND ((h.o >= u.o AND h.z <= u.z) OR (u.o >= h.o AND u.z <= h.z))))"""
+
+
+_HEAD = "regexp_extract(left(text, o), '[^\\n]*$')"
+FINDINGS = f"""{found_cte()}
+SELECT doc_id, language, rule, outcome, CAST(seq AS INTEGER) AS seq, finding, CAST({count(chr(10), 'left(text, o)')} + 1 AS INTEGER) AS line, CAST(length({_HEAD}) + {count(ASTRAL, _HEAD)} + 1 AS INTEGER) AS "column", CAST(o AS INTEGER) AS "offset", CAST(z AS INTEGER) AS "end" FROM f"""
+TOP = f"{found_cte()}\nSELECT doc_id, rule, string_agg(finding, ' | ' ORDER BY seq) FILTER (WHERE seq < 3) AS first, CAST(greatest(0, count(*) - 3) AS INTEGER) AS more FROM f GROUP BY doc_id, rule"
+_SPANS = """reach AS (SELECT doc_id, rule, e, outcome, o, z, max(z) OVER (PARTITION BY doc_id ORDER BY o, z DESC, rule, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f),
+islands AS (SELECT *, sum(CASE WHEN reach IS NULL OR o >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY o, z DESC, rule, e ROWS UNBOUNDED PRECEDING) AS island FROM reach),
+spans AS (SELECT doc_id, min(o) AS a, max(z) AS b, string_agg(DISTINCT rule, ' ' ORDER BY rule) AS rules, bool_and(outcome = 'abstained') AS observed_only FROM islands GROUP BY doc_id, island)"""
+
+
+def spans_sql(lexicons: dict[str, Lexicon] | None = None) -> str:
+    return f'{found_cte(lexicons)},\n{_SPANS}\nSELECT doc_id, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS "end", rules, observed_only FROM spans'
+
+
+def escaped(x: str) -> str:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        x = f"replace({x}, {q(raw)}, {q(safe)})"
+    return x
+
+
+HIGHLIGHTED = f"""{found_cte()},\n{_SPANS},
+cut AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+marked AS (SELECT cut.doc_id AS doc_id, max(b) AS last, string_agg(concat({escaped('substring(d.text, before + 1, a - before)')}, '<mark data-rules="', rules, '">', {escaped('substring(d.text, a + 1, b - a)')}, '</mark>'), '' ORDER BY a) AS html FROM cut JOIN d ON cut.doc_id = d.doc_id GROUP BY cut.doc_id)
+SELECT d.doc_id AS doc_id, concat(coalesce(html, ''), {escaped('substring(d.text, coalesce(last, 0) + 1)')}) AS html FROM d LEFT JOIN marked ON d.doc_id = marked.doc_id"""
+
+_ENDS = "[.!?…]+|\\n[ \\t]*\\n|¦"
+SENTENCE_ROWS = f"""WITH x AS (SELECT doc_id, regexp_replace(text, '\\n([ \\t]*(?:#{{1,6}}[ \\t]|[-*+][ \\t]|>[ \\t]|\\d+[.)][ \\t]))', '¦\\1', 'g') AS t FROM documents),
+y AS (SELECT doc_id, regexp_split_to_array(t, '{_ENDS}') AS g, list_concat(regexp_extract_all(t, '{_ENDS}'), ['']) AS e FROM x),
+p AS (SELECT doc_id, unnest(range(1, len(g) + 1)) AS i, unnest(g) AS g, unnest(e) AS e FROM y),
+o AS (SELECT doc_id, i, sum(length(g) + length(e)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) - length(g) - length(e) AS pos, CASE WHEN e = '' OR e[1] IN (chr(10), '¦') THEN g ELSE concat(g, e) END AS raw FROM p),
+b AS (SELECT doc_id, i, pos + length(raw) - length(regexp_replace(raw, '^{WS}+', '')) AS pos, regexp_replace(regexp_replace(raw, '^{WS}+', ''), '{WS}+$', '') AS body FROM o),
+c AS (SELECT doc_id, i, pos, body, {count(WORD, 'body')} AS words FROM b)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS idx, CAST(pos AS INTEGER) AS "offset", CAST(words AS INTEGER) AS words, md5(body) AS text_md5 FROM c WHERE words > 0"""
+
+#: Sentences for labelling: a run of terminators ends one unless what stands around a period says that it doesn't; blank lines end them too.
+_LABELLED_SENTENCES = f"""y AS (SELECT doc_id, text, regexp_split_to_array(text, '[.!?…]+') AS g, regexp_extract_all(text, '[.!?…]+') AS e FROM documents),
+p AS (SELECT doc_id, text, unnest(range(1, len(e) + 1)) AS i, unnest(g[:len(e)]) AS g, unnest(e) AS e FROM y),
+z AS (SELECT doc_id, text, e, CAST(sum(length(g) + length(e)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS z FROM p),
+t AS (SELECT doc_id, text, e, z, regexp_extract(left(text, z - 1), '[^ \\t\\r\\n\\f]+$') AS token, substring(text, z + 1, 1) AS next, regexp_extract(substring(text, z + 1, 400), '^{WS}*(.)', 1) AS following FROM z),
+cuts AS (SELECT doc_id, z FROM t WHERE e <> '.' OR NOT (token <> '' AND (regexp_matches(token, '[0-9]$') OR lower(token) IN ({', '.join(map(q, sorted(ABBREVIATIONS)))}) OR regexp_matches(token, '^\\p{{L}}$')))
+  AND (next = '' OR (regexp_matches(next, '{WS}') AND NOT regexp_matches(following, '^\\p{{Ll}}'))) UNION SELECT doc_id, length(text) FROM documents),
+parts AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY z), 0) AS a, z FROM cuts),
+raw AS (SELECT parts.doc_id AS doc_id, a, substring(text, a + 1, z - a) AS raw FROM parts JOIN documents ON parts.doc_id = documents.doc_id),
+pieces AS (SELECT doc_id, a, unnest(range(1, len(g) + 1)) AS i, unnest(g) AS g, unnest(e) AS e FROM (SELECT doc_id, a, regexp_split_to_array(raw, '\\n[ \\t]*\\n') AS g, list_concat(regexp_extract_all(raw, '\\n[ \\t]*\\n'), ['']) AS e FROM raw)),
+placed AS (SELECT doc_id, a + sum(length(g) + length(e)) OVER (PARTITION BY doc_id, a ORDER BY i ROWS UNBOUNDED PRECEDING) - length(g) - length(e) AS pos, g FROM pieces),
+bare AS (SELECT doc_id, pos + length(g) - length(regexp_replace(g, '^{WS}+', '')) AS a, regexp_replace(regexp_replace(g, '^{WS}+', ''), '{WS}+$', '') AS sentence FROM placed),
+sentences AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS idx, sentence, a, a + length(sentence) AS z FROM bare WHERE sentence <> '')"""
+_LOCATED = "located AS (SELECT k.doc_id AS doc_id, field, match, quote, s.idx AS idx FROM k JOIN sentences s ON k.doc_id = s.doc_id AND k.exact_start < s.z AND k.exact_start + length(quote) > s.a WHERE match = 'exact')"
+LABELLED_SENTENCES = f"WITH {_LABELLED_SENTENCES} SELECT doc_id, CAST(idx AS INTEGER) AS idx, CAST(a AS INTEGER) AS start, CAST(z AS INTEGER) AS \"end\", md5(sentence) AS sentence_md5 FROM sentences"
+QUOTE_SENTENCES = f"WITH {DOCS},\n{_QUOTES},\n{_LABELLED_SENTENCES},\n{_LOCATED} SELECT doc_id, field, CAST(idx AS INTEGER) AS idx FROM located"
+RECALL = f"""WITH {DOCS},\n{_QUOTES},\n{_LABELLED_SENTENCES},\n{_LOCATED},
+wanted AS (SELECT doc_id, idx FROM sentences WHERE contains(sentence, 'an')),
+own AS (SELECT doc_id, quote, bool_or(idx IN (SELECT w.idx FROM wanted w WHERE w.doc_id = located.doc_id)) AS hit FROM located GROUP BY doc_id, quote),
+l AS (SELECT doc_id, count(*) AS located, count(*) FILTER (WHERE hit) AS hits FROM own GROUP BY doc_id),
+c AS (SELECT w.doc_id AS doc_id, count(*) AS wanted, count(x.idx) AS covered FROM wanted w LEFT JOIN (SELECT DISTINCT doc_id, idx FROM located) x ON w.doc_id = x.doc_id AND w.idx = x.idx GROUP BY w.doc_id)
+SELECT c.doc_id AS doc_id, wanted, covered, coalesce(located, 0) AS located, coalesce(hits, 0) AS hits, round(covered / wanted, 9) AS recall, round(CASE WHEN coalesce(located, 0) > 0 THEN hits / located ELSE 0.0 END, 9) AS precision FROM c LEFT JOIN l ON c.doc_id = l.doc_id"""
+LIMITER = """WITH RECURSIVE hits AS (SELECT event_id, user_id, epoch_ms(ts) AS now_ms FROM events),
+w AS (SELECT user_id, min(now_ms) AS s FROM hits GROUP BY user_id UNION ALL SELECT h.user_id, min(h.now_ms) FROM w JOIN hits h ON h.user_id IS NOT DISTINCT FROM w.user_id AND h.now_ms >= w.s + 3600000 GROUP BY h.user_id),
+own AS (SELECT h.event_id AS event_id, h.user_id AS user_id, h.now_ms AS now_ms, max(w.s) AS s FROM hits h JOIN w ON h.user_id IS NOT DISTINCT FROM w.user_id AND w.s <= h.now_ms GROUP BY h.event_id, h.user_id, h.now_ms)
+SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, s ORDER BY now_ms, event_id) <= 2 AS allowed FROM own"""

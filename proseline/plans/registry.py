@@ -92,11 +92,11 @@ def findings_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topk_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check.top_findings(check.checked(docs(spark, sf_dir)))
+    return check.top_findings(check.checked(docs(spark, sf_dir))).withColumn("first", F.array_join("first", " | "))
 
 
 def span_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.merged_spans(check.findings(check.checked(docs(spark, sf_dir), CUSTOM)))
+    return spans.merged_spans(check.findings(check.checked(docs(spark, sf_dir), CUSTOM))).withColumn("rules", F.array_join("rules", " "))
 
 
 def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,29 +144,40 @@ def frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    piece = F.substring("text", 21, 60)
-    kinds = {"as is": piece, "spaced": F.lower(F.replace(piece, F.lit(" "), F.lit("   "))), "turned": F.concat(F.lit("zzqq "), F.reverse(piece))}
-    quotes = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), v.alias("quote")) for k, v in kinds.items())))
-    rows = docs(spark, sf_dir).select("doc_id", F.col("text").alias("source"), quotes.alias("q"))
-    return trace.check_quotes(rows.select("doc_id", "source", "q.field", "q.quote", F.lit("en").alias("language")))
+    """Quotes from the start, the middle and the end of each text: as they are, spaced, turned, and with words of another script."""
+    t = F.col("text")
+    parts = {"start": F.substring(t, 21, 60), "middle": F.substr(t, F.floor(F.length(t) / 2).cast("int") + 1, F.lit(60)), "end": F.right(t, F.lit(60))}
+    kinds = {"as is": lambda x: x, "spaced": lambda x: F.lower(F.replace(x, F.lit(" "), F.lit("   "))), "turned": lambda x: F.concat(F.lit("zzqq "), F.reverse(x)), "script": lambda x: F.concat(F.lit("да "), x)}
+    quotes = F.explode(F.array(*(F.struct(F.lit(f"{p} {k}").alias("field"), make(x).alias("quote")) for p, x in parts.items() for k, make in kinds.items())))
+    rows = detect(docs(spark, sf_dir)).select("doc_id", t.alias("source"), "language", quotes.alias("q"))
+    return trace.check_quotes(rows.select("doc_id", "source", "q.field", "q.quote", "language"))
 
 
 def quote_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _quoted(spark, sf_dir).select("doc_id", "field", "match", F.when(F.col("match") == "exact", F.col("start")).alias("exact_start"))
+    rows = _quoted(spark, sf_dir)
+    there = K.normalise(F.substr(F.col("source"), F.col("start") + 1, F.col("end") - F.col("start"))) == K.normalise(F.col("quote"))
+    return rows.select("doc_id", "field", "match", F.when(F.col("match") == "exact", F.col("start")).alias("exact_start"), F.coalesce(there, F.lit(False)).alias("traced"))
 
 
 def match_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.match_table(_quoted(spark, sf_dir))
 
 
+def labelled_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trace.labelled_sentences(docs(spark, sf_dir)).select("doc_id", "idx", "start", "end", F.md5(F.col("sentence").cast("binary")).alias("sentence_md5"))
+
+
+def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trace.quote_sentences(_quoted(spark, sf_dir).where("match = 'exact'"), trace.labelled_sentences(docs(spark, sf_dir)))
+
+
 def quote_sentence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trace.quote_sentences(_quoted(spark, sf_dir), trace.labelled_sentences(docs(spark, sf_dir)))
+    return _located(spark, sf_dir).select("doc_id", "field", "idx")
 
 
 def evidence_recall_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sentences = trace.labelled_sentences(docs(spark, sf_dir))
-    located = trace.quote_sentences(_quoted(spark, sf_dir), sentences)
-    return trace.recall_precision(located, sentences.where("idx % 2 = 1 and idx < 6"))
+    wanted = trace.labelled_sentences(docs(spark, sf_dir)).where(F.contains("sentence", F.lit("an")))
+    return rounded(trace.recall_precision(_located(spark, sf_dir), wanted), "recall", "precision")
 
 
 def pricing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,14 +219,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, (f,
     f.__name__: f
     for f in (
         word_stats, sentence_stats, sentence_rows, detect_language, label_language, report, hard_failures, abstentions, findings_positions, topk_findings, span_merge, highlighted, observations, bands, verdicts,
-        corpus_totals, html_extract, frontmatter, quote_checks, match_pivot, quote_sentence_join, evidence_recall_precision, pricing, rate_limiter, engine_info,
+        corpus_totals, html_extract, frontmatter, quote_checks, match_pivot, labelled_sentences, quote_sentence_join, evidence_recall_precision, pricing, rate_limiter, engine_info,
     )
 }
 _INFO = [(x, SHIPPED[x].identity(), len(rules_for(x)), len(declared_constants(rules_for(x)))) for x in ("en", "sr")]
 ORACLES: dict[str, str] = {k: sql for k, (_, sql) in _PAIRS.items()} | {
     "word_stats": oracles.WORDS, "sentence_stats": oracles.SENTENCES, "detect_language": oracles.DETECT, "label_language": oracles.LABEL_DETECT, "report": oracles.REPORT, "hard_failures": oracles.HARD, "abstentions": oracles.ABSTENTIONS,
     "observations": oracles.OBSERVATIONS, "bands": oracles.BANDS, "verdicts": oracles.VERDICTS, "corpus_totals": oracles.TOTALS, "html_extract": oracles.HTML, "frontmatter": oracles.FRONT, "quote_checks": oracles.QUOTES,
-    "match_pivot": oracles.PIVOT, "pricing": oracles.PRICING,
+    "match_pivot": oracles.PIVOT, "findings_positions": oracles.FINDINGS, "topk_findings": oracles.TOP, "span_merge": oracles.spans_sql(CUSTOM), "highlighted": oracles.HIGHLIGHTED, "sentence_rows": oracles.SENTENCE_ROWS,
+    "labelled_sentences": oracles.LABELLED_SENTENCES, "quote_sentence_join": oracles.QUOTE_SENTENCES, "evidence_recall_precision": oracles.RECALL, "rate_limiter": oracles.LIMITER, "pricing": oracles.PRICING,
     "engine_info": " UNION ALL ".join(f"SELECT '{a}' AS language, '{b}' AS lexicon, CAST({c} AS INTEGER) AS rules, CAST({d} AS INTEGER) AS constants" for a, b, c, d in _INFO),
 }
 
