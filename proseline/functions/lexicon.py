@@ -55,17 +55,38 @@ class Lexicon:
     version: str = "1"
     entries: dict[str, tuple[Entry, ...]] = field(default_factory=dict)
     exceptions: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    #: Start of the digest of the content that the lexicon was read from, which has examples too.
+    digest: str | None = None
 
     def of(self, rule: str) -> tuple[Entry, ...]:
         return self.entries.get(rule, ())
 
-    def canonical(self) -> str:
-        content = {"version": self.version, "language": self.language, "entries": {k: [[e.kind, e.source, list(e.unless)] for e in v] for k, v in sorted(self.entries.items())}, "exceptions": {k: list(v) for k, v in sorted(self.exceptions.items())}}
-        return json.dumps(content, ensure_ascii=False, separators=(",", ":"))
-
     def identity(self) -> str:
-        """Version and the start of the content's SHA-256; the order of rules plays no part, that of entries does."""
-        return f"{self.version}+{hashlib.sha256(self.canonical().encode()).hexdigest()[:12]}"
+        """Version and the start of the content's SHA-256."""
+        return f"{self.version}+{self.digest or content_digest(self.content())[:12]}"
+
+    def content(self) -> dict:
+        """The lexicon as parsed YAML has it, without examples."""
+        out: dict = {"version": self.version, "language": self.language, "phrases": {}, "patterns": {}, "exceptions": {k: [{"phrase": x} for x in v] for k, v in self.exceptions.items()}}
+        for rule, entries in self.entries.items():
+            for e in entries:
+                out["phrases" if e.kind == "phrase" else "patterns"].setdefault(rule, []).append({e.kind: e.source, "except": list(e.unless)})
+        return out
+
+
+def canonical_entry(kind: str, item: dict) -> dict:
+    """An entry with its examples, defaults filled in, its fields in their fixed order."""
+    fixed = {"matches": item.get("matches"), "alsoMatches": list(item.get("alsoMatches") or ())}
+    if item.get("doesNotMatch") is not None:
+        fixed["doesNotMatch"] = item["doesNotMatch"]
+    return {k: v for k, v in fixed.items() if v is not None} | {"except": list(item.get("except") or ()), kind: item[kind]}
+
+
+def content_digest(content: dict) -> str:
+    """SHA-256 of a canonical form of parsed YAML: the order of rules plays no part, that of entries and exceptions does."""
+    entries = lambda section, kind: [[rule, [canonical_entry(kind, x) for x in items]] for rule, items in sorted((content.get(section) or {}).items())]
+    form = {"version": str(content.get("version", "1")), "language": content["language"], "phrases": entries("phrases", "phrase"), "patterns": entries("patterns", "pattern"), "exceptions": [[rule, items] for rule, items in sorted((content.get("exceptions") or {}).items())]}
+    return hashlib.sha256(json.dumps(form, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
 
 
 def parse_lexicon(content: dict, language: str | None = None) -> Lexicon:
@@ -82,7 +103,7 @@ def parse_lexicon(content: dict, language: str | None = None) -> Lexicon:
                     raise ValueError(f"{section} of {rule}: no {kind}")
                 entries.setdefault(rule, []).append(Entry(item[kind], kind, tuple(item.get("except") or ())))
     exceptions = {rule: tuple(x["phrase"] if isinstance(x, dict) else x for x in items) for rule, items in (content.get("exceptions") or {}).items()}
-    return Lexicon(content["language"], str(content.get("version", "1")), {k: tuple(v) for k, v in entries.items()}, exceptions)
+    return Lexicon(content["language"], str(content.get("version", "1")), {k: tuple(v) for k, v in entries.items()}, exceptions, content_digest(content)[:12])
 
 
 def load_lexicon(path: str, language: str | None = None) -> Lexicon:

@@ -4,66 +4,168 @@ from __future__ import annotations
 
 from proseline.functions.lexicon import Entry, Lexicon
 
-
-def _phrases(text: str) -> tuple[Entry, ...]:
-    return tuple(Entry(p.strip()) for p in text.split(","))
-
-
-# The phrases, patterns and exceptions of the style guide.
+# The phrases, patterns and exceptions of the style guide; its version, and the digest of its content with all examples.
 ENGLISH = Lexicon(
     "en",
-    "1.0.0",
+    "0.3.0",
     {
-        "weasel-words": _phrases("experts say, many believe, reports suggest, critics argue, it is widely"),
-        "editorializing": _phrases("it's important to note, it's worth mentioning, in this article we"),
-        "promotional-tone": _phrases("incredible, stunning, breathtaking, must-try"),
+        "weasel-words": (
+            Entry("experts say"),
+            Entry("many believe"),
+            Entry("reports suggest"),
+            Entry("critics argue"),
+            Entry("it is widely"),
+        ),
+        "editorializing": (
+            Entry("it's important to note"),
+            Entry("it's worth mentioning"),
+            Entry("in this article we"),
+        ),
+        "promotional-tone": (
+            Entry("incredible"),
+            Entry("stunning"),
+            Entry("breathtaking"),
+            Entry("must-try"),
+        ),
         "inflated-vocabulary": (
             Entry("delve"),
             Entry("landscape", unless=("landscape orientation", "landscape mode", "landscape photography")),
-            *_phrases("synergy, empower, leverage, robust, seamless, tapestry"),
+            Entry("synergy"),
+            Entry("empower"),
+            Entry("leverage"),
+            Entry("robust"),
+            Entry("seamless"),
+            Entry("tapestry"),
+        ),
+        "summary-close": (
+            Entry("in conclusion"),
+            Entry("all in all"),
+            Entry("to summarize"),
+        ),
+        "transition-density": (
+            Entry("moreover"),
+            Entry("furthermore"),
+            Entry("additionally"),
+            Entry("however"),
+            Entry("on the other hand"),
         ),
-        "summary-close": _phrases("in conclusion, all in all, to summarize"),
-        "transition-density": _phrases("moreover, furthermore, additionally, however, on the other hand"),
         "negative-parallelism": (
             Entry(r"(?<![\p{L}])not\s+just(?![\p{L}])[^.!?\n]{0,80}?(?<![\p{L}])but(?![\p{L}])", "pattern", needs=("not", "just", "but")),
             Entry(r"(?<![\p{L}])it[’']?s\s+not(?![\p{L}])[^.!?\n]{0,60}?,\s*it[’']?s(?![\p{L}])", "pattern", needs=("not", ",")),
         ),
-        "rule-of-three": (Entry(r"(?<![\p{L}])\p{L}{3,}(?:[ \t]+\p{L}+){0,2},\s+\p{L}{3,}(?:[ \t]+\p{L}+){0,2},?\s+and\s+\p{L}{3,}(?![\p{L}])", "pattern", needs=(",", "and")),),
+        "rule-of-three": (
+            Entry(r"(?<![\p{L}])\p{L}{3,}(?:[ \t]+\p{L}+){0,2},\s+\p{L}{3,}(?:[ \t]+\p{L}+){0,2},?\s+and\s+\p{L}{3,}(?![\p{L}])", "pattern", needs=(",", "and")),
+        ),
     },
-    {"participial-close": ("nothing", "something", "anything", "everything", "during", "morning", "evening")},
+    {
+        "participial-close": (
+            "nothing",
+            "something",
+            "anything",
+            "everything",
+            "during",
+            "morning",
+            "evening",
+        ),
+    },
+    digest="0126033ab30f",
 )
 
 SERBIAN = Lexicon(
     "sr",
-    "1.0.0",
+    "0.3.0",
     {
-        "weasel-words": _phrases("stručnjaci kažu, mnogi smatraju, izveštaji pokazuju, neki kritičari tvrde"),
-        "editorializing": _phrases("važno je napomenuti, vredi pomenuti, u ovom tekstu"),
-        "promotional-tone": _phrases("neverovat*, zadivljujuć*, spektakular*, obavezno isprobati"),
+        "weasel-words": (
+            Entry("stručnjaci kažu"),
+            Entry("mnogi smatraju"),
+            Entry("izveštaji pokazuju"),
+            Entry("neki kritičari tvrde"),
+        ),
+        "editorializing": (
+            Entry("važno je napomenuti"),
+            Entry("vredi pomenuti"),
+            Entry("u ovom tekstu"),
+        ),
+        "promotional-tone": (
+            Entry("neverovat*"),
+            Entry("zadivljujuć*"),
+            Entry("spektakular*"),
+            Entry("obavezno isprobati"),
+        ),
         "inflated-vocabulary": (
-            *_phrases("zaroniti, kompleks*, pejzaž, sinergij*, osnažiti, unaprediti"),
+            Entry("zaroniti"),
+            Entry("kompleks*"),
+            Entry("pejzaž"),
+            Entry("sinergij*"),
+            Entry("osnažiti"),
+            Entry("unaprediti"),
             Entry("ključ*", unless=("ključna reč", "ključne reči", "ključnu reč", "ključnih reči", "ključnim rečima")),
         ),
-        "summary-close": _phrases("sve u svemu, u zaključku, da rezimiramo"),
-        "transition-density": _phrases("sa druge strane, štaviše, pored toga, dodatno, međutim, nasuprot tome"),
+        "summary-close": (
+            Entry("sve u svemu"),
+            Entry("u zaključku"),
+            Entry("da rezimiramo"),
+        ),
+        "transition-density": (
+            Entry("sa druge strane"),
+            Entry("štaviše"),
+            Entry("pored toga"),
+            Entry("dodatno"),
+            Entry("međutim"),
+            Entry("nasuprot tome"),
+        ),
         "negative-parallelism": (
             Entry(r"(?<![\p{L}])nije(?![\p{L}])[^.!?\n]{0,80}?(?<![\p{L}])(već|nego)(?![\p{L}])", "pattern", needs=("nije",)),
             Entry(r"(?<![\p{L}])ne\s+samo(?![\p{L}])[^.!?\n]{0,80}?(?<![\p{L}])(već|nego)(?![\p{L}])", "pattern", needs=("samo",)),
         ),
-        "rule-of-three": (Entry(r"(?<![\p{L}])\p{L}{3,}(?:[ \t]+\p{L}+){0,2},\s+\p{L}{3,}(?:[ \t]+\p{L}+){0,2}\s+i\s+\p{L}{3,}(?![\p{L}])", "pattern", needs=(",", "i")),),
+        "rule-of-three": (
+            Entry(r"(?<![\p{L}])\p{L}{3,}(?:[ \t]+\p{L}+){0,2},\s+\p{L}{3,}(?:[ \t]+\p{L}+){0,2}\s+i\s+\p{L}{3,}(?![\p{L}])", "pattern", needs=(",", "i")),
+        ),
     },
     {
-        "verbal-adverb-close": tuple(
-            "reći doći poći naći moći pomoći proći otići preći sići izaći stići postići dostići seći preseći odseći iseći teći poteći isteći vući izvući privući navući peći ispeći leći tući obući svući zateći".split()
-        )
+        "verbal-adverb-close": (
+            "reći",
+            "doći",
+            "poći",
+            "naći",
+            "moći",
+            "pomoći",
+            "proći",
+            "otići",
+            "preći",
+            "sići",
+            "izaći",
+            "stići",
+            "postići",
+            "dostići",
+            "seći",
+            "preseći",
+            "odseći",
+            "iseći",
+            "teći",
+            "poteći",
+            "isteći",
+            "vući",
+            "izvući",
+            "privući",
+            "navući",
+            "peći",
+            "ispeći",
+            "leći",
+            "tući",
+            "obući",
+            "svući",
+            "zateći",
+        ),
     },
+    digest="a1e590743b64",
 )
 
 SHIPPED = {"en": ENGLISH, "sr": SERBIAN}
 
-# Function words whose presence votes for a language.
+# Function words whose presence votes for a language, and letters with diacritics.
 STOPWORDS = {
-    "sr": "je da se na za su sa ali ili kao koji koje ovo to nije bi ga im od pa".split(),
-    "en": "the of and to is in that it for with as this are was but not you be have from".split(),
+    "sr": ["je", "da", "se", "na", "za", "su", "sa", "ali", "ili", "kao", "koji", "koje", "ovo", "to", "nije", "bi", "ga", "im", "od", "pa"],
+    "en": ["the", "of", "and", "to", "is", "in", "that", "it", "for", "with", "as", "this", "are", "was", "but", "not", "you", "be", "have", "from"],
 }
 DIACRITICS = "šđčćžŠĐČĆŽ"

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Documents under which a side is too few to judge.
@@ -16,20 +17,40 @@ def labelled_corpus(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.withColumn("provenance", F.when(F.col("quality") == 1, "accepted").otherwise("generated"))
 
 
-def observations(results: DataFrame) -> DataFrame:
-    """Per language, rule and provenance: exact percentiles of scored densities; abstentions count as excluded, never as zero."""
-    rows = results.where("kind = 'density'")
-    d = F.col("per_thousand")
-    return rows.groupBy("language", "rule", "provenance").agg(
-        F.count(d).alias("n"), F.count_if(F.col("outcome") == "abstained").alias("excluded"), F.min(d).alias("least"), F.max(d).alias("most"),
-        F.percentile(d, F.lit(0.1)).alias("p10"), F.when(F.count(d) >= MIN_DOCS, F.percentile(d, F.lit(0.5))).alias("median"), F.percentile(d, F.lit(0.9)).alias("p90"), F.max("min_words").alias("min_words"),
-    )
+GROUP = ("language", "rule", "provenance")
+SHARES = {"p10": 0.1, "median": 0.5, "p90": 0.9}
 
 
-def observation_arrays(results: DataFrame) -> DataFrame:
-    """The sorted densities themselves; for corpora that fit in a row."""
+def densities(results: DataFrame) -> DataFrame:
+    """(language, rule, provenance, density, times, excluded, min_words): how often each density comes; abstentions are the rows without one."""
     rows = results.where("kind = 'density'")
-    return rows.groupBy("language", "rule", "provenance").agg(F.sort_array(F.collect_list("per_thousand")).alias("densities"), F.count_if(F.col("outcome") == "abstained").alias("excluded"))
+    return rows.groupBy(*GROUP, F.col("per_thousand").alias("density")).agg(F.count(F.lit(1)).alias("times"), F.count_if(F.col("outcome") == "abstained").alias("excluded"), F.max("min_words").alias("min_words"))
+
+
+def observations(results: DataFrame) -> DataFrame:
+    """Per language, rule and provenance: exact percentiles of scored densities; abstentions count as excluded, never as zero.
+
+    Equal densities are one row with a number. The rows are counted in
+    buckets of one unit of density; only the buckets that hold a wanted rank
+    are sorted, so no task holds a group's densities. The counts, which are
+    read several times, are persisted on memory and disk.
+    """
+    seen = densities(results).persist(StorageLevel.MEMORY_AND_DISK)
+    scored = F.when(F.col("density").isNotNull(), F.col("times")).otherwise(0)
+    total = seen.groupBy(*GROUP).agg(F.sum(scored).alias("n"), F.sum("excluded").alias("excluded"), F.min("density").alias("least"), F.max("density").alias("most"), F.max("min_words").alias("min_words"))
+    values = seen.where("density is not null").withColumn("bucket", F.floor("density"))
+    before = Window.partitionBy(*GROUP).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = values.groupBy(*GROUP, "bucket").agg(F.sum("times").alias("held")).withColumn("first", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    ranks = total.where("n > 0").select(*GROUP, F.explode(F.array(*(F.struct(F.lit(k).alias("share"), ((F.col("n") - 1) * v).alias("place")) for k, v in SHARES.items()))).alias("x")).select(*GROUP, "x.*")
+    ranks = ranks.select(*GROUP, "share", "place", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("rank"))
+    wanted = buckets.join(ranks, list(GROUP)).where("rank >= first and rank < first + held")
+    within = Window.partitionBy(*GROUP, "bucket", "share", "rank").orderBy("density").rowsBetween(Window.unboundedPreceding, -1)
+    found = values.join(wanted, [*GROUP, "bucket"]).withColumn("start", F.col("first") + F.coalesce(F.sum("times").over(within), F.lit(0)))
+    found = found.where("rank >= start and rank < start + times").groupBy(*GROUP, "share", "place").agg(F.min_by("density", "rank").alias("low"), F.max_by("density", "rank").alias("high"))
+    found = found.select(*GROUP, "share", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("place") - F.floor("place"))).alias("value"))
+    shares = found.groupBy(*GROUP).pivot("share", list(SHARES)).agg(F.first("value"))
+    out = total.join(shares, list(GROUP), "left")
+    return out.select(*GROUP, "n", "excluded", "least", "most", "p10", F.when(F.col("n") >= MIN_DOCS, F.col("median")).alias("median"), "p90", "min_words")
 
 
 def bands(observed: DataFrame) -> DataFrame:

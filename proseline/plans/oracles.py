@@ -171,6 +171,9 @@ k AS (SELECT doc_id, field, quote, source, CASE WHEN strpos(source, quote) > 0 T
   CASE WHEN strpos(source, quote) > 0 THEN strpos(source, quote) - 1 END AS exact_start FROM n)"""
 QUOTES = f"WITH {DOCS},\n{_QUOTES} SELECT doc_id, field, match, CAST(exact_start AS INTEGER) AS exact_start, match IN ('exact', 'normalized') AS traced FROM k"
 PIVOT = f"WITH {DOCS},\n{_QUOTES} SELECT doc_id, " + ", ".join(f"count(*) FILTER (WHERE match = '{x}') AS \"{x}\"" for x in ("exact", "normalized", "foreign", "absent")) + " FROM k GROUP BY doc_id"
+# The published identities of the lexicons, and the numbers of rules and of constants of a run.
+INFO = """SELECT 'en' AS language, '0.3.0+0126033ab30f' AS lexicon, CAST(13 AS INTEGER) AS rules, CAST(19 AS INTEGER) AS constants
+UNION ALL SELECT 'sr', '0.3.0+a1e590743b64', CAST(15 AS INTEGER), CAST(20 AS INTEGER)"""
 FRONT = """WITH x AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('---', chr(10), 'provenance: generated', chr(10), 'words: 3', chr(10), '---', chr(10), text) WHEN doc_id % 3 = 1 THEN concat('---', chr(10), 'subject: s', chr(10), '---', chr(10), text) ELSE text END AS raw, text FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'generated' ELSE 'accepted' END AS provenance, CAST(length(text) AS INTEGER) AS n FROM x"""
 

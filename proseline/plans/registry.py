@@ -222,13 +222,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, (f,
         corpus_totals, html_extract, frontmatter, quote_checks, match_pivot, labelled_sentences, quote_sentence_join, evidence_recall_precision, pricing, rate_limiter, engine_info,
     )
 }
-_INFO = [(x, SHIPPED[x].identity(), len(rules_for(x)), len(declared_constants(rules_for(x)))) for x in ("en", "sr")]
 ORACLES: dict[str, str] = {k: sql for k, (_, sql) in _PAIRS.items()} | {
     "word_stats": oracles.WORDS, "sentence_stats": oracles.SENTENCES, "detect_language": oracles.DETECT, "label_language": oracles.LABEL_DETECT, "report": oracles.REPORT, "hard_failures": oracles.HARD, "abstentions": oracles.ABSTENTIONS,
     "observations": oracles.OBSERVATIONS, "bands": oracles.BANDS, "verdicts": oracles.VERDICTS, "corpus_totals": oracles.TOTALS, "html_extract": oracles.HTML, "frontmatter": oracles.FRONT, "quote_checks": oracles.QUOTES,
     "match_pivot": oracles.PIVOT, "findings_positions": oracles.FINDINGS, "topk_findings": oracles.TOP, "span_merge": oracles.spans_sql(CUSTOM), "highlighted": oracles.HIGHLIGHTED, "sentence_rows": oracles.SENTENCE_ROWS,
     "labelled_sentences": oracles.LABELLED_SENTENCES, "quote_sentence_join": oracles.QUOTE_SENTENCES, "evidence_recall_precision": oracles.RECALL, "rate_limiter": oracles.LIMITER, "pricing": oracles.PRICING,
-    "engine_info": " UNION ALL ".join(f"SELECT '{a}' AS language, '{b}' AS lexicon, CAST({c} AS INTEGER) AS rules, CAST({d} AS INTEGER) AS constants" for a, b, c, d in _INFO),
+    "engine_info": oracles.INFO,
 }
 
 

@@ -1,5 +1,6 @@
 """Calibration, spans, sources, quotes, costs and streams on small tables."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -24,8 +25,19 @@ def test_verdicts(spark):
     assert {k: r.status for k, r in got.items()} == {"apart": "separates", "mixed": "overlaps", "silent": "no-signal", "few": "insufficient", "none": "insufficient"}
     assert got["silent"].ceiling == 0 and got["silent"].margin is None and got["silent"].floor == 1.0
     assert got["few"].margin == 1.0 and got["none"].floor is None and got["apart"].margin == pytest.approx(11.9)
-    arrays = {(r.rule, r.provenance): r.densities for r in calibrate.observation_arrays(df).collect()}
-    assert arrays["apart", "accepted"] == [float(x) for x in range(10)]
+    seen = {(r.rule, r.provenance, r.density): (r.times, r.excluded) for r in calibrate.densities(df).collect()}
+    assert seen["apart", "accepted", 3.0] == (1, 0) and seen["mixed", "accepted", 5.0] == (10, 0) and seen["apart", "generated", None] == (2, 2)
+
+
+def test_percentiles_as_sorted_lists(spark):
+    rng = np.random.default_rng(3)
+    groups = {f"r{n}": np.round(rng.gamma(1.0, 3.0, n) * (rng.random(n) > 0.4), 2) for n in (1, 2, 9, 10, 11, 300)}
+    df = spark.createDataFrame([("en", k, "density", "accepted", float(v), "scored", None) for k, x in groups.items() for v in x], "language string, rule string, kind string, provenance string, per_thousand double, outcome string, min_words int")
+    got = {r.rule: r for r in calibrate.observations(df).collect()}
+    for k, x in groups.items():
+        assert got[k].n == len(x) and got[k].p10 == pytest.approx(np.percentile(x, 10)) and got[k].p90 == pytest.approx(np.percentile(x, 90))
+        assert got[k].median == (pytest.approx(np.percentile(x, 50)) if len(x) >= 10 else None)
+    assert calibrate.observations(df.limit(0)).count() == 0
 
 
 def test_undeclared(spark):
@@ -137,12 +149,38 @@ def test_limiter(spark):
         assert sorted(map(tuple, costs.limited(df, limit, window).collect())) == brute_limit(hits, limit, window)
 
 
-def test_limiter_on_a_stream(spark, tmp_path):
+def test_limiter_without_keys_and_with_their_columns(spark):
+    hits = [(None, 5), (None, 6), (None, 7), ("a", None), ("a", 1), ("a", 2), ("a", 3)]
+    df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(hits)], "key string, now_ms long, count int")
+    got = {r["count"]: r.allowed for r in costs.limited(df, 2, 100, order="count").collect()}
+    assert got == {0: True, 1: True, 2: False, 3: False, 4: True, 5: True, 6: False}
+    with pytest.raises(ValueError):
+        costs.limited(df.withColumnRenamed("count", "allowed"), 2, 100)
+    assert costs.limited(df.limit(0), 2, 100).count() == 0
+
+
+def test_usage_and_retries(spark):
+    usage = spark.createDataFrame([(1, "m", 8000, 2000, 0, 0), (1, "m", 280, 347, 0, 0), (1, "x", 5, 5, 0, 0)], "run int, model string, input_tokens long, output_tokens long, cache_write long, cache_read long")
+    rates = spark.createDataFrame([("m", 5.0, 25.0)], "model string, input_per_mtok double, output_per_mtok double")
+    got = {r.model: r for r in costs.usage_totals(usage, rates, "run").collect()}
+    assert got["m"].cost == pytest.approx(0.100075) and got["m"].input_tokens == 8280 and got["x"].unknown_reason == "unpriced"
+    tries = spark.createDataFrame([("r", 1), ("r", 1), ("r", 2), ("s", 1)], "run string, call int")
+    assert sorted(map(tuple, costs.retries(tries, "run").collect())) == [("r", 2, 3, 1), ("s", 1, 1, 0)]
+    assert costs.set_cost(0.5, None) == {"cost": 0.5, "unknown_reason": None}
+    for bad in ((None, None), (1.0, "x"), (float("nan"), None)):
+        with pytest.raises(ValueError):
+            costs.set_cost(*bad)
+    codes = spark.createDataFrame([(None,), (400,), (408,), (429,), (500,), (529,), (404,)], "s int")
+    assert [r.t for r in codes.select(costs.is_transient(F.col("s")).alias("t")).collect()] == [True, False, True, True, True, True, False]
+
+
+@pytest.mark.parametrize("sweep", [False])
+def test_limiter_on_a_stream(spark, tmp_path, sweep):
     parts = [[("a", 1000), ("a", 1001), ("b", 5)], [("a", 1002), ("a", 70000), ("b", 6)]]
     for i, rows in enumerate(parts):
         pd.DataFrame(rows, columns=["key", "now_ms"]).to_parquet(tmp_path / f"{i}.parquet")
     stream = spark.readStream.schema("key string, now_ms long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
-    query = limited_stream(stream, 2, 60000).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query = limited_stream(stream, 2, 60000, sweep).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     try:
         assert query.awaitTermination(45)
         assert sorted(map(tuple, spark.table("limited").collect())) == brute_limit([x for p in parts for x in p], 2, 60000)

@@ -1,5 +1,7 @@
 """Contract of the kernel, the rules and the reports on short texts."""
 
+import hashlib
+
 import pytest
 
 from proseline.functions import kernel as K
@@ -89,11 +91,14 @@ def test_registry_and_constants():
 
 
 def test_lexicons(spark):
-    assert SHIPPED["en"].identity() == ENGLISH.identity() != SERBIAN.identity()
-    turned = Lexicon("en", ENGLISH.version, dict(reversed(ENGLISH.entries.items())), ENGLISH.exceptions)
-    assert turned.identity() == ENGLISH.identity()
-    more = Lexicon("en", ENGLISH.version, ENGLISH.entries | {"x": (Entry("y"),)}, ENGLISH.exceptions)
-    assert more.identity() != ENGLISH.identity()
+    assert (SHIPPED["en"].identity(), SHIPPED["sr"].identity()) == ("0.3.0+0126033ab30f", "0.3.0+a1e590743b64")
+    plain, turned = (Lexicon("en", "1", x, ENGLISH.exceptions).identity() for x in (ENGLISH.entries, dict(reversed(ENGLISH.entries.items()))))
+    more = Lexicon("en", "1", ENGLISH.entries | {"x": (Entry("y"),)}, ENGLISH.exceptions)
+    assert plain == turned != more.identity()
+    content = {"version": "1", "language": "en", "phrases": {"weasel-words": [{"phrase": "a b", "matches": "A b."}, {"phrase": "c", "matches": "C."}]}}
+    swapped = content | {"phrases": {"weasel-words": content["phrases"]["weasel-words"][::-1]}}
+    form = '{"version":"1","language":"en","phrases":[["weasel-words",[{"matches":"A b.","alsoMatches":[],"except":[],"phrase":"a b"},{"matches":"C.","alsoMatches":[],"except":[],"phrase":"c"}]]],"patterns":[],"exceptions":[]}'
+    assert parse_lexicon(content).identity() == f"1+{hashlib.sha256(form.encode()).hexdigest()[:12]}" != parse_lexicon(swapped).identity()
     own = parse_lexicon({"version": "2", "language": "en", "phrases": {"weasel-words": [{"phrase": "a b*", "except": ["a bc"]}]}, "patterns": {"weasel-words": [{"pattern": "x+"}]}})
     assert [e.kind for e in own.of("weasel-words")] == ["phrase", "pattern"]
     for bad in ({"language": "de"}, {"language": "en", "words": {}}, {"language": "en", "phrases": {"r": [{"pattern": "x"}]}}):
