@@ -319,3 +319,89 @@ LIMITER = """WITH RECURSIVE hits AS (SELECT event_id, user_id, epoch_ms(ts) AS n
 w AS (SELECT user_id, min(now_ms) AS s FROM hits GROUP BY user_id UNION ALL SELECT h.user_id, min(h.now_ms) FROM w JOIN hits h ON h.user_id IS NOT DISTINCT FROM w.user_id AND h.now_ms >= w.s + 3600000 GROUP BY h.user_id),
 own AS (SELECT h.event_id AS event_id, h.user_id AS user_id, h.now_ms AS now_ms, max(w.s) AS s FROM hits h JOIN w ON h.user_id IS NOT DISTINCT FROM w.user_id AND w.s <= h.now_ms GROUP BY h.event_id, h.user_id, h.now_ms)
 SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, s ORDER BY now_ms, event_id) <= 2 AS allowed FROM own"""
+
+
+# --- reports ---
+
+#: The uncalibrated constants.
+CONSTANTS_LIST = [
+    ("bold-ratio.ceiling", 120), ("bold-ratio.floor", 20), ("bullet-bold-shape.ceiling", 20), ("bullet-bold-shape.floor", 2), ("calibrate.min-docs", 10), ("density.phrase-ceiling", 6), ("density.phrase-floor", 1), ("diacritics.min-words", 40), ("em-dash-density.ceiling", 15),
+    ("em-dash-density.floor", 2), ("negative-parallelism.ceiling", 3), ("negative-parallelism.floor", 0.5), ("participial-close.ceiling", 12), ("participial-close.floor", 2), ("report.pass-threshold", 0.8), ("rule-of-three.ceiling", 12), ("rule-of-three.floor", 2),
+    ("sentence-uniformity.min-sentences", 6), ("sentence-uniformity.target-sd", 6), ("transition-density.ceiling", 20), ("transition-density.floor", 4), ("verbal-adverb-close.ceiling", 8), ("verbal-adverb-close.floor", 1.5),
+]
+CONSTANTS = " UNION ALL ".join(f"SELECT {q(k)} AS id, CAST({v} AS DOUBLE) AS value, '{v}' AS shown" for k, v in CONSTANTS_LIST)
+
+
+def _footer(language: str) -> str:
+    other = {"en": ("diacritics.", "verbal-adverb-close."), "sr": ("participial-close.",)}[language]
+    own = [(k, v) for k, v in CONSTANTS_LIST if not k.startswith(other) and k != "calibrate.min-docs"]
+    return f"{len(own)} uncalibrated constants in this run:\n" + "\n".join(f"- {k} = {v}" for k, v in own)
+
+
+def _fixed(x: str, digits: int) -> str:
+    return f"printf('%.{digits}f', floor({x} * {10**digits} + 0.5) / {10**digits})"
+
+
+_BAND = " ".join(f"WHEN '{k}' THEN '{lo:g}, zero from {hi:g}'" for k, (lo, hi) in BOUNDS.items())
+_REASON = f"""CASE rule WHEN 'diacritics' THEN CASE outcome WHEN 'abstained' THEN 'not measured: needs 40 words' ELSE 'letters with diacritics looked for' END WHEN 'formal-address' THEN concat(n_findings, ' capitals in mid-sentence')
+  WHEN 'sentence-uniformity' THEN CASE outcome WHEN 'abstained' THEN 'not measured: needs 6 sentences' ELSE 'deviation of sentence lengths' END
+  ELSE CASE outcome WHEN 'abstained' THEN concat('not scored: ', n_findings, ' found in too few words; needs ', min_words, ', or two findings') ELSE concat(n_findings, ' found; clean up to ', CASE rule {_BAND} END) END END"""
+_SHORT = f"trim(regexp_replace(regexp_replace(regexp_replace(x, {q(WS + '+')}, ' ', 'g'), '^ ', ''), ' $', ''))"
+_COLLAPSED = f"CASE WHEN length({_SHORT}) > 90 THEN concat(left({_SHORT}, 87), '…') ELSE {_SHORT} END"
+_QUOTED_FINDINGS = f"""q AS (SELECT doc_id, rule, concat(string_agg(concat('- ', {_COLLAPSED}), chr(10) ORDER BY seq) FILTER (WHERE seq < 3), CASE WHEN count(*) > 3 THEN concat(chr(10), '- and ', count(*) - 3, ' more') ELSE '' END) AS quotes FROM (SELECT doc_id, rule, seq, finding AS x FROM f) GROUP BY doc_id, rule),
+z AS (SELECT own.*, coalesce(q.quotes, '') AS quotes FROM (SELECT *, {_REASON} AS reason FROM r) own LEFT JOIN q ON own.doc_id = q.doc_id AND own.rule = q.rule)"""
+_NL = "chr(10), chr(10)"
+
+
+def _part(what: str, where: str, between: str = "chr(10)") -> str:
+    return f"string_agg({what}, {between} ORDER BY rule_ord) FILTER (WHERE {where})"
+
+
+_RULE_PART = f"concat('### ', %s, {_NL}, reason, CASE WHEN quotes <> '' THEN concat({_NL}, quotes) ELSE '' END)"
+_GAP = "chr(10) || chr(10)"
+MARKDOWN = f"""{found_cte()},
+{_QUOTED_FINDINGS},
+parts AS (SELECT doc_id, language, max(words) AS words, avg(score) FILTER (WHERE kind = 'density') AS score, count(*) FILTER (WHERE kind = 'density' AND outcome = 'scored') AS n, count(*) FILTER (WHERE kind = 'hard' AND outcome = 'scored' AND passed) AS good, count(*) FILTER (WHERE outcome = 'abstained') AS left_out,
+  {_part(_RULE_PART % 'rule', "kind = 'hard' AND outcome = 'scored' AND NOT passed", _GAP)} AS failed, {_part("concat('- ', rule, ': ', reason)", "outcome = 'abstained'")} AS left_rules,
+  {_part(f"concat('**', rule, '**: ', n_findings, {_NL}, quotes)", "outcome = 'abstained' AND n_findings > 0", _GAP)} AS observed,
+  {_part(f"concat('| ', rule, ' | ', {_fixed('score', 2)}, ' | ', {_fixed('per_thousand', 2)}, ' | ', n_findings, ' |')", "kind = 'density' AND outcome = 'scored'")} AS measured,
+  {_part(_RULE_PART % f"concat(rule, ' ', {_fixed('score', 2)})", "kind = 'density' AND outcome = 'scored' AND (n_findings > 0 OR score < 1)", _GAP)} AS loud FROM z GROUP BY doc_id, language)
+SELECT doc_id, concat(concat_ws({_GAP}, concat('# Report: ', doc_id), concat('**', coalesce({_fixed('score', 3)}, 'not scored'), '** over ', n, CASE n WHEN 1 THEN ' density rule' ELSE ' density rules' END, ' · ', words, CASE words WHEN 1 THEN ' word' ELSE ' words' END, ' · ', language, ' · lexicon ', CASE language WHEN 'en' THEN '0.3.0+0126033ab30f' ELSE '0.3.0+a1e590743b64' END),
+  CASE WHEN failed IS NOT NULL THEN concat('## Hard failures', {_NL}, failed) WHEN good > 0 THEN concat('Hard rules: ', good, ' passed') ELSE 'Hard rules: none measured' END, CASE WHEN left_out > 0 THEN concat('## Not measured (', left_out, ')', {_NL}, left_rules) END, CASE WHEN observed IS NOT NULL THEN concat('### Observed, not scored', {_NL}, observed) END,
+  CASE WHEN n > 0 THEN concat('## Density rules', {_NL}, '| rule | score | measured | findings |', chr(10), '| --- | --- | --- | --- |', chr(10), measured) END, loud, concat('---', {_NL}, CASE language WHEN 'en' THEN {q(_footer('en'))} ELSE {q(_footer('sr'))} END)), chr(10)) AS markdown FROM parts"""
+JSON = f"""{results_cte()}
+SELECT doc_id, language, CAST(max(words) AS BIGINT) AS words, round(avg(score) FILTER (WHERE kind = 'density'), 9) AS score, CASE language WHEN 'en' THEN '0.3.0+0126033ab30f' ELSE '0.3.0+a1e590743b64' END AS lexicon, count(*) AS n_rules, count(*) FILTER (WHERE outcome = 'abstained') AS n_left, count(*) FILTER (WHERE kind = 'hard' AND NOT passed) AS n_failed FROM r GROUP BY doc_id, language"""
+_SHOWN = "outcome = 'abstained' OR kind = 'density' OR NOT passed"
+HTML_REPORTS = f"""{results_cte()}
+SELECT doc_id, coalesce({_fixed("avg(score) FILTER (WHERE kind = 'density')", 3)}, 'not scored') AS score, count(*) FILTER (WHERE kind = 'hard' AND outcome = 'scored' AND NOT passed) AS n_failed, count(*) FILTER (WHERE outcome = 'abstained') AS n_left, count(*) FILTER (WHERE kind = 'density' AND outcome = 'scored') AS n_scored,
+  CAST(coalesce(sum(least(n_findings, 5) + CASE WHEN n_findings > 5 THEN 1 ELSE 0 END) FILTER (WHERE {_SHOWN}), 0) AS BIGINT) AS n_items FROM r GROUP BY doc_id"""
+
+# --- labels ---
+
+_MARKED = "marked AS (SELECT doc_id, idx, sentence, contains(sentence, 'the ') AS c, contains(sentence, 'an') AS e, contains(sentence, 'ing') AS h FROM sentences)"
+CLAIM = f"""WITH {DOCS},\n{_QUOTES},\n{_LABELLED_SENTENCES},\n{_LOCATED},\n{_MARKED},
+hit AS (SELECT DISTINCT l.doc_id AS doc_id FROM located l JOIN marked m ON l.doc_id = m.doc_id AND l.idx = m.idx WHERE l.field = 'middle as is' AND m.c)
+SELECT m.doc_id AS doc_id, CAST(CASE WHEN max(hit.doc_id) IS NULL THEN 0 ELSE 1 END AS INTEGER) AS value, round(count(*) FILTER (WHERE c) / count(*), 4) AS claim_density FROM marked m LEFT JOIN hit ON m.doc_id = hit.doc_id GROUP BY m.doc_id"""
+HYPE = f"""WITH {DOCS},\n{_QUOTES},\n{_LABELLED_SENTENCES},\n{_LOCATED},\n{_MARKED},
+own AS (SELECT DISTINCT doc_id, idx FROM located WHERE starts_with(field, 'end'))
+SELECT m.doc_id AS doc_id, count(*) AS wanted, count(own.idx) AS covered, coalesce(string_agg(m.idx, ',' ORDER BY m.idx) FILTER (WHERE own.idx IS NULL), '') AS missed, round(count(own.idx) / count(*), 9) AS recall FROM marked m LEFT JOIN own ON m.doc_id = own.doc_id AND m.idx = own.idx WHERE h GROUP BY m.doc_id"""
+MATCH_TOTALS = f"WITH {DOCS},\n{_QUOTES} SELECT doc_id, " + ", ".join(f"count(*) FILTER (WHERE match = '{x}') AS \"{x}\"" for x in ("exact", "normalized", "foreign", "absent")) + " FROM k GROUP BY ROLLUP(doc_id)"
+LABEL_INDICES = f"WITH {_LABELLED_SENTENCES},\n{_MARKED} SELECT doc_id, CAST(idx AS INTEGER) AS idx FROM marked WHERE e"
+LABEL_PROBLEMS = f"""WITH {_LABELLED_SENTENCES},\n{_MARKED}
+SELECT doc_id, CAST(idx AS INTEGER) AS idx, 'moved' AS problem FROM marked WHERE idx % 7 = 0 UNION ALL SELECT doc_id, CAST(2 AS INTEGER), 'duplicate' FROM marked WHERE idx = 2
+UNION ALL SELECT doc_id, CAST(max(idx) + 1 AS INTEGER), 'missing' FROM marked GROUP BY doc_id UNION ALL SELECT doc_id, NULL, 'no marks' FROM marked GROUP BY doc_id HAVING NOT bool_or(c OR e OR h)"""
+SENTENCE_AT = f"""WITH {DOCS},\n{_QUOTES},\n{_LABELLED_SENTENCES}
+SELECT k.doc_id AS doc_id, field, CAST(exact_start AS INTEGER) AS "offset", CAST(s.idx AS INTEGER) AS idx FROM k LEFT JOIN sentences s ON k.doc_id = s.doc_id AND k.exact_start >= s.a AND k.exact_start < s.z WHERE match = 'exact'"""
+WORKSHEETS = f"""WITH {_LABELLED_SENTENCES}
+SELECT doc_id, concat('source: ', doc_id, chr(10), 'labelledBy: ""', chr(10), 'labelledAt: ""', chr(10), '# ', count(*), ' sentences', chr(10), 'entries:', chr(10), string_agg(concat('  - index: ', idx, chr(10), '    text: ', CAST(to_json(sentence) AS VARCHAR), chr(10), '    marks: []'), chr(10) ORDER BY idx), chr(10)) AS worksheet FROM sentences GROUP BY doc_id"""
+
+# --- costs and sources ---
+
+USAGE = """WITH u AS (SELECT conv_id, CASE role WHEN 'user' THEN 'large' WHEN 'assistant' THEN 'small' ELSE 'unlisted' END AS model, sum(length(text)) AS i, sum(turn * 10) AS o, count(*) AS w, sum(turn) AS c FROM conversations GROUP BY 1, 2)
+SELECT conv_id, model, CAST(i AS BIGINT) AS input_tokens, CAST(o AS BIGINT) AS output_tokens, round(CASE model WHEN 'large' THEN ((i + w * 1.25 + c * 0.1) * 5.0 + o * 25.0) / 1e6 WHEN 'small' THEN (i + w * 1.25 + c * 0.1 + o * 5.0) / 1e6 END, 9) AS cost, CASE WHEN model = 'unlisted' THEN 'unpriced' END AS unknown_reason FROM u"""
+RETRIES = "SELECT user_id, count(DISTINCT event_id // 300) AS calls, count(*) AS attempts, count(*) - count(DISTINCT event_id // 300) AS retries FROM events GROUP BY user_id"
+SUBMISSIONS = f"SELECT doc_id, CAST(CASE WHEN doc_id % 5 = 0 THEN 429 WHEN NOT regexp_matches(text, '[^{WS[1:-1]}]') THEN 400 WHEN length(text) + {count(ASTRAL)} > 5000 THEN 413 ELSE 200 END AS INTEGER) AS status, CASE WHEN regexp_matches(text, '(?i)^https?://') THEN 'url' ELSE 'file' END AS via FROM documents"
+GATE = f"WITH x AS ({HTML}) SELECT page_id, CASE WHEN len(list_filter(regexp_split_to_array(text, {q(WS + '+')}), lambda w: w <> '')) < 120 THEN 'too short' END AS reason FROM x"
+CORPUS_DOCUMENTS = """SELECT doc_id, md5(concat('---', chr(10), 'provenance: generated', chr(10), 'subject: ', CASE WHEN source IS NULL THEN 'null' ELSE concat('"a \\"', source, '\\""') END, chr(10), 'language: ', CASE WHEN lang IS NULL THEN 'null' ELSE concat('"', lang, '"') END, chr(10),
+  'words: ', CASE WHEN n_chars IS NULL THEN 'null' ELSE concat('"', n_chars, '"') END, chr(10), '---', chr(10), coalesce(text, ''))) AS document_md5 FROM documents"""
+NORMALISED = f"SELECT doc_id, md5(lower({_SHORT.replace('(x,', '(text,')})) AS normalised_md5, {_COLLAPSED.replace('(x,', '(text,')} AS collapsed FROM documents"

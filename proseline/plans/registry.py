@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from proseline.functions import kernel as K
 from proseline.functions.lexicon import Entry, Lexicon
 from proseline.functions.shipped import ENGLISH, SERBIAN, SHIPPED
-from proseline.operators import calibrate, check, costs, spans, trace
+from proseline.operators import calibrate, check, costs, labels, render, spans, trace
 from proseline.operators.language import detect, detect_label_language
 from proseline.operators.rules import RULES, declared_constants, rules_for
 from proseline.plans import oracles
@@ -200,6 +200,98 @@ def engine_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "language string, lexicon string, rules int, constants int")
 
 
+def constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(k, float(v), render.plain_number(v)) for k, v in declared_constants(calibration=True)], "id string, value double, shown string")
+
+
+def markdown_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.markdown(check.checked(docs(spark, sf_dir)))
+
+
+def json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = render.json_reports(check.checked(docs(spark, sf_dir)))
+    of = lambda path: F.get_json_object("json", path)
+    n = lambda path, kind: F.size(F.coalesce(F.from_json(of(path), f"array<{kind}>"), F.array().cast(f"array<{kind}>"))).cast("long")
+    rows = rows.select("doc_id", of("$.language").alias("language"), of("$.wordCount").cast("long").alias("words"), of("$.score").cast("double").alias("score"), of("$.lexiconVersion").alias("lexicon"), n("$.rules", "struct<rule:string>").alias("n_rules"), n("$.abstentions", "struct<rule:string>").alias("n_left"), n("$.hardFailures", "string").alias("n_failed"))
+    return rounded(rows, "score")
+
+
+def html_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = render.html(check.checked(docs(spark, sf_dir)))
+    n = lambda pattern: F.regexp_count("html", F.lit(pattern)).cast("long")
+    return rows.select("doc_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("score"), *(n(f'<section class="{x}">').alias(f"n_{x}") for x in ("failed", "left", "scored")), n("<li>").alias("n_items"))
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels made from the sentences: C, E and H for those that hold `the `, `an` and `ing`."""
+    marks = F.filter(F.array(*(F.when(F.contains("sentence", F.lit(x)), F.lit(m)) for m, x in (("C", "the "), ("E", "an"), ("H", "ing")))), lambda m: m.isNotNull())
+    return trace.labelled_sentences(docs(spark, sf_dir)).select("doc_id", "idx", F.col("sentence").alias("text"), marks.alias("marks"))
+
+
+def claim_locates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(labels.claim_locates(_located(spark, sf_dir), _labels(spark, sf_dir), field="middle as is"), "claim_density")
+
+
+def hype_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = labels.mark_recall(_located(spark, sf_dir), _labels(spark, sf_dir), "H", "end")
+    return rounded(rows.withColumn("missed", F.array_join(F.col("missed").cast("array<string>"), ",")), "recall")
+
+
+def match_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.match_totals(_quoted(spark, sf_dir))
+
+
+def label_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.indices_for(_labels(spark, sf_dir), "E")
+
+
+def label_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels with some texts changed, the second of each document twice, and a sentence behind the last one."""
+    own = _labels(spark, sf_dir).withColumn("text", F.when(F.col("idx") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    behind = own.groupBy("doc_id").agg((F.max("idx") + 1).cast("int").alias("idx")).select("doc_id", "idx", F.lit("x").alias("text"), F.array().cast("array<string>").alias("marks"))
+    return labels.check_labels(own.union(own.where("idx = 2")).union(behind), trace.labelled_sentences(docs(spark, sf_dir)))
+
+
+def sentence_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = _quoted(spark, sf_dir).where("match = 'exact'").select("doc_id", "field", F.col("start").alias("offset"))
+    return labels.sentence_at(places, trace.labelled_sentences(docs(spark, sf_dir)))
+
+
+def worksheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.worksheets(trace.labelled_sentences(docs(spark, sf_dir)))
+
+
+def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    usage = rows.select(F.when(F.col("role") == "user", "large").when(F.col("role") == "assistant", "small").otherwise("unlisted").alias("model"), "conv_id", F.length("text").alias("input_tokens"), (F.col("turn") * 10).alias("output_tokens"), F.lit(1).alias("cache_write"), F.col("turn").alias("cache_read"))
+    rates = spark.createDataFrame([("large", 5.0, 25.0), ("small", 1.0, 5.0)], "model string, input_per_mtok double, output_per_mtok double")
+    return rounded(costs.usage_totals(usage, F.broadcast(rates), "conv_id").select("conv_id", "model", F.col("input_tokens").cast("long").alias("input_tokens"), F.col("output_tokens").cast("long").alias("output_tokens"), "cost", "unknown_reason"), "cost")
+
+
+def retry_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.floor(F.col("event_id") / 300).alias("call"))
+    return costs.retries(rows, "user_id")
+
+
+def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = docs(spark, sf_dir)
+    return rows.select("doc_id", sources.submission_status(F.col("text"), 5000, F.col("doc_id") % 5 != 0).alias("status"), sources.via(F.substring("text", 1, 20)).alias("via"))
+
+
+def extraction_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sources.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return rows.select("page_id", sources.extraction_status(F.col("text")).alias("reason"))
+
+
+def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", F.concat(F.lit('a "'), "source", F.lit('"')).alias("subject"), "n_chars")
+    return sources.with_frontmatter(rows, {"subject": "subject", "language": "lang", "words": "n_chars"}).select("doc_id", F.md5(F.col("document").cast("binary")).alias("document_md5"))
+
+
+def normalised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", F.md5(K.normalise(F.col("text")).cast("binary")).alias("normalised_md5"), render.collapsed(F.col("text")).alias("collapsed"))
+
+
 _PAIRS = {
     "em_dash": of_rules("em-dash-density"),
     "bold_ratio": of_rules("bold-ratio"),
@@ -220,6 +312,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, (f,
     for f in (
         word_stats, sentence_stats, sentence_rows, detect_language, label_language, report, hard_failures, abstentions, findings_positions, topk_findings, span_merge, highlighted, observations, bands, verdicts,
         corpus_totals, html_extract, frontmatter, quote_checks, match_pivot, labelled_sentences, quote_sentence_join, evidence_recall_precision, pricing, rate_limiter, engine_info,
+        constants, markdown_reports, json_reports, html_reports, claim_locates, hype_recall, match_totals, label_indices, label_problems, sentence_at, worksheets, usage_totals, retry_counts, submissions, extraction_gate, corpus_documents, normalised_texts,
     )
 }
 ORACLES: dict[str, str] = {k: sql for k, (_, sql) in _PAIRS.items()} | {
@@ -227,7 +320,9 @@ ORACLES: dict[str, str] = {k: sql for k, (_, sql) in _PAIRS.items()} | {
     "observations": oracles.OBSERVATIONS, "bands": oracles.BANDS, "verdicts": oracles.VERDICTS, "corpus_totals": oracles.TOTALS, "html_extract": oracles.HTML, "frontmatter": oracles.FRONT, "quote_checks": oracles.QUOTES,
     "match_pivot": oracles.PIVOT, "findings_positions": oracles.FINDINGS, "topk_findings": oracles.TOP, "span_merge": oracles.spans_sql(CUSTOM), "highlighted": oracles.HIGHLIGHTED, "sentence_rows": oracles.SENTENCE_ROWS,
     "labelled_sentences": oracles.LABELLED_SENTENCES, "quote_sentence_join": oracles.QUOTE_SENTENCES, "evidence_recall_precision": oracles.RECALL, "rate_limiter": oracles.LIMITER, "pricing": oracles.PRICING,
-    "engine_info": oracles.INFO,
+    "engine_info": oracles.INFO, "constants": oracles.CONSTANTS, "markdown_reports": oracles.MARKDOWN, "json_reports": oracles.JSON, "html_reports": oracles.HTML_REPORTS, "claim_locates": oracles.CLAIM, "hype_recall": oracles.HYPE, "match_totals": oracles.MATCH_TOTALS,
+    "label_indices": oracles.LABEL_INDICES, "label_problems": oracles.LABEL_PROBLEMS, "sentence_at": oracles.SENTENCE_AT, "worksheets": oracles.WORKSHEETS, "usage_totals": oracles.USAGE, "retry_counts": oracles.RETRIES, "submissions": oracles.SUBMISSIONS, "extraction_gate": oracles.GATE,
+    "corpus_documents": oracles.CORPUS_DOCUMENTS, "normalised_texts": oracles.NORMALISED,
 }
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseline.functions.kernel import WS, trim
+from proseline.functions.kernel import WS, trim, utf16
 
+# The pattern of front matter, and the elements that aren't prose.
 _FRONT = r"\A---\r?\n([\s\S]*?)\r?\n---\r?\n?"
 _BLOCKS = "script|style|noscript|svg|form|nav|header|footer|aside"
 # The named entities that are decoded, and what they stand for.
@@ -89,6 +90,38 @@ def extract_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFr
     return df.withColumn(out, trim(F.regexp_replace(F.regexp_replace(z, rf"{blank}+(?=\n|\z)", ""), rf"(?<=\n){blank}+", "")))
 
 
-def submission_status(text: Column, most: int = 40_000) -> Column:
-    """Status of a submitted text: 400 for none, 413 for too long a one, else 200."""
-    return F.when(F.length(trim(F.coalesce(text, F.lit("")))) == 0, 400).when(F.length(text) > most, 413).otherwise(200)
+#: Words, by white space, under which a fetched page is no article.
+LEAST_WORDS = 120
+
+
+def extraction_status(text: Column, status: Column | None = None, content_type: Column | None = None) -> Column:
+    """Why a fetched page can't be used, null if it can: the response, its type, or too few words."""
+    words = F.size(F.filter(F.split(trim(F.coalesce(text, F.lit(""))), f"{WS}+", -1), lambda w: w != ""))
+    reason = F.when(words < LEAST_WORDS, "too short")
+    if content_type is not None:
+        reason = F.when(~F.coalesce(content_type.rlike(r"(?i)^\s*(text/(html|plain)|application/xhtml\+xml)"), F.lit(False)), "no text").otherwise(reason)
+    return reason if status is None else F.when(~status.between(200, 299), F.concat(F.lit("status "), status.cast("string"))).otherwise(reason)
+
+
+def submission_status(text: Column, most: int = 40_000, allowed: Column | None = None) -> Column:
+    """Status of a submitted text: 429 for one beyond the rate, 400 for none, 413 for too long a one by UTF-16 units, else 200."""
+    out = F.when(F.length(trim(F.coalesce(text, F.lit("")))) == 0, 400).when(utf16(text) > most, 413).otherwise(200)
+    return out if allowed is None else F.when(~allowed, 429).otherwise(out)
+
+
+def with_frontmatter(df: DataFrame, fields: dict[str, str], text: str = "text", out: str = "document") -> DataFrame:
+    """df with a whole document: front matter that says `generated`, a line for each field (name: column) as JSON strings, then the text."""
+    value = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).cast("string").alias("x"))), r"(?s)\A\{\"x\":(.*)\}\z", 1)
+    lines = [F.lit("provenance: generated"), *(F.concat(F.lit(f"{name}: "), F.when(F.col(c).isNull(), F.lit("null")).otherwise(value(c))) for name, c in fields.items())]
+    return df.withColumn(out, F.concat(F.lit("---\n"), F.array_join(F.array(*lines), "\n"), F.lit("\n---\n"), F.coalesce(F.col(text), F.lit(""))))
+
+
+def write_corpus(df: DataFrame, folder: str, name: str = "name", document: str = "document") -> None:
+    """A folder for each name with the document as text; a folder that is there already is an error."""
+    df.select(F.col(name).alias("name"), F.col(document).alias("value")).write.partitionBy("name").option("lineSep", "\n").mode("errorifexists").text(folder)
+
+
+def chosen_subjects(subjects: DataFrame, ids: list[str] | None = None, first: int | None = None, key: str = "id") -> DataFrame:
+    """The subjects with some ids, or the first ones by id in code-unit order."""
+    rows = subjects if ids is None else subjects.where(F.col(key).isin(ids))
+    return rows.orderBy(key) if first is None else rows.orderBy(key).limit(first)
