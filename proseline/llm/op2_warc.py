@@ -33,8 +33,8 @@ from proseline.llm.common import hot_join, remove, shared_path, stored, table
 LEAST_BYTES = 100
 #: Records of a file; bytes from which a payload is large, and records of a file of large ones. No file gets near the 2 GB of a row.
 FILE_RECORDS, LARGE_BYTES, FILE_LARGE_RECORDS = 1000, 1 << 20, 8
-#: Bytes that are unpacked at once.
-CHUNK = 1 << 20
+#: Bytes that are unpacked at once, and payload bytes of a task.
+CHUNK, TASK_BYTES = 1 << 20, 64 << 20
 #: Fixed values of the format.
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -210,15 +210,18 @@ def dedupe_archives(spark: SparkSession, source: str, target: str, least: int =
     heads = stored(records(archive_files(spark, source), False), "warc-heads")
     original = F.struct(*(F.col(f"original.{c}").alias(c) for c in ("record_id", "uri", "date")))
     lists = resolve(heads, least).groupBy("file").agg(F.collect_list(F.struct("place", original.alias("original"))).alias("originals"))
-    rows = records(archive_files(spark, source).join(lists.hint("merge"), "file", "left").select("file", "content", "originals"), True)
+    sizes = heads.agg(F.max("payload_bytes").alias("largest"), F.sum("payload_bytes").alias("bytes")).first()
+    # packed files say little of the work in them: the tasks are set by the bytes that they unpack to
+    tasks = max(spark.sparkContext.defaultParallelism, (sizes["bytes"] or 0) // TASK_BYTES)
+    files = archive_files(spark, source).repartition(tasks, "file").join(lists.repartition(tasks, "file").hint("merge"), "file", "left")
+    rows = records(files.select("file", "content", "originals"), True)
     turned = F.col("original").isNotNull()
     rows = rows.select(
         urn(F.concat(F.col("record_id"), F.lit("|deduplicated"))).alias("record_id"), "page_id", "uri", "date", "payload_bytes", "payload_digest", "payload",
         F.when(turned, F.lit("revisit")).otherwise(F.col("record_type")).alias("record_type"),
         F.when(turned, urn(F.concat(F.col("original.record_id"), F.lit("|deduplicated")))).otherwise(F.col("refers_to_record")).alias("refers_to_record"), F.col("original.uri").alias("refers_to_uri"), F.col("original.date").alias("refers_to_date"),
     )
-    largest = heads.agg(F.max("payload_bytes")).first()[0] or 0
-    write_records(rows, target, largest)
+    write_records(rows, target, sizes["largest"] or 0)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
