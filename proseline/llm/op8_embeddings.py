@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from proseline.llm.common import connected_components, hot_join, stored, table
 from proseline.llm.op10_near_dups import sorted_runs
 
-#: Vectors that a cell should have, home vectors of a block, and pivots of all labels together at most.
-CELL, BLOCK, MOST_PIVOTS = 2000, 2000, 4096
+#: Vectors that a cell should have, home vectors of a block, pivots of all labels at most (but one for each), and of a cell in the second level.
+CELL, BLOCK, MOST_PIVOTS, LATER_PIVOTS = 2000, 2000, 4096, 32
 
 
 def normalised(df: DataFrame) -> DataFrame:
@@ -61,27 +61,31 @@ def normalised(df: DataFrame) -> DataFrame:
     return df.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding").mapInArrow(run, "vec_id long, part string, digest binary, unit binary")
 
 
-def choose_pivots(classes: DataFrame) -> dict[str, np.ndarray]:
-    """Pivots of each part, the classes with the smallest hashes: one for CELL vectors, MOST_PIVOTS in all at most."""
-    sizes = {r["part"]: r["count"] for r in classes.groupBy("part").count().collect()}
-    total = sum(sizes.values())
-    want = {p: max(1, min(-(-n // CELL), MOST_PIVOTS * n // max(1, total))) for p, n in sizes.items()}
-    if not want:
-        return {}
-    share = F.create_map(*[x for p, n in sizes.items() for x in (F.lit(p), F.lit(int(1e9 * min(1.0, (3 * want[p] + 20) / n))))])
-    sample = classes.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(10**9)) < share[F.col("part")]).select("part", "id", "unit").collect()
-    out: dict[str, np.ndarray] = {}
-    for p in sizes:
-        rows = sorted((xxhash.xxh3_64_intdigest(str(r["id"])), r["id"], r["unit"]) for r in sample if r["part"] == p)[: want[p]]
-        if not rows:  # the sample missed a small part: any of its vectors will do
-            rows = [(0, 0, classes.where(F.col("part") == p).select("unit").first()[0])]
-        out[p] = np.array([np.frombuffer(u, np.float64) for _, _, u in rows])
-    return out
+def part_sizes(rows: DataFrame) -> dict[str, int]:
+    """Home vectors of each part. Parts are labels, or cells of a level, of which there are MOST_PIVOTS and one for each label at most."""
+    return {r["part"]: r["count"] for r in rows.where("home").groupBy("part").count().collect()}
 
 
-def cell_rows(classes: DataFrame, pivots: dict[str, np.ndarray], radius: float) -> DataFrame:
-    """(part, cell, home, id, n, unit): every class in its home and in the cells that the bound says."""
-    shared = classes.sparkSession.sparkContext.broadcast(pivots)
+def choose_pivots(rows: DataFrame, want: dict[str, int], sizes: dict[str, int]) -> dict[str, np.ndarray]:
+    """Pivots of each part, its home vectors with the smallest hashes. What comes to the driver is about three times the pivots."""
+    if not want:
+        return {}
+    spark = rows.sparkSession
+    top = 1 << 62
+    shares = spark.createDataFrame([(p, min(top, top * (3 * want[p] + 20) // sizes[p])) for p in want], "part string, share long")
+    homes = rows.where("home").join(F.broadcast(shares), "part").withColumn("h", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(top)))
+    sample: dict[str, list] = {}
+    for r in homes.where("h < share").select("part", "h", "id", "unit").collect():
+        sample.setdefault(r["part"], []).append((r["h"], r["id"], r["unit"]))
+    if len(sample) < len(want):  # the sample missed small parts: their first vectors by hash
+        missed = homes.where(~F.col("part").isin(list(sample))).groupBy("part").agg(F.min(F.struct("h", "id", "unit")).alias("x"))
+        sample |= {r["part"]: [(r["x"]["h"], r["x"]["id"], r["x"]["unit"])] for r in missed.collect()}
+    return {p: np.array([np.frombuffer(u, np.float64) for _, _, u in sorted(found)[: want[p]]]) for p, found in sample.items()}
+
+
+def cell_rows(rows: DataFrame, pivots: dict[str, np.ndarray], radius: float) -> DataFrame:
+    """(part, cell, home, id, n, unit): every row of a part with pivots in its home and in the cells that the bound says; home if it was at home in the part."""
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches):
         for batch in batches:
@@ -89,16 +93,37 @@ def cell_rows(classes: DataFrame, pivots: dict[str, np.ndarray], radius: float)
                 rows = batch.slice(at, 1024)
                 parts = np.array(rows.column(0).to_pylist(), object)
                 units = rows.column(3).to_pylist()
+                own = np.array(rows.column(4).to_pylist(), bool)
                 for p in dict.fromkeys(parts.tolist()):
+                    if p not in shared.value:
+                        continue
                     spots = np.nonzero(parts == p)[0]
                     x = np.array([np.frombuffer(units[i], np.float64) for i in spots])
                     d = np.sqrt(np.maximum(0.0, 2 - 2 * (x @ shared.value[p].T)))
                     home = d.argmin(axis=1)
                     i, cell = np.nonzero(d <= d.min(axis=1)[:, None] + 2 * radius + 1e-9)
                     took = rows.take(pa.array(spots[i]))
-                    yield pa.RecordBatch.from_arrays([took.column(0), pa.array(cell.astype(np.int32)), pa.array(home[i] == cell), *took.columns[1:]], names=["part", "cell", "home", "id", "n", "unit"])
+                    yield pa.RecordBatch.from_arrays([took.column(0), pa.array(cell.astype(np.int32)), pa.array((home[i] == cell) & own[spots[i]]), *took.columns[1:4]], names=["part", "cell", "home", "id", "n", "unit"])
+
+    return rows.select("part", "id", "n", "unit", "home").mapInArrow(run, "part string, cell int, home boolean, id long, n long, unit binary")
 
-    return classes.select("part", "id", "n", "unit").mapInArrow(run, "part string, cell int, home boolean, id long, n long, unit binary")
+
+def all_cells(classes: DataFrame, radius: float) -> DataFrame:
+    """(part, cell, home, id, n, unit) of all classes. The cells of a label that MOST_PIVOTS gave too few pivots have cells in turn."""
+    rows = classes.select("part", "id", "n", "unit", F.lit(True).alias("home"))
+    sizes = part_sizes(rows)
+    total = sum(sizes.values())
+    need = {p: -(-n // CELL) for p, n in sizes.items()}
+    want = {p: max(1, min(need[p], MOST_PIVOTS * n // max(1, total))) for p, n in sizes.items()}
+    cells = cell_rows(rows, choose_pivots(rows, want, sizes), radius)
+    few = [p for p in want if want[p] < need[p]]
+    if not few:
+        return cells
+    cells = stored(cells, "vector-cells")
+    rows = cells.where(F.col("part").isin(few)).select(F.concat_ws("/", "part", "cell").alias("part"), "id", "n", "unit", "home")
+    sizes = part_sizes(rows)
+    want = {p: min(-(-n // CELL), LATER_PIVOTS) for p, n in sizes.items()}
+    return cells.where(~F.col("part").isin(few)).union(cell_rows(rows, choose_pivots(rows, want, sizes), radius))
 
 
 def join_cells(rows: DataFrame, threshold: float) -> DataFrame:
@@ -136,7 +161,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.98) -> DataFrame:
     rows = stored(normalised(df), "vectors")
     classes = rows.where("digest is not null").groupBy("part", "digest").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit"))
     classes = stored(classes, "vector-classes")
-    cells = cell_rows(classes, choose_pivots(classes), math.sqrt(max(0.0, 2 - 2 * threshold)))
+    cells = all_cells(classes, math.sqrt(max(0.0, 2 - 2 * threshold)))
     joined = stored(join_cells(cells, threshold), "vector-links")
     links = joined.where("n_links is not null").groupBy("id").agg(F.max("n_links").alias("n_links"))
     found = connected_components(joined.select(F.col("id").alias("a"), F.col("root").alias("b")), "vector-cc")

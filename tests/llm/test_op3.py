@@ -1,4 +1,5 @@
 import hashlib
+import os
 
 import pytest
 import tiktoken
@@ -7,6 +8,7 @@ from proseline.llm import op3_bpe as op
 
 import public_tokenizers as P
 
+SF = "/root/testdata/sf0.01"
 TEXTS = [None, "", " ", "a", "Hello, world's   best\n\n  don't 12345 ½ ² ǅ 漢字かな 🙂👍🏽", "x" * 5000, "ab" * 3000 + " " * 200 + "\t\r\n", "é" * 700, "<|endoftext|>", "the the the"]
 
 
@@ -43,3 +45,15 @@ def test_rows(spark, coder):
     assert got == want
     assert {r.doc_id: bytes(r.decoded) for r in op.decode_documents(ids, coder=coder).collect()}[4] == TEXTS[4].encode()
     assert op.encode_documents(df.limit(0), coder=coder).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_whole_table(spark):
+    """All texts of a table against the public library with the same ranks and pattern."""
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=op.load_ranks(P.path(op.VOCABULARY)), special_tokens={})
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op.op3_bpe(spark, SF).collect()}
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = library.encode_ordinary(r.text or "")
+        want[r.doc_id] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
+    assert got == want

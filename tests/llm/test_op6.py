@@ -1,3 +1,6 @@
+import os
+
+import pytest
 from tokenizers import Tokenizer
 
 from proseline.llm import op6_token_counts as op
@@ -38,3 +41,13 @@ def test_other_kinds(spark):
     import sentencepiece
 
     assert got == {1: len(sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model")).encode("Hello there")), 2: 0}
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_whole_table(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in op.op6_token_counts(spark, SF).collect()}
+    assert got == {r.doc_id: (len((r.text or "").encode()), n, n > op.LIMIT) for r, n in zip(rows, want([r.text for r in rows]), strict=True)}

@@ -28,9 +28,10 @@ def brute(rows, threshold=0.98):
     return {i: (n, root(i)) for i, (n, _) in out.items()}
 
 
-@pytest.mark.parametrize("cell,block", [(2000, 2000), (9, 5)])
-def test_as_all_pairs(spark, monkeypatch, cell, block):
+@pytest.mark.parametrize("cell,block,most", [(2000, 2000, 4096), (9, 5, 4096), (4, 5, 6)])
+def test_as_all_pairs(spark, monkeypatch, cell, block, most):
     monkeypatch.setattr(op, "CELL", cell)
+    monkeypatch.setattr(op, "MOST_PIVOTS", most)
     monkeypatch.setattr(op, "BLOCK", block)
     rng = np.random.default_rng(1)
     rows = [(1, None, 1), (2, [], 1), (3, [0.0] * 8, 1), (4, [1.0, None] * 4, 1), (5, [float("nan")] * 8, 1), (6, [1.0] * 8, None), (7, [1.0] * 8, 1), (8, [2.0] * 8, 1), (9, [1.0] * 7, 1), (10, [float("inf")] * 8, 1)]
@@ -46,6 +47,21 @@ def test_as_all_pairs(spark, monkeypatch, cell, block):
     assert sorted(map(tuple, op.near_vectors(odd).collect()), key=str) == sorted([(None, 0, None, True)] * 2 + [(3, 1, 3, True), (4, 1, 3, False)], key=str)
 
 
+def test_cells_of_several_levels(spark, monkeypatch):
+    monkeypatch.setattr(op, "CELL", 10)
+    monkeypatch.setattr(op, "MOST_PIVOTS", 4)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    classes = spark.createDataFrame([("1:16", i, 1, v.tobytes()) for i, v in enumerate(x)], "part string, id long, n long, unit binary")
+    rows = op.all_cells(classes, 0.1).collect()
+    assert sorted(r.id for r in rows if r.home) == list(range(400))
+    cells = {}
+    for r in rows:
+        cells.setdefault((r.part, r.cell), []).append(r.home)
+    assert len(cells) > 16 and max(map(sum, cells.values())) < 60
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 def test_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
