@@ -131,7 +131,11 @@ AT, DOT = r"(?:at|arroba|chez|ät)", r"(?:dot|punkt|point|punto)"
 GAP = r"\s{1,3}"
 BRACKET_AT = re.compile(rf"(?i)\s{{0,3}}[\[({{<]\s?(?:{AT}|@)\s?[\])}}>]\s{{0,3}}")
 BRACKET_DOT = re.compile(rf"(?i)\s{{0,3}}[\[({{<]\s?(?:{DOT}|\.)\s?[\])}}>]\s{{0,3}}")
-BARE = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]++(?:(?:{GAP}{DOT}{GAP}|\.)[A-Za-z0-9_%+-]++)*)(?P<at>{GAP}{AT}{GAP}|@)(?P<domain>[A-Za-z0-9-]++(?:(?:{GAP}{DOT}{GAP}|\.)[A-Za-z0-9-]++)+)")
+_LINK = rf"(?:{GAP}{DOT}{GAP}|\.)"
+BARE = re.compile(rf"(?i)(?P<local>[A-Za-z0-9_%+-]++(?:{_LINK}[A-Za-z0-9_%+-]++)*+)(?P<at>{GAP}{AT}{GAP}|@)(?P<domain>[A-Za-z0-9-]++(?:{_LINK}[A-Za-z0-9-]++)++)")
+#: Words that dots and at-signs of any kind join, as far as they go; and the at-signs in them.
+CHAIN = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:(?:{_LINK}|{GAP}{AT}{GAP}|@)[A-Za-z0-9_%+-]++)++")
+CHAIN_AT = re.compile(rf"(?i){GAP}{AT}{GAP}|@")
 BARE_SIGN = re.compile(rf"(?i){GAP}({AT}|{DOT}){GAP}")
 ANY_DOT = re.compile(rf"(?i){GAP}{DOT}{GAP}")
 DIGIT_DOT = re.compile(rf"(?i)(?<=[0-9]){GAP}{DOT}{GAP}(?=[0-9])")
@@ -242,7 +246,7 @@ def disguises(t: Traced) -> None:
     dots = ANY_DOT.search(t.text)
     if dots or AT_DOMAIN.search(t.text):
         edits = []
-        for m in BARE.finditer(t.text):
+        for m in bare_addresses(t.text):
             if addressed(t, m):
                 edits += [(*s.span(), "@" if re.fullmatch(rf"(?i){AT}", s[1]) else ".") for s in BARE_SIGN.finditer(t.text, *m.span())]
         t.rewrite(edits)
@@ -250,6 +254,20 @@ def disguises(t: Traced) -> None:
         t.rewrite([(*m.span(), ".") for m in DIGIT_DOT.finditer(t.text)])
 
 
+def bare_addresses(text: str):
+    """Matches of BARE from the left. Of a chain of words it is tried at the start and behind each at-sign: in between it would end at the same sign. Linear for any text."""
+    for chain in CHAIN.finditer(text):
+        at, end = chain.span()
+        while at < end:
+            m = BARE.match(text, at, end)
+            if m:
+                yield m
+            sign = CHAIN_AT.search(text, m.end() if m else at, end)
+            if not sign:
+                break
+            at = sign.end()
+
+
 def addressed(t: Traced, m: re.Match) -> bool:
     """Whether a match of BARE is an address and no prose."""
     if ANY_DOT.search(m["domain"]):

@@ -137,3 +137,15 @@ def test_short_runs_of_spelled_digits():
     assert op.masked("write to j\u0430ne@example.com") == "write to [EMAIL]"
     for t in ("in 2019, two or three of one", "chapters one, two and 3", "one. Two. Three. Four", "page 12 one"):
         assert op.find(t) == []
+
+
+def test_chains_take_linear_time():
+    import time
+
+    for text in ("a dot " * 150_000, "a at " * 150_000, "a dot " * 100_000 + "b at c", "one dot " * 50_000):
+        began = time.time()
+        op.find(text)
+        assert time.time() - began < 20
+    text = "a dot b at c d " * 2000 + "jane dot doe at example dot com"
+    assert found(text) == [("email", "jane dot doe at example dot com")]
+    assert found("look at jane at example dot com") == [("email", "jane at example dot com")]
