@@ -21,8 +21,12 @@
 
 Anchors, contexts and marks are rows. A task that reads anchors streams them
 and holds HELD rows at most: of an anchor with more classes these go on to a
-shuffle by their parts. An array has ARRAY_BYTES, or the contexts of one anchor
-that share a part.
+shuffle by their parts. Anchors that are common in one document of SHARE are
+dealt to many tasks by their contexts, and common classes row by row; each task
+that has some of such a class files a head, and the heads are put together.
+What the documents of that share say decides on the dealing alone, never on the
+result. An array has ARRAY_BYTES, or the contexts of one anchor that share a
+part.
 
 Defined results: null texts count as empty. Texts shorter than SPAN bytes keep
 all. The table's key is taken to be unique; rows that repeat a key and its
@@ -33,11 +37,12 @@ nothing is compared with them. Empty tables give no rows.
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseline.llm.common import hot_join, slices, stored, table
@@ -55,6 +60,8 @@ PIECE, SPARSE = 1 << 20, 32
 ARRAY_BYTES, DIAGONAL = 1 << 19, 1 << 17
 #: Rows that a task holds while it streams anchors.
 HELD = 100_000
+#: One document of so many says which anchors and classes are common; how often they must be there; and how many at most are dealt to many tasks.
+SHARE, COMMON, MOST_COMMON = 64, 32, 1000
 #: Windows that are compared at once.
 WINDOWS_AT_ONCE = 400_000
 
@@ -154,16 +161,47 @@ def repeated(h: np.ndarray, x: np.ndarray) -> np.ndarray:
     return again
 
 
-#: Kinds of rows that anchors become: a member of a class of several, the pair of such a class that is fetched, a context that shares a part with another, a class of an anchor with very many.
-MEMBER, PAIR, PARTIAL, LATE = range(4)
+#: Kinds of rows that anchors become: a member of a class of several, the pair of such a class that is fetched, a context that shares a part with another, a class of an anchor with very many, what one task has of a common class.
+MEMBER, PAIR, PARTIAL, LATE, HEAD = range(5)
 _ANCHORS = ["kind", "h", "c", "id", "place", "n", "id2", "place2", "p0", "p1", "p2"]
 _LONGS = {"h", "c", "id", "place", "n", "id2", "place2"}
 
 
+class Common(NamedTuple):
+    """Anchors that are dealt to many tasks; and common classes, whose h and c are both among these. More than the common ones does no harm."""
+
+    anchors: list[int] = []
+    class_h: list[int] = []
+    class_c: list[int] = []
+
+    def __bool__(self) -> bool:
+        return bool(self.anchors)
+
+    def deal(self) -> Column:
+        """What rows are dealt to tasks by."""
+        one = F.col("h").isin(self.class_h) & F.col("c").isin(self.class_c)
+        return F.when(one, F.xxhash64("id", "place")).when(F.col("h").isin(self.anchors), F.xxhash64("h", "c")).otherwise(F.col("h"))
+
+    def marks(self, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the anchor is common, and whether the class is."""
+        return np.isin(h, self.anchors), np.isin(h, self.class_h) & np.isin(c, self.class_c)
+
+
+def common_anchors(df: DataFrame, key: str, text: str) -> Common:
+    """The commonest anchors and classes, as one document of SHARE shows them. Three numbers for each of MOST_COMMON come to the driver."""
+    few = df.where(F.pmod(F.xxhash64(F.col(key).cast("long"), F.lit(9)), F.lit(SHARE)) == 0)
+    counts = stored(anchor_rows(few, key, text).groupBy("h", "c").count(), "suffix-common")
+    most = lambda rows: rows.where(F.col("count") >= COMMON).orderBy(F.desc("count"), *rows.columns[:-1]).limit(MOST_COMMON).collect()
+    classes = most(counts)
+    anchors = {r.h for r in most(counts.groupBy("h").agg(F.sum("count").alias("count")))} | {r.h for r in classes}
+    return Common(sorted(anchors), sorted({r.h for r in classes}), sorted({r.c for r in classes}))
+
+
 class Streamed:
-    """Turns anchors sorted by (h, c) into rows of the four kinds, in numpy columns h, id, place, p0, p1, p2, c."""
+    """Turns anchors sorted by (h, c) into rows of the five kinds, in numpy columns h, id, place, p0, p1, p2, c."""
 
-    def __init__(self):
+    def __init__(self, dealt: Common = Common()):
+        self.dealt = dealt
         self.rows: list[np.ndarray] | None = None  # rows of the last class, which may go on
         self.gone = 0  # rows of that class that are out already
         self.classes: list[np.ndarray] | None = None  # classes of the last anchor, which may go on
@@ -201,12 +239,25 @@ class Streamed:
         n = held.copy()
         n[0] += self.gone
         self.gone = 0
-        several = np.repeat(held > 1, held)
+        spread, head = self.dealt.marks(h[starts], c[starts])
+        several = np.repeat((held > 1) | head, held)
         if several.any():
             yield self.batch(MEMBER, h=h[several], c=c[several], id=ids[several], place=place[several])
-            one = starts[held > 1]
-            yield self.batch(PAIR, h=h[one], c=c[one], id=ids[one], place=place[one], n=n[held > 1], id2=ids[one + 1], place2=place[one + 1])
+        pair = (held > 1) & ~head
+        if pair.any():
+            one = starts[pair]
+            yield self.batch(PAIR, h=h[one], c=c[one], id=ids[one], place=place[one], n=n[pair], id2=ids[one + 1], place2=place[one + 1])
+        if head.any():
+            one, last = starts[head], (starts + held - 1)[head]
+            yield self.batch(HEAD, h=h[one], c=c[one], id=ids[one], place=place[one], n=n[head], id2=ids[last], place2=place[last], p0=p0[one], p1=p1[one], p2=p2[one])
         classes = [x[starts] for x in rows] + [n]
+        if spread.any():  # other tasks have classes of these anchors too
+            some = spread & ~head
+            if some.any():
+                yield self.batch(LATE, **dict(zip(("h", "id", "place", "p0", "p1", "p2", "c", "n"), [x[some] for x in classes], strict=True)))
+            classes = [x[~spread] for x in classes]
+            if not len(classes[0]):
+                return
         classes = classes if self.classes is None else [np.concatenate(x) for x in zip(self.classes, classes, strict=True)]
         h = classes[0]
         cut = int(np.searchsorted(h, h[-1]))
@@ -235,18 +286,26 @@ class Streamed:
             yield self.batch(PARTIAL, h=h[near], c=c[near], id=ids[near], place=place[near], n=n[near])
 
 
-def shared_anchors(rows: DataFrame) -> DataFrame:
-    """Rows of the four kinds from all anchors."""
+def shared_anchors(rows: DataFrame, dealt: Common = Common()) -> DataFrame:
+    """Rows of the five kinds from all anchors."""
 
     def run(batches):
-        stream = Streamed()
+        stream = Streamed(dealt)
         for batch in batches:
             if batch.num_rows:
                 yield from stream.add([x.to_numpy(zero_copy_only=False) for x in batch.columns])
         yield from stream.end()
 
     schema = "kind int, " + ", ".join(f"{k} {'long' if k in _LONGS else 'int'}" for k in _ANCHORS[1:])
-    return rows.repartition("h").sortWithinPartitions("h", "c", "id", "place").mapInArrow(run, schema)
+    return rows.repartition(dealt.deal() if dealt else F.col("h")).sortWithinPartitions("h", "c", "id", "place").mapInArrow(run, schema)
+
+
+def whole_heads(wanted: DataFrame) -> DataFrame:
+    """wanted with the heads of each common class made one: a pair, where it has several members, and a class of its anchor."""
+    heads = wanted.where(F.col("kind") == HEAD).groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct("id", "place", "p0", "p1", "p2")).alias("a"), F.max(F.struct("id2", "place2")).alias("z"))
+    made = heads.select("h", "c", "a.id", "a.place", "n", "z.id2", "z.place2", "a.p0", "a.p1", "a.p2")
+    kinds = lambda rows, kind: rows.select(F.lit(kind).alias("kind"), *_ANCHORS[1:])
+    return wanted.where(F.col("kind") != HEAD).union(kinds(made.where("n > 1"), PAIR)).union(kinds(made, LATE))
 
 
 def asked_for(wanted: DataFrame) -> DataFrame:
@@ -525,7 +584,9 @@ def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def repeated_ranges(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, ranges array<struct<a, z>>) of the documents that repeated strings cover in part."""
-    wanted = stored(shared_anchors(anchor_rows(df, key, text)), "suffix-anchors")
+    dealt = common_anchors(df, key, text)
+    wanted = stored(shared_anchors(anchor_rows(df, key, text), dealt), "suffix-anchors")
+    wanted = whole_heads(wanted) if dealt else wanted
     found = stored(marks(contexts(df, asked_for(wanted), key, text)), "suffix-marks")
     twice = wanted.where((F.col("kind") == PAIR) & (F.col("id") == F.col("id2")) & (F.col("place") == F.col("place2")))  # rows that repeat a key and its text
     classes = found.where("h is not null").select("h", "c", "n").union(twice.select("h", "c", "n")).select(F.struct("h", "c").alias("class"), "n").dropDuplicates(["class"])

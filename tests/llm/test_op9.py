@@ -128,10 +128,30 @@ def test_late_anchors(spark, monkeypatch):
     out = [b for at in range(0, len(h), 5) for b in stream.add([x[at : at + 5] for x in columns])] + list(stream.end())
     made = spark.createDataFrame([tuple(r.values()) for b in out for r in b.to_pylist()], plain.schema)
     assert made.where(F.col("kind") == op.LATE).count() > 0
-    monkeypatch.setattr(op, "shared_anchors", lambda rows: made)
+    monkeypatch.setattr(op, "shared_anchors", lambda rows, dealt: made)
     assert sorted(map(tuple, op.cleaned(df).collect())) == brute(rows)
 
 
+@pytest.mark.parametrize("share,common,held", [(1, 1, 100_000), (1, 2, 3), (1, 3, 100_000), (2, 1, 100_000)])
+def test_common_anchors(spark, monkeypatch, share, common, held):
+    """Whatever is dealt to many tasks, the result is the same; also where one task has one member of a class."""
+    rng = np.random.default_rng(13)
+    prose = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    line, copy = prose(260), prose(600)
+    rows = [(k, prose(120) + line[rng.integers(0, 30) : 205 + rng.integers(0, 50)] + prose(90)) for k in range(25)]
+    rows += [(40 + k, copy) for k in range(12)] + [(60, copy[:350] + prose(40)), (61, "word " * 400), (62, "word " * 90), (63, prose(900)), (64, copy), (64, copy), (65, None), (None, copy)]
+    unlike = prose(300)
+    rows += [(66, unlike), (66, unlike)]
+    for name, value in (("SHARE", share), ("COMMON", common), ("HELD", held)):
+        monkeypatch.setattr(op, name, value)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    dealt = op.common_anchors(df, "doc_id", "text")
+    made = op.shared_anchors(op.anchor_rows(df, "doc_id", "text"), dealt)
+    assert dealt and {r.kind for r in made.select("kind").distinct().collect()} >= {op.MEMBER, op.HEAD}
+    want = brute([r for r in rows if r[0] is not None])
+    assert sorted(tuple(r) for r in op.cleaned(df).where("doc_id is not null").collect()) == want
+
+
 def test_bytes_decide_on_classes(spark):
     rng = np.random.default_rng(10)
     text = "".join(rng.choice(list("abcdefgh "), 3000))
