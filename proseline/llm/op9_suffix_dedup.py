@@ -21,12 +21,12 @@
 
 Anchors, contexts and marks are rows. A task that reads anchors streams them
 and holds HELD rows at most: of an anchor with more classes these go on to a
-shuffle by their parts. Anchors that are common in one document of SHARE are
-dealt to many tasks by their contexts, and common classes row by row; each task
-that has some of such a class files a head, and the heads are put together.
-What the documents of that share say decides on the dealing alone, never on the
-result. An array has ARRAY_BYTES, or the contexts of one anchor that share a
-part.
+shuffle by their parts. Common anchors, which alone would fill much of a task,
+are dealt to many tasks by their contexts, and such classes row by row; each
+task that has some of such a class files a head, and the heads are put
+together. What is common is counted in one document of SHARE; that decides on
+the dealing alone, never on the result. An array has ARRAY_BYTES, or the
+contexts of one anchor that share a part.
 
 Defined results: null texts count as empty. Texts shorter than SPAN bytes keep
 all. The table's key is taken to be unique; rows that repeat a key and its
@@ -60,8 +60,8 @@ PIECE, SPARSE = 1 << 20, 32
 ARRAY_BYTES, DIAGONAL = 1 << 19, 1 << 17
 #: Rows that a task holds while it streams anchors.
 HELD = 100_000
-#: One document of so many says which anchors and classes are common; how often they must be there; and how many at most are dealt to many tasks.
-SHARE, COMMON, MOST_COMMON = 64, 32, 1000
+#: One document of so many says which anchors and classes are common: how often they must be there, and what part of a task's rows they must be; how many at most are dealt to many tasks.
+SHARE, COMMON, OF_A_TASK, MOST_COMMON = 64, 32, 4, 1000
 #: Windows that are compared at once.
 WINDOWS_AT_ONCE = 400_000
 
@@ -188,10 +188,12 @@ class Common(NamedTuple):
 
 
 def common_anchors(df: DataFrame, key: str, text: str) -> Common:
-    """The commonest anchors and classes, as one document of SHARE shows them. Three numbers for each of MOST_COMMON come to the driver."""
+    """The commonest anchors and classes, as one document of SHARE shows them, that make 1 / OF_A_TASK of a task's rows. Three numbers for each of MOST_COMMON come to the driver."""
     few = df.where(F.pmod(F.xxhash64(F.col(key).cast("long"), F.lit(9)), F.lit(SHARE)) == 0)
     counts = stored(anchor_rows(few, key, text).groupBy("h", "c").count(), "suffix-common")
-    most = lambda rows: rows.where(F.col("count") >= COMMON).orderBy(F.desc("count"), *rows.columns[:-1]).limit(MOST_COMMON).collect()
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = max(COMMON, (counts.agg(F.sum("count")).first()[0] or 0) // (tasks * OF_A_TASK))
+    most = lambda rows: rows.where(F.col("count") >= least).orderBy(F.desc("count"), *rows.columns[:-1]).limit(MOST_COMMON).collect()
     classes = most(counts)
     anchors = {r.h for r in most(counts.groupBy("h").agg(F.sum("count").alias("count")))} | {r.h for r in classes}
     return Common(sorted(anchors), sorted({r.h for r in classes}), sorted({r.c for r in classes}))

@@ -142,7 +142,7 @@ def test_common_anchors(spark, monkeypatch, share, common, held):
     rows += [(40 + k, copy) for k in range(12)] + [(60, copy[:350] + prose(40)), (61, "word " * 400), (62, "word " * 90), (63, prose(900)), (64, copy), (64, copy), (65, None), (None, copy)]
     unlike = prose(300)
     rows += [(66, unlike), (66, unlike)]
-    for name, value in (("SHARE", share), ("COMMON", common), ("HELD", held)):
+    for name, value in (("SHARE", share), ("COMMON", common), ("OF_A_TASK", 1 << 30), ("HELD", held)):
         monkeypatch.setattr(op, name, value)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     dealt = op.common_anchors(df, "doc_id", "text")
