@@ -5,7 +5,9 @@ pre-token that is in it costs one hash, one displacement and one comparison.
 Tier 2 takes the misses: their bytes form a doubly linked list, a heap holds
 the mergeable neighbours by (rank, place), and the lowest pair is joined until
 none is left; which ids join to which is a table made from the vocabulary. A
-worker keeps the results of recent pre-tokens in a table of bounded size.
+worker keeps the results of recent pre-tokens in a table of bounded size. Ids go
+from it into Arrow as packed 32-bit numbers; digests are taken over names and
+bytes that Arrow gathers by id, so that no id of a text is a Python object.
 
 Null text counts as empty: no tokens. Texts of any length are encoded whole.
 Repeated rows give repeated results. Invalid ids raise KeyError on decoding.
@@ -16,10 +18,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -106,7 +110,7 @@ class Codec:
         self.byte_id = [ranks[bytes([b])] for b in range(256)]
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("split", "memory")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("split", "memory", "arrays")}
 
     def rank(self, piece: bytes) -> int:
         slot = self.hash.find(piece)
@@ -120,18 +124,19 @@ class Codec:
         number, out of date unless the pair that starts there has that rank.
         """
         n, joined = len(piece), self.joined
-        ids = [self.byte_id[b] for b in piece]
+        ids = list(map(self.byte_id.__getitem__, piece))
         pair = [joined.get(a << 20 | b, -1) for a, b in zip(ids, ids[1:])]  # noqa: B905
         pair.append(-1)
-        heap = [r << 40 | i for i, r in enumerate(pair) if r >= 0]
+        bits = n.bit_length()  # of an index, so that entries of short pieces stay small numbers
+        heap = [r << bits | i for i, r in enumerate(pair) if r >= 0]
         if not heap:
             return ids
         heapq.heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pop, push, get, low = heapq.heappop, heapq.heappush, joined.get, (1 << 40) - 1
+        pop, push, get, low = heapq.heappop, heapq.heappush, joined.get, (1 << bits) - 1
         while heap:
             entry = pop(heap)
-            i, r = entry & low, entry >> 40
+            i, r = entry & low, entry >> bits
             if pair[i] != r:
                 continue
             j = after[i]
@@ -141,47 +146,57 @@ class Codec:
                 before[k] = i
                 pair[i] = new = get(r << 20 | ids[k], -1)
                 if new >= 0:
-                    push(heap, new << 40 | i)
+                    push(heap, new << bits | i)
             else:
                 pair[i] = -1
             h = before[i]
             if h >= 0:
                 pair[h] = new = get(ids[h] << 20 | r, -1)
                 if new >= 0:
-                    push(heap, new << 40 | h)
+                    push(heap, new << bits | h)
         return [x for x in ids if x >= 0]
 
     def encode_piece(self, piece: bytes) -> list[int]:
         r = self.rank(piece)
         return [r] if r >= 0 else self.merge(piece)
 
-    def encode(self, text: str | None) -> list[int]:
+    def packed(self, text: str | None) -> bytes:
+        """The ids as 32-bit numbers in a row."""
         if not text:
-            return []
+            return b""
         memory = self.__dict__.setdefault("memory", Memory(self))
         split = self.__dict__.get("split")
         if split is None:
             split = self.split = regex.compile(self.pattern)
-        out: list[int] = []
-        for ids in map(memory.__getitem__, split.findall(text)):
-            out += ids
+        out = b"".join(map(memory.__getitem__, split.findall(text)))
         if len(memory) > REMEMBERED:
             memory.clear()
         return out
 
+    def encode(self, text: str | None) -> list[int]:
+        return array("i", self.packed(text)).tolist()
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of_id.__getitem__, ids))
 
 
+    def gathered(self) -> tuple[pa.LargeBinaryArray, pa.LargeBinaryArray]:
+        """By id: its decimal name and a comma, and its bytes; null for numbers that are no id."""
+        if "arrays" not in self.__dict__:
+            every = range(max(self.bytes_of_id) + 1)
+            self.arrays = tuple(pa.array(x, pa.large_binary()) for x in ([b"%d," % i if i in self.bytes_of_id else None for i in every], list(map(self.bytes_of_id.get, every))))
+        return self.arrays
+
+
 class Memory(dict):
-    """Ids of pre-tokens seen before; a missing one is encoded."""
+    """Packed ids of pre-tokens seen before; a missing one is encoded."""
 
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
 
-    def __missing__(self, piece: str):
-        ids = tuple(self.codec.encode_piece(piece.encode("utf-8", "surrogatepass")))
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("i", self.codec.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
         if len(piece) < 64:
             self[piece] = ids
         return ids
@@ -194,6 +209,15 @@ def codec(path: str | None = None, pattern: str | None = None) -> Codec:
     return Codec(load_ranks(path or public_tokenizers.path(VOCABULARY)), pattern or public_tokenizers.PATTERN)
 
 
+def id_column(coder: Codec, texts: pa.Array) -> pa.ListArray:
+    """The ids of a column of texts."""
+    packed = [coder.packed(t) for t in texts.to_pylist()]
+    offsets = np.zeros(len(packed) + 1, dtype=np.int64)
+    np.cumsum([len(x) // 4 for x in packed], out=offsets[1:])
+    values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(packed))])
+    return pa.ListArray.from_arrays(pa.array(offsets).cast(pa.int32()), values)
+
+
 def encode_documents(df: DataFrame, key: str = "doc_id", text: str = "text", coder: Codec | None = None) -> DataFrame:
     """(key, token_ids array<int>) of every row. The codec's tables have the vocabulary's size and go to each worker once."""
     shared = df.sparkSession.sparkContext.broadcast(coder or codec())
@@ -201,12 +225,7 @@ def encode_documents(df: DataFrame, key: str = "doc_id", text: str = "text", cod
     def run(batches):
         own = shared.value
         for part in slices(batches):
-            lists = [own.encode(t) for t in part.column(1).to_pylist()]
-            offsets = np.zeros(len(lists) + 1, dtype=np.int32)
-            np.cumsum([len(x) for x in lists], out=offsets[1:])
-            values = np.fromiter((i for x in lists for i in x), dtype=np.int32, count=int(offsets[-1]))
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[key, "token_ids"])
+            yield pa.RecordBatch.from_arrays([part.column(0), id_column(own, part.column(1))], names=[key, "token_ids"])
 
     return df.select(key, text).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, token_ids array<int>")
 
@@ -231,21 +250,40 @@ def decode_documents(df: DataFrame, key: str = "doc_id", ids: str = "token_ids",
     return df.select(key, ids).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, decoded binary")
 
 
+def gather(values: pa.LargeBinaryArray, ids: pa.Array, ends: list[int]) -> list[memoryview]:
+    """The values of the ids between one end and the next, concatenated."""
+    if not len(ids):
+        return [memoryview(b"")] * (len(ends) - 1)
+    found = values.take(ids)
+    if found.null_count:
+        raise KeyError("ids outside the vocabulary")
+    _, offsets, data = found.buffers()
+    at = np.frombuffer(offsets, np.int64)[ends].tolist()
+    return [memoryview(data)[a:b] for a, b in zip(at, at[1:])]  # noqa: B905
+
+
+def digests(coder: Codec, column: pa.ListArray) -> tuple[list[int], list[str], list[str]]:
+    """Count, SHA-256 of the comma-joined ids and SHA-256 of their bytes, per row of ids."""
+    names, tokens = coder.gathered()
+    counts = [c or 0 for c in column.value_lengths().to_pylist()]
+    ids = column.flatten()  # without what null rows hide
+    if ids.null_count or len(ids) and not 0 <= pc.min(ids).as_py() <= pc.max(ids).as_py() < len(names):
+        raise KeyError("ids outside the vocabulary")
+    ends = np.cumsum([0, *counts]).tolist()
+    joined = [hashlib.sha256(x[:-1]).hexdigest() for x in gather(names, ids, ends)]
+    return counts, joined, [hashlib.sha256(x).hexdigest() for x in gather(tokens, ids, ends)]
+
+
 def digest_documents(df: DataFrame, key: str = "doc_id", ids: str = "token_ids", coder: Codec | None = None) -> DataFrame:
     """Count, SHA-256 of the comma-joined ids and SHA-256 of the bytes that they decode to, per row of ids."""
     shared = df.sparkSession.sparkContext.broadcast(coder or codec())
 
     def run(batches):
         own = shared.value
-        names = {i: str(i) for i in own.bytes_of_id}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                counts, shas, decoded = [], [], []
-                for x in id_lists(part.column(1)):
-                    counts.append(len(x))
-                    shas.append(hashlib.sha256(",".join(map(names.__getitem__, x)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(own.decode(x)).hexdigest())
+                counts, shas, decoded = digests(own, part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.select(key, ids).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -267,11 +305,8 @@ def with_tokens(docs: DataFrame, text: str = "text", coder: Codec | None = None)
     def run(batches):
         own = shared.value
         for part in slices(batches, field):
-            lists = [own.encode(t) for t in part.column(field).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            values = np.fromiter((i for x in lists for i in x), dtype=np.int32, count=int(offsets[-1]))
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array([len(x) for x in lists], pa.int64())], names=[*names, "token_ids", "n_tokens"])
+            ids = id_column(own, part.column(field))
+            yield pa.RecordBatch.from_arrays([*part.columns, ids, ids.value_lengths().cast(pa.int64())], names=[*names, "token_ids", "n_tokens"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{fields}, token_ids array<int>, n_tokens long")

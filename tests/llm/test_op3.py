@@ -1,6 +1,8 @@
 import hashlib
 import os
+import time
 
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -47,6 +49,28 @@ def test_rows(spark, coder):
     assert op.encode_documents(df.limit(0), coder=coder).count() == 0
 
 
+def test_digests_without_an_object_per_id(coder):
+    """What the query derives from ids takes a fraction of the time of joining them in Python."""
+    rows = [None, [], *([(i * 7919 + j) % 50000 for j in range(4000)] for i in range(200)), [5]]
+    column = pa.array(rows, pa.list_(pa.int32()))
+    names = {i: str(i) for i in coder.bytes_of_id}
+    coder.gathered()
+    began = time.process_time()
+    want = ([len(x or ()) for x in rows], [hashlib.sha256(",".join(map(names.__getitem__, x or ())).encode()).hexdigest() for x in rows], [hashlib.sha256(coder.decode(x or ())).hexdigest() for x in rows])
+    plain = time.process_time() - began
+    times = []
+    for _ in range(3):
+        began = time.process_time()
+        got = op.digests(coder, column)
+        times.append(time.process_time() - began)
+    assert got == want
+    assert op.digests(coder, column.slice(3, 5)) == tuple(x[3:8] for x in want)
+    assert min(times) < plain / 2
+    for wrong in ([1, -1], [1, 10**6], [None]):
+        with pytest.raises(KeyError):
+            op.digests(coder, pa.array([wrong], pa.list_(pa.int32())))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 def test_whole_table(spark):
     """All texts of a table against the public library with the same ranks and pattern."""
