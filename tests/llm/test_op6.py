@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from tokenizers import Tokenizer
@@ -43,6 +44,24 @@ def test_other_kinds(spark):
     assert got == {1: len(sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model")).encode("Hello there")), 2: 0}
 
 
+def test_words_count_as_the_whole(monkeypatch):
+    """Counts by words equal the library's on whole texts, and repeated words don't go to the library again."""
+    with open(P.path(op.VOCABULARY), "rb") as file:
+        content = file.read()
+    assert op.wordwise(content) and not op.wordwise(content.replace(b'"add_prefix_space":false', b'"add_prefix_space":true').replace(b'"add_prefix_space": false', b'"add_prefix_space": true'))
+    rng = random.Random(5)
+    parts = [" ", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u2003", "\u3000", "\x85", "\x1c", "\u200b", "a", "word", "don't", "'s", "'", "12", "½", "é", "漢", "🙂", ".", ",.", "<|endoftext|>", "<|endof", "text|>", "x" * 80]
+    texts = ["", " ", "  ", " a", "a ", "a  ", "\n a", "a\n b", "a \n"] + ["".join(rng.choices(parts, k=rng.randrange(1, 25))) for _ in range(4000)]
+    count = op.counter(content, op.VOCABULARY)
+    assert [n for i in range(0, len(texts), 512) for n in count(texts[i : i + 512])] == want(texts)
+    monkeypatch.setattr(op, "REMEMBERED", 10)
+    assert op.counter(content, op.VOCABULARY)(texts) == want(texts)
+    seen = []
+    count = op.by_words(lambda texts: seen.extend(texts) or [1] * len(texts))
+    assert count(["a b c b", "a c"]) == [4, 2] and count(["d b c"]) == [3]
+    assert sorted(seen) == [" b", " c", "a", "a", "d"]
+
+
 SF = "/root/testdata/sf0.01"
 
 
