@@ -105,6 +105,16 @@ def test_labelling_splitter(text, n):
     assert len(got) == n and all(text[a:z] == s for _, s, a, z in got) and [i for i, *_ in got] == list(range(1, n + 1))
 
 
+def test_labelling_without_python(spark, capsys):
+    """The query's sentences are the splitter's, with odd spaces, look-backs, the mark itself and no text, and no Python runs for them."""
+    texts = ["Dr. No came. K. \u212a. left... Yes", " \x1c a\x85. B\u3000\n \t\n\n c.\u00a0d. E.\n\n", "x\ufdd0. Y\ufdd1 z.", "𐐀. B. 😀. C", "İd. ſt. A MRS. b", "3. a 4 . b. ", "", None, ".", "A. " * 3000, "eco. Co. a" + " " * 5000 + ". b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = trace.labelled_sentences(df)
+    assert sorted(map(tuple, rows.select("doc_id", "idx", "sentence", "start", "end").collect())) == [(i, *x) for i, t in enumerate(texts) for x in trace.split_labelled(t)]
+    rows.explain()
+    assert not any(x in capsys.readouterr().out for x in ("Python", "Arrow", "Pandas"))
+
+
 def test_scores(spark):
     sentences = spark.createDataFrame([(1, 1, "A.", 0, 2), (1, 2, "B.", 3, 5), (1, 3, "C.", 6, 8)], "doc_id long, idx int, sentence string, start int, end int")
     quotes = spark.createDataFrame([(1, "A.", "exact", 0, 2), (1, "C.", "exact", 6, 8), (1, "?", "absent", None, None)], "doc_id long, quote string, match string, start int, end int")
