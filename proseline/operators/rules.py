@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from proseline.functions import kernel as K
-from proseline.functions.lexicon import Lexicon, phrase_pattern
+from proseline.functions.lexicon import Lexicon, quick_phrase
 from proseline.operators.language import has_diacritics
 
 #: Score from which a rule counts as passed.
@@ -83,12 +83,15 @@ def entry_findings(source: Source, lexicon: Lexicon, rule: str) -> str:
     """Hits of all entries, each counted for itself, without those that exceptions suppress, by offset."""
     found = []
     for e in lexicon.of(rule):
-        hits = K.find(source.text, e.pattern, needs=source.has(*e.literals))
+        sure = [f"rlike({source.text}, {K.quoted('(?iu)' + e.sure.replace(r'\s', K.WS))})"] if e.sure else []
+        hits = K.find(source.text, e.pattern, needs=" AND ".join([*filter(None, [source.has(*e.literals)]), *sure]) or None)
         if e.unless:
-            hits = K.without_contained(hits, f"concat({', '.join(K.find(source.text, p) for p in e.unless_pattern)})")
+            hits = K.without_contained(hits, *(K.find(source.text, p) for p in e.unless_pattern))
         found.append(hits)
     if not found:
         raise ValueError(f"lexicon {lexicon.language} has no entry for {rule}")
+    if len(found) == 1:
+        return rule_exceptions(found[0], source, lexicon, rule)
     return K.by_offset(rule_exceptions(f"concat({', '.join(found)})", source, lexicon, rule))
 
 
@@ -96,7 +99,7 @@ def rule_exceptions(findings: str, source: Source, lexicon: Lexicon, rule: str)
     phrases = lexicon.exceptions.get(rule, ())
     if not phrases:
         return findings
-    return K.without_contained(findings, K.find(source.text, f"(?iu)(?:{'|'.join(phrase_pattern(p) for p in phrases)})"))
+    return K.without_contained(findings, K.find(source.text, f"(?iu)(?:{'|'.join(quick_phrase(p) for p in phrases)})"))
 
 
 def lexicon_rule(name: str, floor: float, ceiling: float, constants: tuple = ()) -> Rule:
@@ -110,7 +113,7 @@ def pattern_rule(name: str, languages: tuple[str, ...], pattern: str, floor: flo
 
 
 # The patterns of the rules.
-FORMAL = r"(?<![\p{L}])V(?:i|as|am|ama|aš\p{L}{0,4}|aše\p{L}{0,3})(?![\p{L}])"
+FORMAL = r"(?=V)(?<![\p{L}])V(?:i|as|am|ama|aš\p{L}{0,4}|aše\p{L}{0,3})(?![\p{L}])"
 LINE_BLANK = K.WS.replace(r"\s", r"\x20\t\r\f")
 #: What may stand before a word in mid-sentence: neither nothing, nor an end of a sentence, nor an opening quote or bracket.
 MID_SENTENCE = rf"[^\n\s.!?…:\"'“„«(\[]{LINE_BLANK}*\z"
@@ -141,7 +144,8 @@ def _find_bold(source: Source, _: Lexicon) -> str:
 
 def _grade_bold(f: Column, row: Row) -> Column:
     bold = F.aggregate(f, F.lit(0), lambda a, h: a + K.utf16(h["text"]))
-    return density("bold-ratio", f, row.words, 20.0, 120.0, K.per_thousand(bold, K.utf16(row.text)), gated=False)
+    share = F.when(F.size(f) == 0, 0.0).otherwise(K.per_thousand(bold, K.utf16(row.text)))
+    return density("bold-ratio", f, row.words, 20.0, 120.0, share, gated=False)
 
 
 def _grade_uniformity(f: Column, row: Row) -> Column:
@@ -162,7 +166,7 @@ RULES: tuple[Rule, ...] = (
     pattern_rule("bullet-bold-shape", ("sr", "en"), r"((?<![^\n\r  ])[ \t]*[-*+][ \t]+)(\*\*[^*\n]+\*\*:?)([ \t]*\S)", 2.0, 20.0, "**"),
     pattern_rule("verbal-adverb-close", ("sr",), rf"(?<![\p{{L}}])()(\p{{L}}{{2,}}(?:jući|ći))({END})", 1.5, 8.0, "ći"),
     pattern_rule("participial-close", ("en",), rf"(,[ \t]+)(\p{{L}}{{3,}}ing)((?![\p{{L}}])[^.!?\n]{{0,120}}?{END})", 2.0, 12.0, "ing"),
-    Rule("em-dash-density", "density", ("sr", "en"), lambda t, _: K.find(t.text, "—", needs=t.has("—")), lambda f, row: density("em-dash-density", f, row.words, 2.0, 15.0), (("em-dash-density.floor", 2.0), ("em-dash-density.ceiling", 15.0))),
+    Rule("em-dash-density", "density", ("sr", "en"), lambda t, _: K.find(t.text, "—", needs=f"contains({t.text}, '—')"), lambda f, row: density("em-dash-density", f, row.words, 2.0, 15.0), (("em-dash-density.floor", 2.0), ("em-dash-density.ceiling", 15.0))),
     Rule("bold-ratio", "density", ("sr", "en"), _find_bold, _grade_bold, (("bold-ratio.floor", 20.0), ("bold-ratio.ceiling", 120.0))),
     Rule("sentence-uniformity", "density", ("sr", "en"), _none, _grade_uniformity, (("sentence-uniformity.target-sd", 6.0), ("sentence-uniformity.min-sentences", 6.0))),
 )

@@ -1,6 +1,7 @@
 """Contract of the kernel, the rules and the reports on short texts."""
 
 import hashlib
+import time
 
 import pytest
 
@@ -8,7 +9,9 @@ from proseline.functions import kernel as K
 from proseline.functions.lexicon import Entry, Lexicon, parse_lexicon, phrase_pattern
 from proseline.functions.shipped import ENGLISH, SERBIAN, SHIPPED
 from proseline.operators import check
+from proseline.operators.language import detect
 from proseline.operators.rules import RULES, Rule, declared_constants, gate_words, rules_for
+from proseline.plans import registry
 from pyspark.sql import functions as F
 
 CASES = [
@@ -150,3 +153,41 @@ def test_no_column_is_lost(spark):
     assert set(df.columns) | {"language", "word_count", "rules"} == set(check.checked(df).columns)
     with pytest.raises(ValueError):
         check.checked(df.withColumnRenamed("basis", "word_count"))
+
+
+def test_exceptions_are_found_once_for_a_text(spark):
+    """Hits and the spans that spare them are many: the spans are found once, and each hit's place among them by halving (before: a pattern's pass for each hit, minutes)."""
+    n = 3000
+    df = spark.createDataFrame([(1, "the of the landscape landscape mode ofthe " * n), (2, "landscape mode"), (3, "landscape")], "doc_id int, text string")
+    lexicons = {"en": Lexicon("en", "x", {"inflated-vocabulary": (Entry("landscape", unless=("landscape mode", "landscape photo")), Entry("the", unless=("of the", "the of")))}), "sr": SERBIAN}
+    rules = tuple(r for r in RULES if r.name == "inflated-vocabulary")
+    began = time.time()
+    got = {r.doc_id: r.f for r in check.checked(df, lexicons, rules).selectExpr("doc_id", "rules[0].findings.offset f").collect()}
+    assert time.time() - began < 40
+    assert got == {1: [11 + 42 * i for i in range(n)], 2: [], 3: [0]}
+
+
+def test_quick_patterns_match_alike(spark):
+    """What only saves time changes no match: first letters, one range before a class, strings searched for in ASCII."""
+    texts = ["robuſt, Robust ROBUST xrobust", "\u212aey leverage, Delve", "xİto İn the of", "bread, fine butter and jam and more", "Not  just a but b; it’s not x, it's y", "a  b", "і ᴫ", ""]
+    entries = (Entry("robust"), Entry("key"), Entry("it's"), Entry("'s"))
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id int, text string, language string")
+    rules = tuple(r for r in RULES if r.name == "weasel-words")
+    for more in ((), (Entry("é*"),)):
+        words = Lexicon("en", "x", {"weasel-words": entries + more})
+        got = {r.doc_id: r.f for r in check.checked(df, {"en": words, "sr": SERBIAN}, rules, language="language").selectExpr("doc_id", "rules[0].findings.text f").collect()}
+        assert got == {0: ["robuſt", "Robust", "ROBUST"], 1: ["\u212aey"], 2: [], 3: [], 4: ["it’s", "it's"], 5: [], 6: [], 7: []}
+    for e in (e for lexicon in (ENGLISH, SERBIAN) for r in lexicon.entries for e in lexicon.of(r) if e.quick):
+        plain = f"(?iu){e.source}".replace(r"\s", K.WS)
+        rows = df.select(F.regexp_extract_all("text", F.lit(plain), F.lit(0)) == F.regexp_extract_all("text", F.lit(e.pattern), F.lit(0)), ~F.col("text").rlike(plain) | F.col("text").rlike(f"(?iu){e.sure}".replace(r"\s", K.WS))).collect()
+        assert all(all(r) for r in rows)
+    votes = {r.doc_id: (r.sr_votes, r.en_votes) for r in detect(df.drop("language")).collect()}
+    assert votes[2] == (1, 3) and votes[7] == (0, 0)
+
+
+def test_tasks_grow_with_the_input(spark, tmp_path, monkeypatch):
+    """A file of one row group isn't a fixed number of tasks, whatever its size."""
+    path = str(tmp_path / "t.parquet")
+    spark.range(200_000).selectExpr("id doc_id", "uuid() text").coalesce(1).write.parquet(path)
+    monkeypatch.setattr(registry, "SPREAD", 1 << 20)
+    assert registry.spread(spark.read.parquet(path).select("doc_id", "text")).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
